@@ -132,7 +132,8 @@ def repeated_spans(docs: DataFrame, ws: Workspace, unit: str, length: int, mark:
     also starts anywhere else; the spans cover the repeated windows and may overlap."""
     found = ws.table(docs.select("_key", "_text").mapInArrow(find_groups(unit, length), GROUP), "groups")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("times > 1")
-    hits = ws.table(found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor"), "hits")
+    anchors = ws.table(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors")  # a table: a join with it can split hot anchors
+    hits = ws.table(found.join(anchors, "anchor"), "hits")
     mixed = hits.filter("not same")
     kinds = ws.table(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("times"), F.min(F.struct("_key", "start", "n")).alias("place")), "kinds")
     hot = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("hot"))
