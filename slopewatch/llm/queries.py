@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
+from .near_duplicates import op4_minhash_near_dedup
 from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op10_suffix_array_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op8_bpe": op8_bpe,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
