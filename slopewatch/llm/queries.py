@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .fingerprints import op7_fingerprints
 from .near_duplicates import op4_minhash_near_dedup
+from .packing import op3_packing
 from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op10_suffix_array_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_packing": op3_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
