@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .fingerprints import op7_fingerprints
+from .html_extraction import op1_html_extraction
 from .near_duplicates import op4_minhash_near_dedup
 from .packing import op3_packing
 from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op10_suffix_array_dedup
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
