@@ -9,15 +9,18 @@ from .near_duplicates import op4_minhash_near_dedup
 from .packing import op3_packing
 from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op10_suffix_array_dedup
+from .warc import SQL as OP5_SQL
+from .warc import op5_warc
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_warc": op5_warc,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
