@@ -6,6 +6,7 @@ from .bpe import op8_bpe
 from .fingerprints import op7_fingerprints
 from .html_extraction import op1_html_extraction
 from .near_duplicates import op4_minhash_near_dedup
+from .nearest import op9_nearest
 from .packing import op3_packing
 from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op10_suffix_array_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
+    "op9_nearest": op9_nearest,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
