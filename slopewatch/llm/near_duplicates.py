@@ -189,7 +189,8 @@ def _near(rows: DataFrame, ws: Workspace, percent: int, size: int, coordinates:
         F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"),
         F.when(alone | (F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    sets = rows.select("_key", "_text").join(ws.table(placed, "placed"), "_key").mapInArrow(gather_sets(size), SETS)
+    # never a broadcast: the sets that are looked at grow with the corpus
+    sets = rows.select("_key", "_text").hint("merge").join(ws.table(placed, "placed"), "_key").mapInArrow(gather_sets(size), SETS)
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     links = ws.table(sets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(confirm(percent), "a long, b long"), "links")
     found = components(links, ws)
