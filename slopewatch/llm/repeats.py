@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch, by_key, lists, runs, utf8
-from .windows import blocks, groups, powers, prefix_hash, span_hash, spans_union
+from .common import Workspace, batch, by_key, runs, utf8
+from .windows import blocks, gram_hash, groups, prefix_hash, span_hash, spans_union
 from .words import words
 
 GROUP = "_key long, start int, n int, anchor long, digest long"
@@ -98,6 +98,48 @@ def fetch_segments(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]
     return run
 
 
+def stretches(sym: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [start, end) of at least ``length`` symbols within segments in which each ``gram``-gram (of 2 symbols at least) occurs elsewhere in
+    the shard.  A repeated window lies in one of them."""
+    none = np.zeros(0, np.int64)
+    if len(sym) < length:
+        return none, none
+    h = gram_hash(sym, gram)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    often = np.zeros(len(h) + 2, bool)  # one more at both sides
+    often[1 + order[1:][same]] = True
+    often[1 + order[:-1][same]] = True
+    behind = (offsets[1:, None] - np.arange(1, gram)).ravel()  # grams that would leave their segment
+    often[1 + behind[(behind >= 0) & (behind < len(h))]] = False
+    edge = np.flatnonzero(often[1:] != often[:-1])
+    start, end = edge[::2], edge[1::2] + gram - 1
+    long = end - start >= length
+    return start[long], end[long]
+
+
+def mark_shard(sym: np.ndarray, offsets: np.ndarray, length: int, gram: int, mark: Callable) -> np.ndarray:
+    """Whether the window that starts at each symbol occurs at another place of the shard.
+
+    What can't repeat is left out first, equal stretches are folded into one, and the index covers the rest.
+    """
+    found = np.zeros(len(sym), bool)
+    wide = sym.astype(np.uint64) + np.uint64(1)
+    start, end = stretches(wide, offsets, length, gram)
+    if not len(start):
+        return found
+    _, first, which, often = np.unique(span_hash(prefix_hash(wide), start, end), return_index=True, return_inverse=True, return_counts=True)
+    for a, b in zip(start[often[which] > 1].tolist(), end[often[which] > 1].tolist(), strict=True):
+        found[a : b - length + 1] = True
+    if (often == 1).any():
+        a, n = start[first], (end - start)[first]
+        inner = np.concatenate(([0], np.cumsum(n)))
+        place = np.repeat(a - inner[:-1], n) + np.arange(inner[-1])
+        here = mark(sym[place], inner, length)
+        found[place[here]] = True
+    return found
+
+
 def index_shards(unit: str, length: int, mark: Callable, most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Segments sorted by anchor to spans.  ``mark(symbols, offsets, length)`` says for every symbol of a shard
     whether a window that starts there occurs at another place of the shard."""
@@ -110,7 +152,7 @@ def index_shards(unit: str, length: int, mark: Callable, most: int) -> Callable[
             offsets = offsets - offsets[0]
             if unit == "words":
                 sym, offsets = sym.view(np.uint64), offsets // 8
-            found = mark(sym, offsets, length)
+            found = mark_shard(sym, offsets, length, UNITS[unit][1], mark)
             if not found.any():
                 continue
             where = np.flatnonzero(found)
@@ -166,6 +208,3 @@ def merged(spans: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
     if one is None or not len(one):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return spans_union(one.field("start").to_numpy().astype(np.int64), one.field("end").to_numpy().astype(np.int64))
-
-
-__all__ = ["repeated_spans", "merged", "lists", "powers"]

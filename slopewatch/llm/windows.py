@@ -88,12 +88,10 @@ def groups(sym: np.ndarray, piece_start: np.ndarray, piece_end: np.ndarray, leng
     h = gram_hash(sym, gram)
     keyed = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     anchor = (sliding_min(keyed, length - gram + 1) & _PLACE).astype(np.int64)
-    last = np.full(len(sym) + 1, -1, np.int32)  # +1 at a piece's first window, -1 behind its last
     has = piece_end - piece_start >= length
-    inside = np.zeros(len(sym) + 1, np.int32)
+    inside = np.zeros(len(sym) + 1, np.int32)  # +1 at a piece's first window, -1 behind its last
     np.add.at(inside, piece_start[has], 1)
     np.add.at(inside, piece_end[has] - length + 1, -1)
-    del last
     valid = np.cumsum(inside)[: len(anchor)] > 0
     first = np.ones(len(anchor), bool)
     first[1:] = anchor[1:] != anchor[:-1]
