@@ -34,7 +34,9 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+        self._fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.root = self._fs.makeQualified(folder).toString()
         self._n = 0
 
     def path(self, name: str) -> str:
@@ -47,13 +49,11 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, keep: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(root):
-            for status in fs.listStatus(root):
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        if self._fs.exists(root):
+            for status in self._fs.listStatus(root):
                 if status.getPath().getName() != keep:
-                    fs.delete(status.getPath(), True)
+                    self._fs.delete(status.getPath(), True)
 
     def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
         out = self.table(df, name)
@@ -94,15 +94,15 @@ def lists(values: pa.Array | np.ndarray, offsets: np.ndarray, kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(_key long, id, text): ``_key`` tells rows apart.  It is the id itself where ids are unique and not null, else a
+def keyed(docs: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(_key long, _id, _text, and _0, _1, ... for the columns to carry): ``_key`` tells rows apart.  It is the id itself where ids are unique and not null, else a
     hash of id and text, so that rows that repeat an id count as documents of their own."""
     from pyspark.sql import functions as F
 
-    slim = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    slim = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
     odd = slim.groupBy("_id").count().filter((F.col("count") > 1) | F.col("_id").isNull()).limit(1)
     key = F.xxhash64("_id", "_text") if odd.count() else F.col("_id")
-    return slim.select(key.alias("_key"), "_id", "_text")
+    return slim.select(key.alias("_key"), *slim.columns)
 
 
 def by_key(batches: Iterable[pa.RecordBatch], key: str, weight: str, most: int) -> Iterator[pa.Table]:

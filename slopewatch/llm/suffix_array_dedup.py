@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch, keyed, utf8
+from .common import Workspace, keyed, utf8
 from .repeats import merged, repeated_spans
 
 #: Symbols of 9 bits packed into one sort key.
@@ -125,8 +125,8 @@ def mark(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def _remove(texts: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+def _remove(texts: bool, carry: list[str]):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
         for part in batches:
@@ -140,28 +140,30 @@ def _remove(texts: bool):
                 kept = b"".join(raw[a + x : a + y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
                 rows.append((b - a, b - a - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield batch(schema, doc_id=part.column("_id"), n_bytes=cols[0], n_removed=cols[1], n_spans=cols[2], kept_sha256=cols[3], kept=cols[4])
+            numbers = [pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), *numbers, *(part.column(c) for c in carry)], [*names, *carry])
 
     return run
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text", texts: bool = True, most: int = 4096) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text", texts: bool = True, most: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else in the corpus.
 
     One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with ``texts``,
     the kept text (bytes of a character that was cut in two are left out there, not in the digest).  A null text counts
     as empty.  Rows that repeat an id or a whole text are documents of their own: copies of ``length`` bytes or more
-    remove each other.  Other columns are ignored.  Strings are judged on the input, never across documents.
+    remove each other.  The columns in ``carry`` are passed on, others are ignored.  Strings are judged on the input,
+    never across documents.
     """
     ws = Workspace(docs.sparkSession, "suffix-array")
-    rows = keyed(docs, id_column, text_column)
+    rows = keyed(docs, id_column, text_column, carry)
     spans = repeated_spans(rows, ws, "bytes", length, mark, SHARD, most)
-    return ws.keep(rows.join(spans, "_key", "left").select("_id", "_text", "spans").mapInArrow(_remove(texts), OUT))
+    inner = [f"_{i}" for i in range(len(carry))]
+    types = "".join(f", {n} {dict(docs.dtypes)[c]}" for n, c in zip(inner, carry, strict=True))
+    out = rows.join(spans, "_key", "left").select("_id", "_text", "spans", *inner).mapInArrow(_remove(texts, inner), OUT + types)
+    return ws.keep(out.select(*[c for c in out.columns if c not in inner], *[F.col(n).alias(c) for n, c in zip(inner, carry, strict=True)]))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_array_dedup(docs, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
-__all__ = ["F", "RunLengthIndex", "mark", "op10_suffix_array_dedup", "suffix_array_dedup"]
