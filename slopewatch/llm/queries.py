@@ -8,6 +8,7 @@ from .html_extraction import op1_html_extraction
 from .near_duplicates import op4_minhash_near_dedup
 from .nearest import op9_nearest
 from .packing import op3_packing
+from .quality import op6_quality_classifier
 from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op10_suffix_array_dedup
 from .warc import SQL as OP5_SQL
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_warc": op5_warc,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
     "op9_nearest": op9_nearest,

@@ -12,8 +12,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-    """Words of the documents that lie at ``offsets`` in ``data``.
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
+    """Words (runs of bytes that aren't ``space``) of the documents that lie at ``offsets`` in ``data``.
 
     Returns (start, end, hash, first): byte places and hashes of all words, and for each document the index of its
     first word (one more at the end).  A word never crosses documents.
@@ -24,7 +24,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), np.zeros(len(at), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     edge = at[1:-1][at[1:-1] < len(data)]
