@@ -199,6 +199,34 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Ranked:
+    """The same ids by the tiktoken library, for operators that need ids and don't teach how they come about.
+
+    Holds for vocabularies whose ids follow the ranks of their merges, which is checked.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        bpe = vocabulary(path)
+        plain = [i for i, t in enumerate(bpe.tokens) if t and i not in bpe.added.values()]
+        rank = bpe.rank[plain]
+        self.bpe = bpe if len(plain) != plain[-1] + 1 or (np.diff(rank[rank >= 0]) <= 0).any() or (rank[:256] >= 0).any() else None
+        self.special = list(bpe.added)
+        self.encoding = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={bpe.tokens[i]: i for i in plain}, special_tokens=bpe.added)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.bpe:
+            return self.bpe.encode(texts)
+        to_ids = self.encoding.encode_to_numpy
+        return [to_ids(t, allowed_special="all" if any(x in t for x in self.special) else set(), disallowed_special=()).astype("<u4").tobytes() for t in texts]
+
+
+@lru_cache(maxsize=2)
+def ranked(path: str) -> Ranked:
+    return Ranked(path)
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Bpe:
     return Bpe(path)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import default_path, text_slices, vocabulary
+from .bpe import default_path, ranked, text_slices
 from .common import batch
 
 #: Sequences of a step group.
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, path: s
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches):
-        bpe, packer = vocabulary(path), Packer(window)
+        bpe, packer = ranked(path), Packer(window)
         partition = TaskContext.get().partitionId() << 36
         done = 0
 
