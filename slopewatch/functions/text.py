@@ -53,7 +53,7 @@ def refuses(text: Column) -> Column:
 
 def strip_html(html: Column) -> Column:
     """Text nodes joined by one space; the common character references decoded."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"<[^>]*>", " ")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(sign))

@@ -10,7 +10,7 @@ def latest_with_ties(df: DataFrame, key: str, ts: str) -> DataFrame:
     """All rows that carry their key's newest time.  The maxima are combined before the shuffle, so a key with many rows
     costs no sort."""
     newest = df.groupBy(key).agg(F.max(ts).alias("_newest"))
-    return df.join(newest, (df[key] == newest[key]) & (df[ts] == newest["_newest"])).select(*[df[c] for c in df.columns])
+    return df.join(newest, key).filter(F.col(ts) == F.col("_newest")).select(*df.columns)
 
 
 def latest_one(df: DataFrame, key: str, order: list[str]) -> DataFrame:
