@@ -23,9 +23,10 @@ from .windows import MIX1, MIX2, mix, prefix_hash, span_hash
 from .words import LOWER, SPACE, words
 
 #: Bounds of the samples: labelled rows, unlabelled rows.
-LABELLED, POOL = 20_000, 8_000
-#: Content features: hashed to so many bits; at most so many are kept, those that depend on the label.
-BITS, FEATURES, DEPENDS = 22, 4096, 5.0
+LABELLED, POOL = 12_000, 4_000
+#: Content features: hashed to so many bits; at most so many are kept, the ones that depend most on
+#: a label (by the normal score of their count among the bad) and occur in enough rows.
+BITS, FEATURES, DEPENDS, LEAST = 22, 2048, 4.5, 4
 ROUNDS, SURE, EACH = 3, 0.97, 400
 #: A document with a probability of this for either question is rejected.
 REJECT = 0.5
@@ -123,15 +124,18 @@ def describe(batches):
 
 
 class Logistic:
-    """Logistic regression on sets of columns: a row is the columns that are 1."""
+    """Logistic regression on sets of columns: a row is the columns that are 1.
 
-    def __init__(self, width: int):
-        self.w, self.b = np.zeros(width), 0.0
+    With ``evidence`` no weight is negative: a document can't make up for what speaks against it.
+    """
+
+    def __init__(self, width: int, evidence: bool = False):
+        self.w, self.b, self.evidence = np.zeros(width), 0.0, evidence
 
     def logit(self, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
         return self.b + np.bincount(rows, self.w[columns], n)
 
-    def fit(self, rows, columns, y, weight, l2: float = 1.0, rounds: int = 150, rate: float = 0.1) -> Logistic:
+    def fit(self, rows, columns, y, weight, l2: float = 0.2, rounds: int = 150, rate: float = 0.1) -> Logistic:
         """Adam on all rows, from zero."""
         self.w[:] = 0
         p = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
@@ -144,6 +148,8 @@ class Logistic:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             self.w -= step[:-1]
+            if self.evidence:
+                np.maximum(self.w, 0, out=self.w)
             self.b -= float(step[-1])
         return self
 
@@ -175,7 +181,7 @@ class Model:
         base = bins * shape.shape[1]
         cols += [lang + base, source + base + KINDS]
         n = len(shape)
-        return np.tile(np.arange(n), len(cols)), np.concatenate(cols)
+        return np.tile(np.arange(n, dtype=np.int32), len(cols)), np.concatenate(cols).astype(np.int32)
 
     @property
     def meta_width(self) -> int:
@@ -188,7 +194,7 @@ class Model:
         at = np.minimum(np.searchsorted(self.selected, hashes), len(self.selected) - 1)
         hit = self.selected[at] == hashes
         both = np.unique(docs[hit].astype(np.int64) * len(self.selected) + at[hit])
-        return both // len(self.selected), both % len(self.selected)
+        return (both // len(self.selected)).astype(np.int32), (both % len(self.selected)).astype(np.int32)
 
     def probability(self, head: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         s = self.scale[head]
@@ -204,7 +210,7 @@ def co_train(text: tuple, meta: tuple, y: np.ndarray, known: np.ndarray, held: n
     views = [text, meta]
     given = [np.where(known & ~held, y, -1) for _ in views]  # the labels each view trains on
     weight = [(known & ~held).astype(float) for _ in views]
-    models = [Logistic(w) for w in widths]
+    models = [Logistic(widths[0], evidence=True), Logistic(widths[1])]
     for turn in range(ROUNDS + 1):
         for model, (rows, cols), label, part in zip(models, views, given, weight, strict=True):
             use = part[rows] > 0
@@ -246,10 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, labelled: int = LABEL
 
     def depends(head: str):
         p = min(max((total[head] or 0) / n, 1 / (n + 1)), n / (n + 1))
-        return F.abs(F.col(head) - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
+        return (F.col(head) - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
 
-    strong = counts.filter("n >= 5").select("feature", F.greatest(*[depends(h) for h in HEADS]).alias("z")).filter(F.col("z") >= DEPENDS)
-    selected = np.sort(np.array([r.feature for r in strong.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()], np.int64))
+    strong = counts.filter(F.col("n") >= LEAST).select("feature", *[depends(h).alias(h) for h in HEADS])
+    best = [strong.filter(F.col(h) >= DEPENDS).orderBy(F.desc(h), "feature").limit(FEATURES // len(HEADS)).select("feature") for h in HEADS]
+    chosen_for = [np.array([r.feature for r in one.collect()], np.int64) for one in best]
+    selected = np.unique(np.concatenate(chosen_for))
     # what is left of the sample is small: a few of at most FEATURES features, and the layout
     picked = F.array(*[F.lit(int(x)) for x in selected]).cast("array<int>")
     rows = sample.orderBy("doc_id").select("low", "toxic", F.array_intersect("features", picked).alias("features"), "layout", "lang", "source").toArrow()
@@ -263,12 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, labelled: int = LABEL
     meta = model.meta_columns(layouts, rows.column("lang").to_numpy().astype(np.int64), rows.column("source").to_numpy().astype(np.int64))
     known = ~np.isnan(rows.column("low").to_numpy(zero_copy_only=False).astype(float)) if size else np.zeros(0, bool)
     held = known & (np.arange(size) % 3 == 0)
-    for head in HEADS:
+    for head, own in zip(HEADS, chosen_for, strict=True):
+        mine = np.isin(selected[text[1]], own) if len(selected) else np.zeros(0, bool)
         label = np.nan_to_num(rows.column(head).to_numpy(zero_copy_only=False).astype(float)) if size else np.zeros(0)
         if not (known & ~held).any():
             model.text[head], model.meta[head], model.scale[head] = Logistic(max(1, len(selected))), Logistic(model.meta_width), np.array([0, 0, 0, 0, 0, 0, -30.0])
             continue
-        (model.text[head], model.meta[head]), model.scale[head] = co_train(text, meta, label, known, held, (max(1, len(selected)), model.meta_width))
+        (model.text[head], model.meta[head]), model.scale[head] = co_train((text[0][mine], text[1][mine]), meta, label, known, held, (max(1, len(selected)), model.meta_width))
     return model
 
 
