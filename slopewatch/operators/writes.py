@@ -71,3 +71,23 @@ def counted(df: DataFrame, valid, name: str = "quality") -> tuple[DataFrame, Obs
 def quality_row(spark: SparkSession, source: str, day: str, counts: dict, reason: str | None, state: str) -> DataFrame:
     row = [(source, day, counts["downloaded"], counts["valid"], counts["discarded"], reason, state)]
     return spark.createDataFrame(row, "fuente string, fecha_ingesta string, registros_descargados long, registros_validos long, registros_descartados long, motivo_descarte string, estado string")
+
+
+def run_row(spark: SparkSession, source: str, status: str, counts: dict, started, finished, detail: str | None = None) -> DataFrame:
+    """A row of the log of runs; written whether a run worked or not."""
+    row = [(source, status, started, finished, counts.get("downloaded", 0), counts.get("valid", 0), counts.get("discarded", 0), detail)]
+    return spark.createDataFrame(row, "source string, status string, run_started_at timestamp, run_finished_at timestamp, records_downloaded int, records_valid int, records_discarded int, detail string")
+
+
+def chunked(df: DataFrame, path: str, rows: int) -> None:
+    """Append in files of at most so many rows."""
+    df.write.mode("append").option("maxRecordsPerFile", rows).parquet(path)
+
+
+def json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def covers(df: DataFrame, columns: list[str]) -> bool:
+    """Whether a table has all of the columns."""
+    return set(columns) <= set(df.columns)
