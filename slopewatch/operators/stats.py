@@ -54,14 +54,20 @@ def confusion(df: DataFrame, label: str, score: str, thresholds: list[float]) ->
     return counts.select("threshold", "tp", "fp", "fn", "tn", rounded(p, 6).alias("precision"), rounded(r, 6).alias("recall"), rounded(share(2 * p * r, p + r), 6).alias("f1"), rounded(share(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), 6).alias("accuracy"))
 
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, buckets: int = 4096) -> DataFrame:
     """Area under the ROC curve by rank sums.
 
-    Scores are counted first; the running count is over distinct scores, in the parts that a range sort gives.
+    Scores are counted first.  The running count is taken in two steps: over a fixed number of ranges of scores, then
+    within each range, so no task sees all scores.
     """
-    by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.select("p", "q", below.alias("b")).agg(rounded(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)) / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0)), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    bounds = by.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    part = F.coalesce(F.floor(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")) * buckets), F.lit(0))
+    by = by.crossJoin(F.broadcast(bounds)).select("s", "p", "q", part.alias("part"))  # one row
+    sizes = by.groupBy("part").agg(F.sum("q").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inner = F.coalesce(F.sum("q").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = by.withColumn("inner", inner).join(sizes, "part").select("p", "q", (F.col("base") + F.col("inner")).alias("b"))
+    return below.agg(rounded(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)) / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0)), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
