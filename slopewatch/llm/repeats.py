@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, batch, by_key, runs, utf8
-from .windows import blocks, gram_hash, groups, prefix_hash, span_hash, spans_union
+from .windows import blocks, gram_hash, groups, mix, prefix_hash, span_hash, spans_union
 from .words import words
 
-GROUP = "_key long, start int, n int, anchor long, digest long"
+GROUP = "_key long, start int, n int, anchor long, digest long, times int"
 SEGMENT = "anchor long, _key long, start int, size int, single boolean, symbols binary, windows array<long>"
 SPAN = "_key long, start int, end int"
 
@@ -45,8 +45,14 @@ STEP = 1 << 20
 
 
 def find_groups(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_key, _text) to the window groups of each document.
+
+    A group that a document holds several times is one row, its first place, with how often it is there; the stretches
+    that such groups cover are known to repeat and come as rows without an anchor, n symbols from start.  So a line that
+    fills a document costs a few rows.
+    """
     symbols, gram = UNITS[unit]
-    schema = pa.schema([("_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("digest", pa.int64())])
+    schema = pa.schema([("_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("digest", pa.int64()), ("times", pa.int32())])
 
     def run(batches):
         for part in batches:
@@ -60,8 +66,23 @@ def find_groups(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]],
                     end = np.cumsum(hi - lo)
                     begin = end - (hi - lo)
                     place, n, anchor, digest = groups(whole, begin, end, length, gram)
+                    if not len(place):
+                        continue
                     at = np.searchsorted(end, place, side="right")
-                    yield batch(schema, _key=key[a + doc[at]], start=(place - begin[at] + lo[at]).astype(np.int32), n=n.astype(np.int32), anchor=anchor.view(np.int64), digest=digest.view(np.int64))
+                    _, one, which, times = np.unique(mix(digest ^ mix(anchor + mix(at.astype(np.uint64)))), return_index=True, return_inverse=True, return_counts=True)
+                    yield batch(
+                        schema, _key=key[a + doc[at[one]]], start=(place[one] - begin[at[one]] + lo[at[one]]).astype(np.int32), n=n[one].astype(np.int32), anchor=anchor[one].view(np.int64), digest=digest[one].view(np.int64), times=times.astype(np.int32)
+                    )
+                    own = np.flatnonzero(times[which] > 1)
+                    if len(own):
+                        x, y, p = place[own], place[own] + n[own] + length - 1, at[own]
+                        far = np.maximum.accumulate(y)
+                        new = np.ones(len(own), bool)
+                        new[1:] = (x[1:] > far[:-1]) | (p[1:] != p[:-1])
+                        head = np.flatnonzero(new)
+                        stop = far[np.append(head[1:], len(own)) - 1]
+                        none = pa.nulls(len(head), pa.int64())
+                        yield batch(schema, _key=key[a + doc[p[head]]], start=(x[head] - begin[p[head]] + lo[p[head]]).astype(np.int32), n=(stop - x[head]).astype(np.int32), anchor=none, digest=none, times=np.ones(len(head), np.int32))
 
     return run
 
@@ -173,11 +194,11 @@ def repeated_spans(docs: DataFrame, ws: Workspace, unit: str, length: int, mark:
     """(_key, spans: [(start, end)]) of the documents (_key, _text) in which a window of ``length`` symbols occurs that
     also starts anywhere else; the spans cover the repeated windows and may overlap."""
     found = ws.table(docs.select("_key", "_text").mapInArrow(find_groups(unit, length), GROUP), "groups")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("times > 1")
+    anchors = found.filter("anchor is not null").groupBy("anchor").agg(F.sum("times").alias("times"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("times > 1")
     anchors = ws.table(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors")  # a table: a join with it can split hot anchors
     hits = ws.table(found.join(anchors, "anchor"), "hits")
     mixed = hits.filter("not same")
-    kinds = ws.table(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("times"), F.min(F.struct("_key", "start", "n")).alias("place")), "kinds")
+    kinds = ws.table(mixed.groupBy("anchor", "digest").agg(F.sum("times").alias("times"), F.min(F.struct("_key", "start", "n")).alias("place")), "kinds")
     hot = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("hot"))
     wanted = (
         kinds.join(hot, "anchor", "left")
@@ -195,10 +216,11 @@ def repeated_spans(docs: DataFrame, ws: Workspace, unit: str, length: int, mark:
     twice = single.groupBy("anchor", "window").agg(F.count("*").alias("times")).filter("times > 1")
     counted = single.filter("single").join(twice, ["anchor", "window"]).select("_key", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + length).alias("end"))
     whole = F.col("start") + F.col("n") + (length - 1)
-    copies = hits.filter("same").select("_key", "start", whole.alias("end")).unionByName(
-        mixed.join(kinds.filter("times > 1").select("anchor", "digest"), ["anchor", "digest"]).select("_key", "start", whole.alias("end"))
-    )
-    spans = copies.unionByName(marked).unionByName(counted)
+    # a table of its own: Spark splits a hot key's rows only in a stage with no more than the join's two inputs
+    same = ws.table(mixed.join(kinds.filter("times > 1").select("anchor", "digest"), ["anchor", "digest"]).select("_key", "start", whole.alias("end")), "copies")
+    copies = hits.filter("same").select("_key", "start", whole.alias("end")).unionByName(same)
+    inner = found.filter("anchor is null").select("_key", "start", (F.col("start") + F.col("n")).alias("end"))
+    spans = copies.unionByName(inner).unionByName(marked).unionByName(counted)
     return spans.groupBy("_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
