@@ -281,25 +281,22 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, labelled: int = LABEL
     return model
 
 
-SCORED = "_n long, low double, toxic double"
+def scorer(model: Model):
+    """(text, lang, source) to both probabilities.  Only these columns go to Python, and only numbers come back."""
 
+    @F.arrow_udf("struct<low: double, toxic: double>")
+    def score(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+        data, offsets = utf8(text)
+        out = {head: np.zeros(len(text)) for head in HEADS}
+        kinds = [np.array([kind(x) for x in c.to_pylist()], np.int64) for c in (lang, source)]
+        for a, b in runs(offsets, 1 << 19):
+            words_ = model.text_columns(*content(data, offsets[a : b + 1]))
+            meta = model.meta_columns(layout(data, offsets[a : b + 1]), kinds[0][a:b], kinds[1][a:b])
+            for head in HEADS:
+                out[head][a:b] = model.probability(head, model.text[head].logit(*words_, b - a), model.meta[head].logit(*meta, b - a))
+        return pa.StructArray.from_arrays([pa.array(out[h]) for h in HEADS], list(HEADS))
 
-def _score(model: Model, names: list[str]):
-    def run(batches):
-        for part in batches:
-            data, offsets = utf8(part.column("_text"))
-            low, toxic = np.zeros(part.num_rows), np.zeros(part.num_rows)
-            lang = np.array([kind(x) for x in part.column("_lang").to_pylist()], np.int64)
-            source = np.array([kind(x) for x in part.column("_source").to_pylist()], np.int64)
-            for a, b in runs(offsets, 1 << 20):
-                hashes, doc = content(data, offsets[a : b + 1])
-                text = model.text_columns(hashes.astype(np.int64), doc)
-                meta = model.meta_columns(layout(data, offsets[a : b + 1]), lang[a:b], source[a:b])
-                for head, out in (("low", low), ("toxic", toxic)):
-                    out[a:b] = model.probability(head, model.text[head].logit(*text, b - a), model.meta[head].logit(*meta, b - a))
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(low), pa.array(toxic)], [*names, "low_quality", "toxicity"])
-
-    return run
+    return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, reject: float = REJECT) -> DataFrame:
@@ -315,11 +312,12 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])
     model = fit(slim, labels, ws, labelled, pool)
     ws.drop()
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *[F.col(c).cast("string").alias(f"_{c}") for c in ("text", "lang", "source")])
-    types = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
-    scored = inner.mapInArrow(_score(model, names), f"{types}, low_quality double, toxicity double")
-    return scored.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], "low_quality", "toxicity", (F.greatest("low_quality", "toxicity") < reject).alias("kept"))
+    p = scorer(model)(*[F.col(c).cast("string") for c in ("text", "lang", "source")])
+    held = "_scores"
+    while held in docs.columns:
+        held += "_"
+    out = docs.withColumn(held, p).withColumns({"low_quality": F.col(held)["low"], "toxicity": F.col(held)["toxic"]}).drop(held)
+    return out.withColumn("kept", F.greatest("low_quality", "toxicity") < reject)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
