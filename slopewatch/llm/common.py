@@ -95,8 +95,11 @@ def lists(values: pa.Array | np.ndarray, offsets: np.ndarray, kind: pa.DataType)
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(_key long, _id, _text, and _0, _1, ... for the columns to carry): ``_key`` tells rows apart.  It is the id itself where ids are unique and not null, else a
-    hash of id and text, so that rows that repeat an id count as documents of their own."""
+    """(_key long, _id, _text, and _0, _1, ... for the columns to carry): ``_key`` tells rows apart.
+
+    It is the id itself where ids are unique and not null, else a hash of id and text, so that rows that repeat an id
+    count as documents of their own.
+    """
     from pyspark.sql import functions as F
 
     slim = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
