@@ -23,8 +23,10 @@ from .words import shingles, words
 #: Coordinates of a signature, and how many must collide.  A pair of similarity 0.85 misses 15 of 32 with a probability
 #: of 4e-6.
 COORDINATES, AGREE = 32, 15
-#: Documents of a family that meet in one task; larger families meet in pairs of blocks of half as many.
-FAMILY = 8192
+#: Shingles of a family that meet in one task; larger families meet in pairs of blocks of half as many.
+FAMILY = 1 << 21
+#: A family of fewer shingles than this is never cut to spread its work.
+WHOLE = 1 << 16
 #: Shingles of families that one task handles at once.
 SHARD = 1 << 20
 
@@ -177,9 +179,15 @@ def _near(rows: DataFrame, ws: Workspace, percent: int, size: int, coordinates:
     lists_ = prefix.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     families = components(prefix.join(lists_, "value").select(F.col("rep").alias("a"), F.col("hub").alias("b")), ws).select(F.col("id").alias("_key"), F.col("component").alias("family"))
     families = ws.table(families, "families")
-    # a family of up to ``most`` sets is one bucket; of a larger one, each pair of blocks
-    half = most // 2
-    sizes = families.groupBy("family").agg(F.count("*").alias("members")).select("family", F.when(F.col("members") <= most, 1).otherwise(F.ceil(F.col("members") / half)).cast("int").alias("blocks"))
+    # a family of up to ``most`` shingles is one bucket; of a larger one, each pair of blocks
+    families = families.join(reps.select("_key", "n_shingles"), "_key")
+    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    # one with a large share of all shingles is cut too, into as many pairs as tasks have that share of the work
+    everything = families.agg(F.sum("n_shingles").alias("everything"))  # one row
+    own = families.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("own")).crossJoin(F.broadcast(everything))
+    fit = F.when(F.col("own") <= most, 1).otherwise(F.ceil(F.col("own") / (most / 2)))
+    spread = F.when((F.col("own") >= WHOLE) & (F.col("own") * parts > 4 * F.col("everything")), F.ceil(F.sqrt(2.0 * parts * F.col("own") / F.col("everything")))).otherwise(1)
+    sizes = own.select("family", F.least("sets", F.greatest(fit, spread)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")
     placed = families.join(sizes, "family").withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -191,7 +199,6 @@ def _near(rows: DataFrame, ws: Workspace, percent: int, size: int, coordinates:
     )
     # never a broadcast: the sets that are looked at grow with the corpus
     sets = rows.select("_key", "_text").hint("merge").join(ws.table(placed, "placed"), "_key").mapInArrow(gather_sets(size), SETS)
-    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     links = ws.table(sets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(confirm(percent), "a long, b long"), "links")
     found = components(links, ws)
     low = reps.select(F.col("_key").alias("id"), "set_key", "n_shingles", "low").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -112,7 +112,7 @@ def test_automaton_on_foreign_words():
     assert automaton.matching([2, 3, 4, 5, 9, 1, 2]) == [1, 2, 3, 3, 0, 1, 2]
 
 
-@pytest.mark.parametrize("most", [8192, 4])
+@pytest.mark.parametrize("most", [1 << 21, 300])
 def test_near_duplicates(spark, most):
     rows = corpus()
     sets = {}
