@@ -199,7 +199,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace, unit: str, length: int, mark:
     hits = ws.table(found.join(anchors, "anchor"), "hits")
     mixed = hits.filter("not same")
     kinds = ws.table(mixed.groupBy("anchor", "digest").agg(F.sum("times").alias("times"), F.min(F.struct("_key", "start", "n")).alias("place")), "kinds")
-    hot = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("hot"))
+    hot = ws.table(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("hot")), "hot")  # few rows, if any
     wanted = (
         kinds.join(hot, "anchor", "left")
         .select("place._key", F.struct("place.start", "place.n", "anchor", (F.col("times") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("one"))
