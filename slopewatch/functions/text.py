@@ -115,10 +115,16 @@ def resolve_alias(text: Column) -> Column:
 def mentions(text: Column, names: dict[str, str]) -> Column:
     """Ids whose alias stands in the text between other signs than letters and digits, by first position, as an array
     of (position, id).  The aliases are a small fixed dimension, so this is an expression, not a join."""
-    folded = fold(text)
-    found = [F.struct(F.regexp_instr(folded, F.lit(rf"(?<![a-z0-9]){alias}(?![a-z0-9])")).cast("long").alias("position"), F.lit(i).alias("id")) for alias, i in names.items()]
-    hits = F.filter(F.array(*found), lambda x: x["position"] > 0)
-    return F.array_sort(hits)
+
+    def search(folded: Column) -> Column:
+        def place(alias: str) -> Column:  # the pattern runs only where the letters are there at all
+            at = F.regexp_instr(folded, F.lit(rf"(?<![a-z0-9]){alias}(?![a-z0-9])"))
+            return F.when(F.contains(folded, F.lit(alias)), at).otherwise(0).cast("long")
+
+        found = [F.struct(place(alias).alias("position"), F.lit(i).alias("id")) for alias, i in names.items()]
+        return F.array_sort(F.filter(F.array(*found), lambda x: x["position"] > 0))
+
+    return F.element_at(F.transform(F.array(fold(text)), search), 1)  # folds the text once, not once for each alias
 
 
 def title(text: Column, most: int = 500, default: str = "sin titulo") -> Column:
