@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,11 +47,12 @@ def pipeline(features: list[str], classifier, impute: bool = False) -> Pipeline:
 
 def cross_validated(rows: DataFrame, features: list[str], classifier, k: int = 5) -> float:
     """Mean area under the ROC curve over the folds."""
-    measure = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
     out = []
     for i in range(k):
         model = pipeline(features, classifier).fit(rows.filter(F.col("fold") != i))
-        out.append(measure.evaluate(model.transform(rows.filter(F.col("fold") == i))))
+        tested = model.transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("rawPrediction")[1].alias("raw"))
+        found = auc(tested, "label", "raw").first().auc
+        out.append(float("nan") if found is None else found)
     return sum(out) / len(out)
 
 
@@ -63,7 +63,7 @@ def choose(rows: DataFrame, features: list[str], key: str, names: list[str] | No
     ready = folds(weighted(rows), key, k).cache()
     small = ready.count() < 500
     found = {n: cross_validated(ready, features, c, k) for n, c in candidates(small).items() if names is None or n in names}
-    best = max(found, key=lambda n: found[n])
+    best = max(found, key=lambda n: found[n] if found[n] == found[n] else -1.0)  # the first of equals; a failed one last
     model = pipeline(features, candidates(small)[best]).fit(ready)
     ready.unpersist()
     return best, found, model

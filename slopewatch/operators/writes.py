@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
@@ -60,12 +60,13 @@ def filled(df: DataFrame, column: str, value) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), value))
 
 
-def counted(df: DataFrame, valid, name: str = "quality") -> tuple[DataFrame, Observation]:
-    """The valid rows, and counters of the run that fill in as it goes: downloaded, valid, discarded."""
-    seen = Observation(name)
+def counted(df: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
+    """The valid rows, and one row of counters: downloaded, valid, discarded.
+
+    The counters are a query of their own that reads only the columns of the test.
+    """
     ok = F.coalesce(valid, F.lit(False))
-    out = df.observe(seen, F.count(F.lit(1)).alias("downloaded"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("discarded"))
-    return out.filter(ok), seen
+    return df.filter(ok), df.agg(F.count(F.lit(1)).alias("downloaded"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("discarded"))
 
 
 def quality_row(spark: SparkSession, source: str, day: str, counts: dict, reason: str | None, state: str) -> DataFrame:
