@@ -35,13 +35,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption pre address hr figcaption summary center tbody thead tfoot hgroup legend optgroup".split())
 #: A start tag of these ends an open p.
 ENDS_P = BLOCKS - frozenset("td th tr tbody thead tfoot caption li dt dd html body summary legend".split())
-#: Words in a class, id or role that say what a container is for.
-OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|adslot|banner|sponsor|sponsored|promo|promoted|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|header|masthead|topbar|footer|bottombar|sidebar|"
-    r"aside|rail|widget|widgets|related|recommended|recommendations|share|sharing|social|comment|comments|commentlist|respond|discussion|disqus|notice|notices|cookie|cookies|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|login|search|searchbox|copyright|legal|disclaimer|pager|pagination|skip|toolbar|contentinfo|complementary|alert|hidden)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words in a class, id or role that say what a wrapper is for, and words that may stand beside them in a name.
+OTHER = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promoted nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar "
+    "aside rail widget widgets related recommended recommendations share sharing social comment comments commentlist respond discussion disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription "
+    "signup login search searchbox copyright legal disclaimer pager pagination skip toolbar contentinfo complementary alert hidden".split()
 )
+BESIDE = frozenset("site global top bottom left right primary secondary main slot box container wrapper wrap block area bar list links link section unit posts articles stories".split())
+#: Share of the text that a named wrapper must hold for its name not to count.
+MOST = 0.5
 
 
 def events(page: str):
@@ -67,42 +69,60 @@ def events(page: str):
             at = close.start() if close else end
 
 
-def marks(attributes: str) -> tuple[str, bool]:
-    """The label of a container (class, id and role, digits as one sign) and whether it is hidden or for something else."""
-    label, other = [], False
+def says_other(value: str) -> bool:
+    """Whether a whole token of a class, id or role is one of OTHER, alone or with nothing but words of BESIDE.
+
+    'has-sidebar' or 'article-header' name something else than a sidebar or a page's header.
+    """
+    for token in value.lower().split():
+        parts = [p for p in re.split(r"[-_#]+", token) if p]
+        if any(p in OTHER for p in parts) and all(p in OTHER or p in BESIDE for p in parts):
+            return True
+    return False
+
+
+def marks(attributes: str) -> tuple[str, bool, bool]:
+    """The label of a container (class, id and role, digits as one sign), whether it is hidden, and whether its names say
+    that it is for something else than the article."""
+    label, hidden, other = [], False, False
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "itemprop"):
             value = re.sub(r"\d+", "#", value.strip())
             label.append(f"{name[0]}={value}")
-            other |= bool(OTHER.search(value))
+            other |= says_other(value)
         else:
-            other |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)))
-    return "|".join(label), other
+            hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)))
+    return "|".join(label), hidden, other
 
 
 class Walk:
-    """Follows a page's containers; unclosed and stray tags don't disturb it."""
+    """Follows a page's containers; unclosed and stray tags don't disturb it.
 
-    def __init__(self):
-        self.stack: list[tuple[str, str, bool]] = []  # name, path, silent
+    ``off`` has the start tags (their numbers among the events) of wrappers whose names count.
+    """
+
+    def __init__(self, off: frozenset[int] | set[int] = frozenset()):
+        self.off = off
+        self.stack: list[tuple[str, str, bool, int, bool]] = []  # name, path, silent, number of the start tag, named
 
-    def start(self, name: str, attributes: str) -> bool:
+    def start(self, name: str, attributes: str, at: int = -1) -> bool:
         """Whether it is a container (or a silent element), which is then open."""
+        other = False
         if name in VOID or name not in CONTAINERS and name not in SILENT:
             if not attributes or name in VOID:
                 return False
-            label, other = marks(attributes)
-            if not other:
+            label, hidden, _ = marks(attributes)  # what isn't a wrapper is silent only if it is hidden
+            if not hidden:
                 return False
         else:
-            label, other = marks(attributes) if attributes else ("", False)
+            label, hidden, other = marks(attributes) if attributes else ("", False, False)
         if name == "body" or name == "html":
-            other = False
+            hidden = other = False
         if name == "body":  # a head that wasn't closed ends here
             self.stack = [x for x in self.stack if x[0] == "html"]
-        above = self.stack[-1] if self.stack else ("", "", False)
-        self.stack.append((name, f"{above[1]}/{name}{'[' + label + ']' if label else ''}", above[2] or other or name in SILENT))
+        above = self.stack[-1] if self.stack else ("", "", False, -1, False)
+        self.stack.append((name, f"{above[1]}/{name}{'[' + label + ']' if label else ''}", above[2] or hidden or name in SILENT or at in self.off, at, other))
         return True
 
     def end(self, name: str) -> str | None:
@@ -119,21 +139,56 @@ class Walk:
         return bool(self.stack) and self.stack[-1][2]
 
 
+def is_main(name: str, path: str) -> int:
+    """2 for an article or what says that it is the article's body, 1 for a main element, else 0."""
+    return 2 if name == "article" or path.endswith("]") and "i=articleBody" in path[path.rfind("/" + name) :] else 1 if name == "main" or path.endswith("]") and "r=main" in path[path.rfind("/" + name) :] else 0
+
+
+def silenced(found: list, loud: frozenset[str] = frozenset()) -> set[int]:
+    """Start tags (numbers of the events) of wrappers whose names silence them.
+
+    Names are evidence only: a wrapper that holds the page's main element or most of its text isn't silent, nor is one
+    whose path the host's template gives most of the text (``loud``).
+    """
+    walk, chars, named, mains, total = Walk(), Counter(), {}, {}, 0
+    for at, (what, name, attributes, text) in enumerate(found):
+        if what == "start":
+            if walk.start(name, attributes, at) and not walk.silent:
+                own = walk.stack[-1]
+                if own[4]:
+                    named[at] = own[1]
+                if is_main(name, own[1]):
+                    mains[at] = [x[3] for x in walk.stack if x[4]]
+        elif what == "end":
+            walk.end(name)
+        elif not walk.silent and (n := len(text.strip())):
+            total += n
+            for x in walk.stack:
+                chars[x[3]] += n
+    if not named:
+        return set()
+    free = [m for m, above in mains.items() if not above and chars[m]]
+    best = max(free or [m for m in mains if chars[m]], key=lambda m: (chars[m], -m), default=None)
+    holds = mains[best] if best is not None else []
+    return {at for at, path in named.items() if chars[at] < MOST * total and at not in holds and path not in loud}
+
+
 def profile(page: str) -> dict[str, list[int]]:
-    """For each structural token of a page: occurrences, characters of text below it that may be the article's."""
+    """For each structural token of a page: occurrences, characters of text below it; what only its name silences
+    counts, so that the template can overrule names."""
     walk, count, chars = Walk(), Counter(), Counter()
-    for kind, name, attributes, text in events(page):
-        if kind == "start":
+    for what, name, attributes, text in events(page):
+        if what == "start":
             if walk.start(name, attributes) and not walk.silent:
                 count[walk.stack[-1][1]] += 1
-        elif kind == "end":
+        elif what == "end":
             silent = walk.silent
             path = walk.end(name)
             if path and not silent:
                 count[path + "/end"] += 1
         elif not walk.silent and walk.stack and (n := len(text.strip())):
-            for _, path, _ in walk.stack:
-                chars[path] += n
+            for x in walk.stack:
+                chars[x[1]] += n
     return {t: [n, chars[t]] for t, n in count.items()}
 
 
@@ -171,9 +226,17 @@ def main_slot(rows: list[tuple[str, int, int, float, int]], pages: int) -> str |
     return max(most, key=lambda r: (r[0].count("/"), r[4], r[0]))[0] if most and total else None
 
 
+def says_other_path(path: str) -> bool:
+    """Whether the names of the last step of a path say that it is for something else than the article."""
+    return path.endswith("]") and any(says_other(part.split("=", 1)[1]) for part in path[path.rfind("[") + 1 : -1].split("|") if "=" in part)
+
+
 def _slot(rows, pages):
     """One call for each host, on the bounded list of its template's tokens."""
-    return json.dumps(main_slot([(r.token, r.vector, r.members, r.mean, r.chars) for r in rows], pages))
+    rows = [(r.token, r.vector, r.members, r.mean, r.chars) for r in rows]
+    total = max((r[4] for r in rows), default=0)
+    loud = [r[0] for r in rows if r[4] >= MOST * total and says_other_path(r[0])] if total else []
+    return json.dumps({"slot": main_slot(rows, pages), "loud": loud})
 
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -191,11 +254,13 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     return nested.select("host", "template", F.udf(_slot, "string")("template", "all").alias("slot"))
 
 
-def extract(page: str, slot: str | None) -> str:
+def extract(page: str, slot: str | None, loud: frozenset[str] = frozenset()) -> str:
     """Text of the slot, or of the whole page where it lacks the slot; blocks on lines of their own."""
+    found = list(events(page))
+    off = silenced(found, loud)
     for wanted in (slot, None) if slot else (None,):
-        walk, blocks, held = Walk(), [], []
-        inside, seen = 0, False
+        walk, blocks, held = Walk(off), [], []
+        seen = False
 
         def close(held=held, blocks=blocks):
             if held:
@@ -204,21 +269,21 @@ def extract(page: str, slot: str | None) -> str:
                     blocks.append(text)
                 held.clear()
 
-        for kind, name, attributes, text in events(page):
-            if kind == "start":
+        for at, (what, name, attributes, text) in enumerate(found):
+            if what == "start":
                 if name in BLOCKS:
                     close()
                 elif name == "br":
                     held.append(" ")
-                if walk.start(name, attributes):
+                if walk.start(name, attributes, at):
                     close()
                     if walk.stack[-1][1] == wanted:
                         seen = True
-            elif kind == "end":
+            elif what == "end":
                 if name in BLOCKS or name in SILENT or (walk.stack and walk.stack[-1][0] == name):
                     close()
                 walk.end(name)
-            elif not walk.silent and (wanted is None or any(p == wanted for _, p, _ in walk.stack)):
+            elif not walk.silent and (wanted is None or any(x[1] == wanted for x in walk.stack)):
                 held.append(text)
         close()
         if seen or wanted is None:
@@ -232,8 +297,9 @@ OUT = "page_id long, url string, text string, n_chars long"
 def _extract(batches):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     for part in batches:
-        slots = {s: json.loads(s) if s else None for s in set(part.column(3).to_pylist())}
-        texts = [extract(text or "", slots[s]) for text, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+        slots = {s: json.loads(s) if s else {"slot": None, "loud": ()} for s in set(part.column(3).to_pylist())}
+        slots = {s: (x["slot"], frozenset(x["loud"])) for s, x in slots.items()}
+        texts = [extract(text or "", *slots[s]) for text, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
         yield batch(schema, page_id=part.column(0), url=part.column(1), text=texts, n_chars=[len(x) for x in texts])
 
 

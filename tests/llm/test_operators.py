@@ -250,6 +250,18 @@ def test_html(spark):
     assert len(rows) == 8 and all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_html_names_are_evidence_only(spark):
+    body = "<div class='article-header'><h1>Title</h1></div><p>some words of the article</p><p class='legal'>the legal part of it</p>"
+    bodies = [f"<div class='content has-sidebar'>{body}</div><div class='sidebar'>other</div>", f"<div class='main sidebar'><article>{body}</article></div><div class='cookie-banner'>Cookies</div>", f"<div class='widget'>{body}</div><div class='ad-3'>Buy</div>"]
+    df = spark.createDataFrame([(i, f"http://h{i}.org/", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    assert {r.text for r in html_extraction.extract_pages(df).collect()} == {"Title\nsome words of the article\nthe legal part of it"}
+    # the host's template overrules a name: most of its text is in the widget, on one page it isn't
+    long = "<html><body><div class='widget'><p>" + "text of an article " * 20 + "</p></div><div class='x'>odd</div></body></html>"
+    short = "<html><body><div class='widget'><p>brief text</p></div><div class='x'>a longer note beside it, for once</div></body></html>"
+    df = spark.createDataFrame([(i, "http://w.org/", x) for i, x in enumerate([long, long + " ", long + "  ", short])], "page_id long, url string, html string")
+    assert "brief text" in {r.page_id: r.text for r in html_extraction.extract_pages(df).collect()}[3]
+
+
 def test_warc(spark):
     big = "é" * 600
     pages = [(1, "http://a.org/x?b#c", big), (2, "http://www.a.org/y", big), (3, "http://b.org", "small"), (4, "http://b.org", "small"), (5, None, None), (2, "http://www.a.org/y", big), (None, "bad url\r\n", big)]
