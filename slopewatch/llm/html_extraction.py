@@ -1,20 +1,21 @@
 """Main text of web pages by equivalence-class template deduction (operator 1).
 
-Pages of a host are printed from one template.  A page gives its structural tokens: start and end tags of containers,
-told apart by the path of containers around them.  The occurrence vector of a token says how often it is in each page of
-the host; tokens with equal vectors form an equivalence class.  Vectors are never gathered: each token sums up a hash
-of (page, count), with partial aggregation, so equal sums mean equal vectors and a host of any size costs one row for
-each token.  Classes that occur in most pages are valid; nested by their paths they are the host's template, and what
-lies between their tokens are its slots.  The template names the slot that holds the article; text in slots that the
-template or the markup gives to menus, headers, footers, sidebars, notices, adverts, forms or comments is left out.
+Pages of a host are printed from a few templates.  A page's outermost article and main elements, or its body, are its
+slots; pages of a host with the same slots are a layout group.  A page gives its tokens: containers, told apart by the
+path of containers around them, and pieces of text in them.  The occurrence vector of a token says how often it is in
+each page of the group; tokens with equal vectors form an equivalence class.  Vectors are never gathered: each token sums
+up a hash of (page, count), with partial aggregation, so equal sums mean equal vectors and a host of any size costs one
+row for each token.  Classes of enough pages and members are valid; a text of a valid class nested in a container of one
+is the template's and left out.  Tags and names of menus, footers, adverts or comments are a help beside this: what they
+mark is left out too, unless it holds the page's main element or most of the text of the page or of the host's pages.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from .common import Workspace, batch
 
 #: Share of a host's pages that a valid class must occur in.
 SUPPORT = 0.5
+#: Pages that a token must occur in, and tokens of a valid class, whatever the host's size.
+LEAST, MEMBERS = 3, 2
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -144,7 +147,7 @@ def is_main(name: str, path: str) -> int:
     return 2 if name == "article" or path.endswith("]") and "i=articleBody" in path[path.rfind("/" + name) :] else 1 if name == "main" or path.endswith("]") and "r=main" in path[path.rfind("/" + name) :] else 0
 
 
-def silenced(found: list, loud: frozenset[str] = frozenset()) -> set[int]:
+def silenced(found: list, loud: frozenset[int] = frozenset()) -> set[int]:
     """Start tags (numbers of the events) of wrappers whose names silence them.
 
     Names are evidence only: a wrapper that holds the page's main element or most of its text isn't silent, nor is one
@@ -170,97 +173,131 @@ def silenced(found: list, loud: frozenset[str] = frozenset()) -> set[int]:
     free = [m for m, above in mains.items() if not above and chars[m]]
     best = max(free or [m for m in mains if chars[m]], key=lambda m: (chars[m], -m), default=None)
     holds = mains[best] if best is not None else []
-    return {at for at, path in named.items() if chars[at] < MOST * total and at not in holds and path not in loud}
+    return {at for at, path in named.items() if chars[at] < MOST * total and at not in holds and not (loud and token(path) in loud)}
 
 
-def profile(page: str) -> dict[str, list[int]]:
-    """For each structural token of a page: occurrences, characters of text below it; what only its name silences
-    counts, so that the template can overrule names."""
-    walk, count, chars = Walk(), Counter(), Counter()
-    for what, name, attributes, text in events(page):
+def token(path: str, text: str = "") -> int:
+    """64 bits for a container's path, or for a piece of text in it: blanks as one, digits as one sign."""
+    key = f"{path}\0{re.sub(r'[0-9]+', '#', ' '.join(text.split()))}" if text else path
+    return int.from_bytes(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def outline(found: list, off: set[int]) -> frozenset[str]:
+    """Paths of the page's outermost article and main elements with text: its slots.  None: the whole body is the slot."""
+    walk, chars, level = Walk(off), Counter(), set()
+    for at, (what, name, attributes, text) in enumerate(found):
+        if what == "start":
+            if walk.start(name, attributes, at) and not walk.silent and is_main(name, walk.stack[-1][1]):
+                level.add(walk.stack[-1][1])
+        elif what == "end":
+            walk.end(name)
+        elif not walk.silent and (n := len(text.strip())):
+            for x in walk.stack:
+                chars[x[1]] += n
+    of = [p for p in level if chars[p]]
+    return frozenset(p for p in of if not any(p != q and p.startswith(q + "/") for q in of))
+
+
+def layout(host: int, slots: frozenset[str], found: list) -> int:
+    """The layout group of a page: pages of a host with the same slots, or without any under the same body, share a
+    template."""
+    if not slots:
+        walk = Walk()
+        for what, name, attributes, _ in found:
+            if what == "start" and walk.start(name, attributes) and name not in SILENT and name != "html":
+                slots = frozenset([walk.stack[-1][1]])  # the first container, as a rule the body
+                break
+            if what == "end":
+                walk.end(name)
+    return token("\n".join([str(host), *sorted(slots)]))
+
+
+#: Kinds of rows: a page of a layout group, a container and a piece of text in it, a named wrapper of a host.
+PAGE, CONTAINER, TEXT, NAME = range(4)
+
+
+def profile(host: int, page: str):
+    """(site, token, container, kind, occurrences, characters, characters of the page) of a page; the site is its layout
+    group, for named wrappers its host."""
+    found = list(events(page))
+    off = silenced(found)
+    site = layout(host, outline(found, off), found)
+    walk, count, chars, up, total = Walk(), Counter(), Counter(), {}, 0
+    named = {}
+    for what, name, attributes, text in found:
         if what == "start":
             if walk.start(name, attributes) and not walk.silent:
-                count[walk.stack[-1][1]] += 1
+                own = walk.stack[-1]
+                key = token(own[1])
+                count[key, CONTAINER] += 1
+                up[key] = key
+                if own[4]:
+                    named[own[1]] = key
         elif what == "end":
-            silent = walk.silent
-            path = walk.end(name)
-            if path and not silent:
-                count[path + "/end"] += 1
+            walk.end(name)
         elif not walk.silent and walk.stack and (n := len(text.strip())):
+            total += n
             for x in walk.stack:
-                chars[x[1]] += n
-    return {t: [n, chars[t]] for t, n in count.items()}
+                if x[1] in named:
+                    chars[named[x[1]]] += n
+    yield site, 0, 0, PAGE, 1, 0, 0
+    for (key, what), n in count.items():
+        yield site, key, up[key], what, n, 0, 0
+    for key in named.values():
+        yield host, key, key, NAME, 1, chars[key], total
 
 
-TOKENS = "host string, page long, token string, n int, chars long"
+TOKENS = "page long, site long, token long, container long, kind int, n int, chars long, total long"
 
 
 def _profiles(batches):
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.string()), ("n", pa.int32()), ("chars", pa.int64())])
+    schema = pa.schema([("page", pa.int64()), ("site", pa.int64()), ("token", pa.int64()), ("container", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("chars", pa.int64()), ("total", pa.int64())])
     for part in batches:
         out = []
         for host, page, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-            out += [(host, page, token, n, chars) for token, (n, chars) in profile(text or "").items()]
+            out += [(page, *row) for row in profile(host, text or "")]
         if out:
             yield batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
 
 
-def main_slot(rows: list[tuple[str, int, int, float, int]], pages: int) -> str | None:
-    """The container whose slot holds the article, from a template's (token, class, class size, mean count, chars).
-
-    An article or main element (or one that says it is the article's body) that the template has comes first; otherwise
-    the deepest container of the template with most of the text.
-    """
-    starts = [r for r in rows if not r[0].endswith("/end")]
-    total = max((r[4] for r in starts), default=0)
-
-    def kind(token: str) -> str:
-        return token.rsplit("/", 1)[-1]
-
-    for test in (lambda k: k.startswith("article") or "i=articleBody" in k, lambda k: k.startswith("main") or "r=main" in k):
-        found = [r for r in starts if test(kind(r[0])) and r[4] > 0]
-        if found:
-            best = max(found, key=lambda r: (r[4], -r[0].count("/"), r[0]))
-            return best[0]
-    most = [r for r in starts if r[4] >= 0.6 * total and r[3] <= 1.5]
-    return max(most, key=lambda r: (r[0].count("/"), r[4], r[0]))[0] if most and total else None
-
-
-def says_other_path(path: str) -> bool:
-    """Whether the names of the last step of a path say that it is for something else than the article."""
-    return path.endswith("]") and any(says_other(part.split("=", 1)[1]) for part in path[path.rfind("[") + 1 : -1].split("|") if "=" in part)
-
-
-def _slot(rows, pages):
-    """One call for each host, on the bounded list of its template's tokens."""
-    rows = [(r.token, r.vector, r.members, r.mean, r.chars) for r in rows]
-    total = max((r[4] for r in rows), default=0)
-    loud = [r[0] for r in rows if r[4] >= MOST * total and says_other_path(r[0])] if total else []
-    return json.dumps({"slot": main_slot(rows, pages), "loud": loud})
-
-
-def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(host, template: [token, vector, members, mean, chars], slot as JSON) from (host, page, html)."""
-    tokens = pages.mapInArrow(_profiles, TOKENS)
-    vectors = tokens.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.avg("n").alias("mean"), F.sum("chars").alias("chars")
+def templates(pages: DataFrame, ws: Workspace, support: float = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(host, loud: wrappers whose names don't count) and (site, texts: pieces of template text) from (host, page, html)."""
+    rows = pages.mapInArrow(_profiles, TOKENS)
+    vectors = rows.groupBy("site", "kind", "token").agg(
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.min("container").alias("container"), F.sum("chars").alias("chars"), F.sum("total").alias("total")
     )
-    number = pages.groupBy("host").agg(F.count("*").alias("all"))
-    frequent = vectors.join(number, "host").filter(F.col("pages") >= support * F.col("all"))
-    classes = frequent.groupBy("host", "vector").agg(F.count("*").alias("members"), F.collect_list(F.struct("token", "mean", "chars")).alias("of"), F.first("all").alias("all"))
-    # a class nests in the class of the next container on its path; in order of paths the template reads from outside in
-    one = F.struct(F.col("t.token").alias("token"), "vector", "members", F.col("t.mean").alias("mean"), F.col("t.chars").alias("chars"))
-    nested = classes.select("host", "all", "vector", "members", F.explode("of").alias("t")).groupBy("host", "all").agg(F.sort_array(F.collect_list(one)).alias("template"))
-    return nested.select("host", "template", F.udf(_slot, "string")("template", "all").alias("slot"))
-
-
-def extract(page: str, slot: str | None, loud: frozenset[str] = frozenset()) -> str:
-    """Text of the slot, or of the whole page where it lacks the slot; blocks on lines of their own."""
+    vectors = ws.table(vectors.filter(F.col("pages") >= LEAST), "vectors")
+    loud = vectors.filter((F.col("kind") == NAME) & (F.col("total") > 0) & (F.col("chars") >= MOST * F.col("total"))).groupBy("site").agg(F.collect_list("token").alias("loud")).withColumnRenamed("site", "host")
+    number = vectors.filter(F.col("kind") == PAGE).select("site", F.col("pages").alias("all"))
+    frequent = vectors.filter(F.col("kind").isin(CONTAINER, TEXT)).join(number, "site").filter(F.col("pages") >= support * F.col("all"))
+    classes = frequent.groupBy("site", "vector").agg(F.collect_list(F.struct("token", "kind", "container")).alias("of")).filter(F.size("of") >= MEMBERS)
+    valid = ws.table(classes.select("site", F.explode("of").alias("t")).select("site", "t.*"), "valid")
+    # a class nests where the containers of its texts are of valid classes too
+    inner = valid.filter(F.col("kind") == TEXT).join(valid.filter(F.col("kind") == CONTAINER).select("site", F.col("token").alias("container")), ["site", "container"], "left_semi")
+    texts = inner.groupBy("site").agg(F.collect_list("token").alias("texts"))
+    return ws.table(loud, "loud"), ws.table(texts, "texts")
+
+
+def sites(host: pa.Array, page: pa.Array) -> pa.Array:
+    """The layout group of each page."""
+    out = []
+    for h, text in zip(host.to_pylist(), page.to_pylist(), strict=True):
+        found = list(events(text or ""))
+        out.append(layout(h, outline(found, silenced(found)), found))
+    return pa.array(out, pa.int64())
+
+
+def extract(page: str, loud: frozenset[int] = frozenset(), template: frozenset[int] = frozenset()) -> str:
+    """Text of the page's slots, or of its whole body where it has none; blocks on lines of their own.
+
+    Template text is left out, unless it is most of the text: such pages are copies of an article.
+    """
     found = list(events(page))
     off = silenced(found, loud)
-    for wanted in (slot, None) if slot else (None,):
+    slots = outline(found, off)
+    for drop in (template, frozenset()) if template else (frozenset(),):
         walk, blocks, held = Walk(off), [], []
-        seen = False
+        left = gone = 0
 
         def close(held=held, blocks=blocks):
             if held:
@@ -277,18 +314,22 @@ def extract(page: str, slot: str | None, loud: frozenset[str] = frozenset()) ->
                     held.append(" ")
                 if walk.start(name, attributes, at):
                     close()
-                    if walk.stack[-1][1] == wanted:
-                        seen = True
             elif what == "end":
                 if name in BLOCKS or name in SILENT or (walk.stack and walk.stack[-1][0] == name):
                     close()
                 walk.end(name)
-            elif not walk.silent and (wanted is None or any(x[1] == wanted for x in walk.stack)):
-                held.append(text)
+            elif not walk.silent and (not slots or any(x[1] in slots for x in walk.stack)):
+                n = len(text.strip())
+                if n and drop and walk.stack and token(walk.stack[-1][1], text) in drop:
+                    gone += n
+                    held.append(" ")
+                else:
+                    left += n
+                    held.append(text)
         close()
-        if seen or wanted is None:
-            return "\n".join(blocks)
-    return ""
+        if gone <= left:
+            break
+    return "\n".join(blocks)
 
 
 OUT = "page_id long, url string, text string, n_chars long"
@@ -297,9 +338,7 @@ OUT = "page_id long, url string, text string, n_chars long"
 def _extract(batches):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     for part in batches:
-        slots = {s: json.loads(s) if s else {"slot": None, "loud": ()} for s in set(part.column(3).to_pylist())}
-        slots = {s: (x["slot"], frozenset(x["loud"])) for s, x in slots.items()}
-        texts = [extract(text or "", *slots[s]) for text, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+        texts = [extract(text or "", frozenset(loud or ()), frozenset(template or ())) for text, loud, template in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
         yield batch(schema, page_id=part.column(0), url=part.column(1), text=texts, n_chars=[len(x) for x in texts])
 
 
@@ -313,9 +352,11 @@ def extract_pages(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     ws = Workspace(pages.sparkSession, "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    # written, so that its size is known: Spark broadcasts it if it is small, else joins by host and splits hot hosts
-    known = ws.table(templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html"), support).select("host", "slot"), "templates")
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "slot").mapInArrow(_extract, OUT)
+    rows = rows.withColumn("host", F.xxhash64("host"))
+    # written, so that their size is known: Spark broadcasts them if they are small, else joins and splits hot hosts
+    loud, texts = templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html"), ws, support)
+    out = rows.withColumn("site", F.arrow_udf(sites, "long")("host", "html")).join(loud, "host", "left").join(texts, "site", "left")
+    return out.select("page_id", "url", "html", "loud", "texts").mapInArrow(_extract, OUT)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,20 @@ def test_html_names_are_evidence_only(spark):
     assert "brief text" in {r.page_id: r.text for r in html_extraction.extract_pages(df).collect()}[3]
 
 
+def test_html_all_slots(spark):
+    def some(n, i):
+        return " ".join(f"word{chr(97 + i)}{chr(97 + j % 26)}" for j in range(n))
+
+    split = [f"<html><body><div id='content'><div class='lead'>{some(3, i)}</div><div class='text'>{some(7, i)}</div></div></body></html>" for i in range(4)]
+    articles = [f"<html><body><article class='lead'>{some(3, i)}</article><article class='body'>{some(7, i)}</article></body></html>" for i in range(4)]
+    # two layouts and a third of the pages of each kind: none is on half of the host's pages
+    third = [f"<html><body><main><h1>{some(3, i)}</h1><article>{some(7, i)}</article></main><div>{some(5, i + 9)}</div></body></html>" for i in range(4)]
+    for k, pages in enumerate([split, articles, split + articles + third]):
+        df = spark.createDataFrame([(i, f"http://h{k}.org/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in html_extraction.extract_pages(df).collect()}
+        assert got == {i: some(3, i % 4) + "\n" + some(7, i % 4) for i in range(len(pages))}
+
+
 def test_warc(spark):
     big = "é" * 600
     pages = [(1, "http://a.org/x?b#c", big), (2, "http://www.a.org/y", big), (3, "http://b.org", "small"), (4, "http://b.org", "small"), (5, None, None), (2, "http://www.a.org/y", big), (None, "bad url\r\n", big)]
