@@ -240,6 +240,9 @@ def profile(host: int, page: str):
             for x in walk.stack:
                 if x[1] in named:
                     chars[named[x[1]]] += n
+            key = token(walk.stack[-1][1], text)
+            count[key, TEXT] += 1
+            up[key] = token(walk.stack[-1][1])
     yield site, 0, 0, PAGE, 1, 0, 0
     for (key, what), n in count.items():
         yield site, key, up[key], what, n, 0, 0

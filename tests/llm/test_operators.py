@@ -276,6 +276,19 @@ def test_html_all_slots(spark):
         assert got == {i: some(3, i % 4) + "\n" + some(7, i % 4) for i in range(len(pages))}
 
 
+def test_html_template_text(spark):
+    def page(i, menu, box, more=""):
+        own = " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(26))
+        return f"<html><body><div class='q1'><p>{menu}</p></div><div class='z9'>Page {i} of 10</div><div class='k'><p>{own}</p>{more}<div class='x7'>{box}</div></div></body></html>", own
+
+    made = [page(i, "Home and news", "Read our other pages") for i in range(4)]
+    copies = [page(7, "Home and news", "Read our other pages") for i in range(3)]
+    rows = [(i, "http://t.org/", x) for i, (x, _) in enumerate(made)] + [(9 + i, "http://u.org/", x) for i, (x, _) in enumerate(copies)]
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == own for i, (_, own) in enumerate(made))  # unmarked menu, counter and box are the template's
+    assert all(copies[0][1] in got[9 + i] for i in range(3))  # copies of an article keep it
+
+
 def test_warc(spark):
     big = "é" * 600
     pages = [(1, "http://a.org/x?b#c", big), (2, "http://www.a.org/y", big), (3, "http://b.org", "small"), (4, "http://b.org", "small"), (5, None, None), (2, "http://www.a.org/y", big), (None, "bad url\r\n", big)]
