@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id stay; of rows that repeat an id one stays.
     """
-    marked = near_duplicates(docs)
+    marked = near_duplicates(docs, percent=80)
     gone = marked.filter("doc_id is not null and not kept").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if marked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():

@@ -34,3 +34,10 @@ def test_ids_that_repeat_or_are_missing(spark, data):
     out = corpus_pipeline.near_dedup(spark, more, data)
     assert out.filter("doc_id is null").count() == 2
     assert out.filter("doc_id is not null").count() == out.filter("doc_id is not null").select("doc_id").distinct().count()
+
+
+def test_similarity_of_080(spark, data):
+    words = [f"word{i}" for i in range(55)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:27], "other", *words[28:]]))]  # 46 of 56 shingles: 0.82
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()] == [1]
