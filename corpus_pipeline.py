@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopewatch.llm.common import Workspace
-from slopewatch.llm.near_duplicates import near_duplicates
+from slopewatch.llm.near_duplicates import without_near_duplicates
 from slopewatch.llm.packing import pack_documents
 from slopewatch.llm.quality import classify
 from slopewatch.llm.suffix_array_dedup import suffix_array_dedup
@@ -19,16 +19,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id.
+    """One row of each group of near duplicates stays: the one with the smallest doc_id.
 
-    Documents without an id stay; of rows that repeat an id one stays.
+    Decided by row, not by id: rows of one id with different texts are documents of their own, copies without an id
+    are found too.  Rows without words stay, unless they repeat an id and text.
     """
-    marked = near_duplicates(docs, percent=80)
-    gone = marked.filter("doc_id is not null and not kept").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if marked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-    return out
+    return without_near_duplicates(docs, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,6 +163,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_column
     return ws.keep(_near(keyed(docs, id_column, text_column), ws, percent, size, coordinates, agree, most).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", (F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False))).alias("kept")))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int, size: int = 5, id_column: str = "doc_id", text_column: str = "text", coordinates: int = COORDINATES, agree: int = AGREE, most: int = FAMILY) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays for each component of near duplicates: the smallest id, and
+    of equal ids the smallest key of id and text.  A null id comes after all others.
+
+    Rows are told apart by id and text, so different texts under one id are decided on each by itself.  Of rows that
+    repeat id and text one stays, by a hash of its columns.  Rows without words are linked with nothing; those without
+    an id as well all stay.
+    """
+    ws = Workspace(docs.sparkSession, "near")
+    rows = keyed(docs, id_column, text_column, carry=tuple(docs.columns))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    marked = ws.table(_near(rows, ws, percent, size, coordinates, agree, most).select("_key", "_id", "n_shingles", "component").filter("n_shingles > 0 or _id is not null"), "marked")
+    linked = marked.filter("n_shingles > 0")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_first"))
+    gone = linked.join(first, "component").filter("_key <> _first").select("_key", F.lit(True).alias("_gone"))
+    again = marked.groupBy("_key").count().filter("count > 1").select("_key", F.lit(False).alias("_gone"))
+    decided = ws.keep(gone.unionByName(again).groupBy("_key").agg(F.max("_gone").alias("_gone")), "decided")
+    out = rows.join(decided, "_key", "left").filter("not coalesce(_gone, false)")
+    some = decided.filter("not _gone").limit(1).count()
+    if some:
+        one = F.struct(*names)
+        repeated = out.filter("_gone is not null").groupBy("_key").agg(F.min_by(one, F.xxhash64(*names)).alias("_one")).select("_one.*")
+        out = out.filter("_gone is null").select(*names).unionByName(repeated)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def _near(rows: DataFrame, ws: Workspace, percent: int, size: int, coordinates: int, agree: int, most: int) -> DataFrame:
     feats = ws.table(rows.mapInArrow(describe(size, coordinates), FEATURES), "features")
     # one representative of each set
@@ -203,7 +229,7 @@ def _near(rows: DataFrame, ws: Workspace, percent: int, size: int, coordinates:
     found = components(links, ws)
     low = reps.select(F.col("_key").alias("id"), "set_key", "n_shingles", "low").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = low.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = low.join(least, "component").select("set_key", "n_shingles", "component_id")
+    named = low.join(least, "component").select("set_key", "n_shingles", "component_id", "component")
     return feats.drop("signature").join(named, ["set_key", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "_id"))
 
 

@@ -41,3 +41,11 @@ def test_similarity_of_080(spark, data):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:27], "other", *words[28:]]))]  # 46 of 56 shingles: 0.82
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()] == [1]
+
+
+def test_rows_are_decided_on_by_themselves(spark, data):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (7, d), (None, c), (None, "new " + d), (None, "x " + b[::-1]), (None, "x " + b[::-1]), (8, ""), (8, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, data).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, c), (7, d), (None, "x " + b[::-1]), (8, ""), (None, "")], key=str)
