@@ -135,7 +135,7 @@ def text_templates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("refusal_flag", "SELECT conv_id, turn, turn % 3 = 0 AS refuses FROM conversations")
 def refusal_flag(spark: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("turn") % 3 == 0, F.concat(F.left("text", F.lit(40)), F.lit(" No tengo información ESPECÍFICA."))).otherwise(F.col("text"))
+    said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" No tengo información ESPECÍFICA."))).otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", X.refuses(said).alias("refuses"))
 
 

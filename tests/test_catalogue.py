@@ -47,3 +47,7 @@ def test_rows_only_queries(spark, data):
     assert QUERIES["approx_users"](spark, data).count() == 5
     rows = QUERIES["train_predict"](spark, data).collect()
     assert len(rows) == 500 and all(0 <= r.risk_score <= 1 for r in rows)
+
+
+def test_refusals_are_sought_in_whole_texts(spark, data):
+    assert "left(" not in QUERIES["refusal_flag"](spark, data)._jdf.queryExecution().analyzed().toString().lower()
