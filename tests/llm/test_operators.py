@@ -203,33 +203,69 @@ def test_step_groups_are_balanced():
     assert collections.Counter(groups) == {g: 8 for g in range(10)} and max(work.values()) < 1.3 * min(work.values())
 
 
+def shingles_of(text):
+    w = WORDS.findall(text)
+    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
 def test_fingerprints(spark):
     rows = [r for r in corpus() if r[0] is not None]
     got = {r.doc_id: r for r in fingerprints.compare_edited(frame(spark, rows)).collect()}
     ordered = sorted((i, t or "") for i, t in rows)
-    seen = collections.defaultdict(set)
+    seen, far = collections.defaultdict(set), []
     for k, (i, t) in enumerate(ordered):
         following = ordered[(k + 1) % len(ordered)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + following[:half]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert bool(r.fingerprint) == bool(WORDS.findall(t))
         seen[t].add(r.fingerprint)
+        for other, near in ((edited, r.near_edited), (following, r.near_next)):
+            a, b = shingles_of(t), shingles_of(other)
+            exact = len(a & b) / len(a | b) if a | b else 1.0
+            if max(len(a), len(b)) < fingerprints.FEWEST:
+                assert near == exact
+            far.append(abs(near - exact))
         if t == edited:
             assert r.near_edited == 1.0 and r.fingerprint == r.edited_fingerprint
+    assert max(far) < 4 * 0.0625
     assert all(len(f) == 1 for f in seen.values()) and len({f for v in seen.values() for f in v}) >= len(seen) - 3
 
 
+def test_fingerprints_follow_each_other(spark):
+    """Rows without an id and rows that repeat one: each row is the next of exactly one other."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2, 2, 2, 2, 7, 9]), f"t{k} " * rng.randrange(1, 4) if k % 5 else "same text") for k in range(300)] + [(4, None)]
+    chained = fingerprints.with_next(frame(spark, rows).selectExpr("doc_id", "coalesce(text, '') text"), 40, {}).collect()
+    key = lambda i: (i is not None, i or 0)
+    assert collections.Counter((r.doc_id, r.text) for r in chained) == collections.Counter((i, t or "") for i, t in rows)
+    assert collections.Counter(r.next_text for r in chained) == collections.Counter(t or "" for _, t in rows)
+    ids = sorted(key(i) for i, _ in rows)
+    of = collections.defaultdict(set)
+    for r in chained:
+        of[r.text].add(key(r.doc_id))
+    wraps = sum(min(of[r.next_text]) < key(r.doc_id) and max(of[r.next_text]) < key(r.doc_id) for r in chained)
+    assert wraps <= 1 and ids[0] == (False, 0)
+
+
 def test_fingerprint_algebra(spark):
     from pyspark.sql import functions as F
 
-    a, b = " ".join(f"w{i}" for i in range(4000)), " ".join(f"w{i}" for i in range(1000))
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in (1, 5, 7, 40, 300, 2000, 6000)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sketches = {r.doc_id: r.sketch for r in fingerprints.fingerprint_documents(frame(spark, rows)).collect()}
+    hashed = frame(spark, rows).select("doc_id", fingerprints.shingle_hashes(F.col("text")).alias("h"))
+    pairs = hashed.alias("a").join(hashed.alias("b"), F.col("a.doc_id") < F.col("b.doc_id")).select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"), fingerprints.sketch(F.concat("a.h", "b.h")).alias("union"))
+    for r in pairs.collect():  # the sketch of a union is the merged sketches, however unequal the texts
+        assert r.union == sorted({*sketches[r.i], *sketches[r.j]})
+    a, b = " ".join(f"w{i}" for i in range(40000)), " ".join(f"w{i}" for i in range(10000))
     two = fingerprints.fingerprint_documents(frame(spark, [(1, a), (2, b)])).orderBy("doc_id").collect()
     df = spark.createDataFrame([(two[0].sketch, two[1].sketch)], "a array<long>, b array<long>")
-    r = df.select(fingerprints.containment(F.col("b"), F.col("a")).alias("ba"), fingerprints.containment(F.col("a"), F.col("b")).alias("ab"), fingerprints.merge(F.col("a"), F.col("b")).alias("m")).first()
-    assert r.ba == 1.0 and abs(r.ab - 0.25) < 0.05 and r.m == two[0].sketch
+    x, y = F.col("a"), F.col("b")
+    r = df.select(fingerprints.containment(y, x).alias("ba"), fingerprints.containment(x, y).alias("ab"), fingerprints.merge(x, y).alias("m"), fingerprints.similarity(x, y).alias("s"), fingerprints.containment(F.array().cast("array<long>"), y).alias("none")).first()
+    assert r.ba == 1.0 and abs(r.ab - 0.25) < 0.08 and r.m == two[0].sketch and abs(r.s - 0.25) < 0.08 and r.none is None
     one = fingerprints.compare_edited(frame(spark, [(9, "only this one text is here")])).first()
     assert one.near_next == 1.0
 
