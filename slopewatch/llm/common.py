@@ -16,10 +16,12 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="slopewatch-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -97,15 +99,18 @@ def lists(values: pa.Array | np.ndarray, offsets: np.ndarray, kind: pa.DataType)
 def keyed(docs: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(_key long, _id, _text, and _0, _1, ... for the columns to carry): ``_key`` tells rows apart.
 
-    It is the id itself where ids are unique and not null, else a hash of id and text, so that rows that repeat an id
-    count as documents of their own.
+    It is the id itself where that is one row's alone.  Rows without an id or with a repeated one get a hash of id and
+    text, so they count as documents of their own.
     """
     from pyspark.sql import functions as F
 
     slim = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
-    odd = slim.groupBy("_id").count().filter((F.col("count") > 1) | F.col("_id").isNull()).limit(1)
-    key = F.xxhash64("_id", "_text") if odd.count() else F.col("_id")
-    return slim.select(key.alias("_key"), *slim.columns)
+    odd = slim.groupBy("_id").count().filter((F.col("count") > 1) | F.col("_id").isNull()).select("_id", F.lit(True).alias("_odd"))
+    key = F.xxhash64(F.lit("a row by its id and text"), "_id", "_text")  # the hash of nulls alone is a small number
+    if odd.isEmpty():
+        return slim.select(F.col("_id").alias("_key"), *slim.columns)
+    told = slim.join(odd.filter("_id is not null"), "_id", "left")
+    return told.select(F.when(F.col("_id").isNull() | F.col("_odd"), key).otherwise(F.col("_id")).alias("_key"), *slim.columns)
 
 
 def by_key(batches: Iterable[pa.RecordBatch], key: str, weight: str, most: int) -> Iterator[pa.Table]:

@@ -6,8 +6,10 @@
    with several digests need a look at their symbols, one representative for each digest.
 3. The symbols of these representatives are fetched by one join and dealt out by anchor.  A task joins whole anchors
    into a shard of bounded size, builds the operator's index over it and marks the repeated windows.
-4. An anchor with more than ``most`` different groups would not fit one shard: its windows are counted one by one by
-   hash instead, again with partial aggregation.  Nothing is dropped, and no task holds more than a shard.
+4. An anchor with more than ``most`` different groups would not fit one shard: a gram that very many different texts
+   share.  The windows of these groups choose again, by a gram twice as long and another hash, and the new groups go the
+   same way from step 2 on.  At the last level a gram is the whole window, so every window finds its equals.  Nothing is
+   dropped, and no task holds more than a shard.
 
 A window lies in exactly one group, so a window that occurs twice in a shard occurs at two places of the corpus.
 """
@@ -26,7 +28,7 @@ from .windows import blocks, gram_hash, groups, mix, prefix_hash, span_hash, spa
 from .words import words
 
 GROUP = "_key long, start int, n int, anchor long, digest long, times int"
-SEGMENT = "anchor long, _key long, start int, size int, single boolean, symbols binary, windows array<long>"
+SEGMENT = "anchor long, _key long, start int, size int, single boolean, symbols binary, n int, digest long"
 SPAN = "_key long, start int, end int"
 
 
@@ -42,6 +44,20 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray):
 UNITS = {"bytes": (byte_symbols, 32), "words": (word_symbols, 4)}
 #: Bytes of text handled at once.
 STEP = 1 << 20
+#: Different groups of one anchor that an index takes; more are grouped anew.
+MOST = 1024
+
+
+def grams(unit: str, length: int) -> list[int]:
+    """Gram lengths of the levels: powers of two from the unit's on, then the whole window."""
+    if length < 2:
+        raise ValueError("windows must have two symbols at least")
+    first = min(UNITS[unit][1], 1 << (length.bit_length() - 1))
+    out = []
+    while first < length:
+        out.append(first)
+        first *= 2
+    return [*out, length]
 
 
 def find_groups(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -51,7 +67,7 @@ def find_groups(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]],
     that such groups cover are known to repeat and come as rows without an anchor, n symbols from start.  So a line that
     fills a document costs a few rows.
     """
-    symbols, gram = UNITS[unit]
+    symbols, gram = UNITS[unit][0], grams(unit, length)[0]
     schema = pa.schema([("_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("digest", pa.int64()), ("times", pa.int32())])
 
     def run(batches):
@@ -87,13 +103,13 @@ def find_groups(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]],
     return run
 
 
-def fetch_segments(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def fetch_segments(unit: str, length: int, level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (_key, _text, wanted: [(start, n, anchor, single, hot)]) to segments.
 
-    The symbols of a segment (bytes, or 64-bit word hashes), or for hot anchors the hashes of its windows.
+    The symbols of a segment (bytes, or 64-bit word hashes); of hot anchors' segments the groups of the next level.
     """
-    symbols, _ = UNITS[unit]
-    schema = pa.schema([("anchor", pa.int64()), ("_key", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("single", pa.bool_()), ("symbols", pa.binary()), ("windows", pa.list_(pa.int64()))])
+    symbols, steps = UNITS[unit][0], grams(unit, length)
+    schema = pa.schema([("anchor", pa.int64()), ("_key", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("single", pa.bool_()), ("symbols", pa.binary()), ("n", pa.int32()), ("digest", pa.int64())])
 
     def run(batches):
         for part in batches:
@@ -103,18 +119,29 @@ def fetch_segments(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]
             start, n, anchor, single, hot = (wanted.values.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "anchor", "single", "hot"))
             for a, b in runs(offsets, STEP):
                 sym, first = symbols(data, offsets[a : b + 1])
-                mine = slice(at[a], at[b])
-                lo = start[mine] + np.repeat(first[:-1], np.diff(at[a : b + 1]))
-                size = n[mine] + length - 1
+                doc = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
+                size = n[at[a] : at[b]] + length - 1
+                cold, again = (np.flatnonzero(x) for x in (~hot[at[a] : at[b]], hot[at[a] : at[b]]))
                 store = sym if unit == "words" else (sym - np.uint64(1)).astype(np.uint8)
-                text = [None if h else store[x : x + s].tobytes() for x, s, h in zip(lo.tolist(), size.tolist(), hot[mine].tolist(), strict=True)]
-                windows = [None] * len(text)
-                if hot[mine].any():
-                    prefix = prefix_hash(sym)
-                    for i in np.flatnonzero(hot[mine]):
-                        x = lo[i] + np.arange(n[mine][i])
-                        windows[i] = span_hash(prefix, x, x + length).view(np.int64)
-                yield batch(schema, anchor=anchor[mine], _key=np.repeat(key[a:b], np.diff(at[a : b + 1])), start=start[mine], size=size.astype(np.int32), single=single[mine], symbols=pa.array(text, pa.binary()), windows=pa.array(windows, pa.list_(pa.int64())))
+                if len(cold):
+                    own = cold + at[a]
+                    lo = start[own] + first[doc[cold]]
+                    text = [store[x : x + s].tobytes() for x, s in zip(lo.tolist(), size[cold].tolist(), strict=True)]
+                    yield batch(schema, anchor=anchor[own], _key=key[a + doc[cold]], start=start[own], size=size[cold].astype(np.int32), single=single[own], symbols=pa.array(text, pa.binary()), n=pa.nulls(len(own), pa.int32()), digest=pa.nulls(len(own), pa.int64()))
+                for x, y in runs(np.append(0, np.cumsum(size[again])), STEP) if len(again) else ():
+                    mine = again[x:y]
+                    own = mine + at[a]
+                    lo = start[own] + first[doc[mine]]
+                    end = np.cumsum(size[mine])
+                    begin = end - size[mine]
+                    whole = np.concatenate([sym[p : p + s] for p, s in zip(lo.tolist(), size[mine].tolist(), strict=True)])
+                    place, count, gram, digest = groups(whole, begin, end, length, steps[level + 1], level + 1)
+                    of = np.searchsorted(end, place, side="right")
+                    new = mix(gram ^ mix(anchor[own[of]].astype(np.int64).view(np.uint64)))
+                    yield batch(
+                        schema, anchor=new.view(np.int64), _key=key[a + doc[mine[of]]], start=(place - begin[of] + start[own[of]]).astype(np.int32), size=pa.nulls(len(of), pa.int32()), single=single[own[of]],
+                        symbols=pa.nulls(len(of), pa.binary()), n=count.astype(np.int32), digest=digest.view(np.int64),
+                    )
 
     return run
 
@@ -173,7 +200,7 @@ def index_shards(unit: str, length: int, mark: Callable, most: int) -> Callable[
             offsets = offsets - offsets[0]
             if unit == "words":
                 sym, offsets = sym.view(np.uint64), offsets // 8
-            found = mark_shard(sym, offsets, length, UNITS[unit][1], mark)
+            found = mark_shard(sym, offsets, length, grams(unit, length)[0], mark)
             if not found.any():
                 continue
             where = np.flatnonzero(found)
@@ -190,37 +217,42 @@ def index_shards(unit: str, length: int, mark: Callable, most: int) -> Callable[
     return run
 
 
-def repeated_spans(docs: DataFrame, ws: Workspace, unit: str, length: int, mark: Callable, shard: int, most: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, ws: Workspace, unit: str, length: int, mark: Callable, shard: int, most: int = MOST) -> DataFrame:
     """(_key, spans: [(start, end)]) of the documents (_key, _text) in which a window of ``length`` symbols occurs that
     also starts anywhere else; the spans cover the repeated windows and may overlap."""
-    found = ws.table(docs.select("_key", "_text").mapInArrow(find_groups(unit, length), GROUP), "groups")
-    anchors = found.filter("anchor is not null").groupBy("anchor").agg(F.sum("times").alias("times"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("times > 1")
-    anchors = ws.table(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors")  # a table: a join with it can split hot anchors
-    hits = ws.table(found.join(anchors, "anchor"), "hits")
-    mixed = hits.filter("not same")
-    kinds = ws.table(mixed.groupBy("anchor", "digest").agg(F.sum("times").alias("times"), F.min(F.struct("_key", "start", "n")).alias("place")), "kinds")
-    hot = ws.table(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("hot")), "hot")  # few rows, if any
-    wanted = (
-        kinds.join(hot, "anchor", "left")
-        .select("place._key", F.struct("place.start", "place.n", "anchor", (F.col("times") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("one"))
-        .groupBy("_key").agg(F.collect_list("one").alias("wanted"))
-    )
-    segments = ws.table(docs.select("_key", "_text").join(wanted, "_key").mapInArrow(fetch_segments(unit, length), SEGMENT), "segments")
-    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = (
-        segments.filter("symbols is not null").drop("windows")
-        .repartition(parts, "anchor").sortWithinPartitions("anchor")
-        .mapInArrow(index_shards(unit, length, mark, shard), SPAN)
-    )
-    single = segments.filter("windows is not null").select("_key", "start", "single", "anchor", F.posexplode("windows").alias("i", "window"))
-    twice = single.groupBy("anchor", "window").agg(F.count("*").alias("times")).filter("times > 1")
-    counted = single.filter("single").join(twice, ["anchor", "window"]).select("_key", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + length).alias("end"))
+    first = ws.table(docs.select("_key", "_text").mapInArrow(find_groups(unit, length), GROUP), "groups")
+    spans = first.filter("anchor is null").select("_key", "start", (F.col("start") + F.col("n")).alias("end"))
     whole = F.col("start") + F.col("n") + (length - 1)
-    # a table of its own: Spark splits a hot key's rows only in a stage with no more than the join's two inputs
-    same = ws.table(mixed.join(kinds.filter("times > 1").select("anchor", "digest"), ["anchor", "digest"]).select("_key", "start", whole.alias("end")), "copies")
-    copies = hits.filter("same").select("_key", "start", whole.alias("end")).unionByName(same)
-    inner = found.filter("anchor is null").select("_key", "start", (F.col("start") + F.col("n")).alias("end"))
-    spans = copies.unionByName(inner).unionByName(marked).unionByName(counted)
+    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = grams(unit, length)
+    # ``want``: whether the row's own windows are still to be decided on; if not, it only speaks for others
+    found = first.filter("anchor is not null").withColumn("want", F.lit(True))
+    for level in range(len(steps)):
+        anchors = found.groupBy("anchor").agg(F.sum("times").alias("times"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("times > 1")
+        anchors = ws.table(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors")  # a table: a join with it can split hot anchors
+        hits = ws.table(found.join(anchors, "anchor"), "hits")
+        mixed = hits.filter("not same")
+        kinds = ws.table(mixed.groupBy("anchor", "digest").agg(F.sum("times").alias("times"), F.max("want").alias("want"), F.min(F.struct("_key", "start", "n")).alias("place")), "kinds")
+        # a table of its own: Spark splits a hot key's rows only in a stage with no more than the join's two inputs
+        copies = ws.table(mixed.filter("want").join(kinds.filter("times > 1").select("anchor", "digest"), ["anchor", "digest"]).select("_key", "start", whole.alias("end")), "copies")
+        spans = spans.unionByName(hits.filter("same and want").select("_key", "start", whole.alias("end"))).unionByName(copies)
+        hot = ws.table(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("hot")), "hot")  # few rows, if any
+        single = (F.col("times") == 1) & F.col("want")
+        wanted = (
+            kinds.join(hot, "anchor", "left")
+            .select("place._key", F.struct("place.start", "place.n", "anchor", single.alias("single"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("one"))
+            .groupBy("_key").agg(F.collect_list("one").alias("wanted"))
+        )
+        segments = ws.table(docs.select("_key", "_text").join(wanted, "_key").mapInArrow(fetch_segments(unit, length, level), SEGMENT), "segments")
+        marked = (
+            segments.filter("symbols is not null").select("anchor", "_key", "start", "size", "single", "symbols")
+            .repartition(parts, "anchor").sortWithinPartitions("anchor")
+            .mapInArrow(index_shards(unit, length, mark, shard), SPAN)
+        )
+        spans = spans.unionByName(marked)
+        if level + 1 == len(steps) or hot.isEmpty():
+            break
+        found = segments.filter("digest is not null").select("_key", "start", "n", "anchor", "digest", F.lit(1).alias("times"), F.col("single").alias("want"))
     return spans.groupBy("_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import Workspace, batch, keyed, runs, utf8
-from .repeats import merged, repeated_spans
+from .repeats import MOST, merged, repeated_spans
 from .words import words
 
 #: Words in one automaton.
@@ -121,7 +121,7 @@ def _remove(texts: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, length: int = 35, id_column: str = "doc_id", text_column: str = "text", texts: bool = True, most: int = 2048) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 35, id_column: str = "doc_id", text_column: str = "text", texts: bool = True, most: int = MOST) -> DataFrame:
     """Remove every word covered by a window of ``length`` words whose sequence also starts anywhere else.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  One row per input row: doc_id, n_words, n_removed, kept_sha256 (of

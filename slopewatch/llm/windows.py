@@ -77,15 +77,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def groups(sym: np.ndarray, piece_start: np.ndarray, piece_end: np.ndarray, length: int, gram: int):
+def groups(sym: np.ndarray, piece_start: np.ndarray, piece_end: np.ndarray, length: int, gram: int, salt: int = 0):
     """Groups of the windows of several pieces that lie one after the other in ``sym``.
 
-    Returns arrays (start in sym, number of windows, anchor hash, digest); no window crosses a piece.
+    Returns arrays (start in sym, number of windows, anchor hash, digest); no window crosses a piece.  Another ``salt``
+    gives another choice of grams.  With a gram as long as a window each window is a group of its own.
     """
     empty = np.zeros(0, np.int64)
     if len(sym) < length:
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    h = gram_hash(sym, gram)
+    if gram == length:
+        place = np.arange(len(sym) - length + 1)
+        h = span_hash(prefix_hash(sym), place, place + length)
+    else:
+        h = gram_hash(sym, gram)
+    if salt:
+        h = mix(h + mix(np.array([salt], np.uint64)))
     keyed = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     anchor = (sliding_min(keyed, length - gram + 1) & _PLACE).astype(np.int64)
     has = piece_end - piece_start >= length

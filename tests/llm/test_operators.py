@@ -107,6 +107,68 @@ def test_indexes_on_random_strings(index):
         assert repeats.mark_shard(symbols, offsets, length, 2, index).tolist() == expected
 
 
+def test_run_length_index():
+    """The runs alone give the text back, and wrong run heads give it back wrong."""
+    rng = random.Random(9)
+    for letters in (2, 5, 300, 40000):
+        strings = [np.array([rng.randrange(letters) for _ in range(rng.randrange(1, 60))], np.int64) for _ in range(9)]
+        strings += [strings[0], strings[1]]
+        data, offsets = np.concatenate(strings), np.concatenate(([0], np.cumsum([len(s) for s in strings])))
+        index = suffix_array_dedup.RunLengthIndex(data, offsets)
+        assert index.text().tolist() == data.tolist()
+        if letters == 2:
+            assert len(index.heads) < 0.8 * index.n
+        index.heads = np.where(index.heads > 1, index.heads - np.uint64(1), index.heads + np.uint64(1))
+        assert index.text().tolist() != data.tolist()
+        index = suffix_array_dedup.RunLengthIndex(data, offsets)
+        right = index.matching()
+        index.leads = index.leads[::-1].copy()
+        assert letters == 40000 or (index.matching() != right).any()
+
+
+def test_suffix_array_dedup_by_words(spark):
+    rows = corpus() + [(1000, "same " * 100), (1000, "same  " * 100), (None, None)]
+    got = collections.Counter((r.doc_id, r.n_removed, r.n_spans, r.kept) for r in suffix_array_dedup.suffix_array_dedup(frame(spark, rows), length=35, unit="words", most=4).collect())
+    places = [[m.span() for m in WORDS.finditer(t or "")] for _, t in rows]
+    expected = collections.Counter()
+    for (i, t), at, gone in zip(rows, places, covered([WORDS.findall(t or "") for _, t in rows], 35, tuple), strict=True):
+        keep, spans, x = [], 0, 0
+        for k, g in enumerate(gone):
+            if g and not (k and gone[k - 1]):
+                keep.append(t[x : at[k][0]])
+                spans += 1
+            if g:
+                x = at[k][1]
+        kept = "".join(keep) + (t or "")[x:]
+        expected[i, len((t or "").encode()) - len(kept.encode()), spans, kept] += 1
+    assert got == expected
+
+
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_hot_grams_are_grouped_anew(spark, unit):
+    """Many different texts share one gram, and some share whole windows: equal to brute force, and few rows a text."""
+    rng = random.Random(10)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    hot, length = prose(8), 400 if unit == "bytes" else 35
+    rows = [(i, f"{prose(60)} {hot} {prose(60)}") for i in range(60)]
+    rows += [(100 + i, rows[i][1][100 + i : 640]) for i in range(5)]
+    docs = frame(spark, rows)
+    index = suffix_array_dedup.suffix_array_dedup
+    got = {r.doc_id: r.n_removed for r in index(docs, length=length, unit=unit, most=4).collect()}
+    if unit == "bytes":
+        assert got == {i: sum(g) for (i, _), g in zip(rows, covered([t.encode() for _, t in rows], length, bytes), strict=True)}
+    else:
+        assert {i for i, n in got.items() if n} == {i for (i, _), g in zip(rows, covered([WORDS.findall(t) for _, t in rows], length, tuple), strict=True) if any(g)}
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for _, t in rows])))
+    sym, first = repeats.UNITS[unit][0](data, offsets)
+    sizes = [repeats.groups(sym, first[:-1], first[1:], length, g, k) for k, g in enumerate(repeats.grams(unit, length))]
+    assert len(sizes[1][0]) < 8 * len(rows) and sizes[-1][1].max() == 1
+
+
 def test_automaton_on_foreign_words():
     automaton = substring_dedup.SuffixAutomaton([[1, 2, 3, 4], [3, 4, 5]])
     assert automaton.matching([2, 3, 4, 5, 9, 1, 2]) == [1, 2, 3, 3, 0, 1, 2]
