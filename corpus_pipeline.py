@@ -13,9 +13,14 @@ from slopewatch.llm.suffix_array_dedup import suffix_array_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects as of low quality or toxic go."""
+    """Documents that the classifier rejects as of low quality or toxic go.
+
+    Each row is decided on by itself, so repeated rows share their fate.  Null and empty texts, languages and sources are
+    scored like any other; a document as likely bad as not goes.  Without labels every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).filter("kept").select(*docs.columns)
+    own = {c: f"carried_{i}" for i, c in enumerate(docs.columns) if c in ("low_quality", "toxicity", "kept")}  # named like results
+    return classify(docs.withColumnsRenamed(own), labels).filter("kept").select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +32,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_near_duplicates(docs, percent=80)
 
 
+#: Words of a passage that is cut out where it occurs in several places.
+PASSAGE = 35
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 that occur elsewhere too are cut out of the texts; n_chars follows."""
-    other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = suffix_array_dedup(docs, carry=tuple(other))
+    """Passages of 35 words that occur elsewhere too are cut out of the texts; n_chars follows.
+
+    White space around a passage stays.  A null text becomes an empty one; a text that is nothing but such passages
+    keeps its row.  Rows that repeat an id are documents of their own.
+    """
+    other = {c: f"carried_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    cut = suffix_array_dedup(docs, length=PASSAGE, unit="words", carry=other)
     text = F.coalesce("kept", F.lit(""))
     named = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
-    return cut.select(*[named.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return cut.select(*[named[c].alias(c) if c in named else F.col(other[c]).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
