@@ -12,6 +12,7 @@ Symbols are bytes, or words (64-bit hashes of them, numbered within the shard).
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -189,7 +190,7 @@ def _remove(unit: str, texts: bool, carry: list[str]):
     return run
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text", texts: bool = True, most: int = MOST, carry: tuple[str, ...] = (), unit: str = "bytes") -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text", texts: bool = True, most: int = MOST, carry: Mapping[str, str] | None = None, unit: str = "bytes") -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else in the corpus.
 
     With ``unit`` "words", strings are ``length`` consecutive words ``[^\\x20\\x09-\\x0D]+``; a removed run reaches from
@@ -198,16 +199,17 @@ def suffix_array_dedup(docs: DataFrame, length: int = 400, id_column: str = "doc
     One row per input row: doc_id, n_bytes, n_removed (bytes), n_spans (maximal removed runs), kept_sha256 and, with
     ``texts``, the kept text (bytes of a character that was cut in two are left out there, not in the digest).  A null
     text counts as empty.  Rows that repeat an id or a whole text are documents of their own: copies of ``length`` symbols
-    or more remove each other.  The columns in ``carry`` are passed on, others are ignored.  Strings are judged on the
-    input, never across documents.
+    or more remove each other.  The columns in ``carry`` are passed on under the names it gives them, others are ignored.
+    Strings are judged on the input, never across documents.
     """
     ws = Workspace(docs.sparkSession, "suffix-array")
-    rows = keyed(docs, id_column, text_column, carry)
+    carry = carry or {}
+    rows = keyed(docs, id_column, text_column, tuple(carry))
     spans = repeated_spans(rows, ws, unit, length, mark, SHARD, most)
     inner = [f"_{i}" for i in range(len(carry))]
     types = "".join(f", {n} {dict(docs.dtypes)[c]}" for n, c in zip(inner, carry, strict=True))
     out = rows.join(spans, "_key", "left").select("_id", "_text", "spans", *inner).mapInArrow(_remove(unit, texts, inner), OUT + types)
-    return ws.keep(out.select(*[c for c in out.columns if c not in inner], *[F.col(n).alias(c) for n, c in zip(inner, carry, strict=True)]))
+    return ws.keep(out.select(*[c for c in out.columns if c not in inner], *[F.col(n).alias(c) for n, c in zip(inner, carry.values(), strict=True)]))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,40 @@ def test_rows_are_decided_on_by_themselves(spark, data):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, data).collect()), key=str)
     assert got == sorted([(1, a), (5, b), (7, c), (7, d), (None, "x " + b[::-1]), (8, ""), (None, "")], key=str)
+
+
+def test_repeated_passages_go(spark, data):
+    """Passages of 51 words, under 400 bytes, in several documents are cut out of all of them; the rest stays as it was."""
+    import random
+
+    rng = random.Random(3)
+
+    def prose(n):
+        return "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n // 2)) for _ in range(2))
+
+    passages = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(51)) for _ in range(4)]
+    assert all(len(p) < 400 for p in passages)
+    before = [(prose(40), prose(60)) for _ in range(30)]
+    rows = [(i, f"{a}\n{passages[i % 5]}  {b}" if i % 5 < 4 else f"{a}\n{b}", -1, "x") for i, (a, b) in enumerate(before)]
+    rows += [(100, None, 0, "y"), (101, "", 0, "y"), (None, passages[0], 0, "y"), (7, rows[9][1], 0, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kept string")
+    out = corpus_pipeline.repeats(spark, docs, data)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = out.collect()
+    assert len(got) == len(rows) and not any(p in r.text for r in got for p in passages)
+    clean = {r.doc_id: r for r in got if r.kept == "x" and r.doc_id != 9}
+    assert all(clean[i].text == (f"{a}\n  {b}" if i % 5 < 4 else f"{a}\n{b}") for i, (a, b) in enumerate(before) if i != 9)
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert {r.text.strip() for r in got if r.kept in ("y", "z") or r.doc_id == 9} == {""}
+
+
+def test_empty_tables_and_clashing_names(spark, data):
+    more = spark.read.parquet(f"{data}/documents.parquet").limit(30).selectExpr("*", "text AS kept", "1 AS component_id", "2.5 AS low_quality", "source AS _key", "doc_id AS spans", "lang AS _text")
+    for docs in (more, more.limit(0)):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, data)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+                rows = out.collect()
+                assert bool(rows) == bool(docs.limit(1).count())
+                assert all(r.lang == r._text and r.source == r._key for r in rows), name
