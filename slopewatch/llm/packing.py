@@ -1,18 +1,21 @@
 """Hierarchical multi-length packing of token sequences (operator 3).
 
-A document's tokens fill whole windows first.  What is left of it is routed to the shortest context-size tier that
-holds it.  Pieces of the longest tier open windows, whose gaps are filled from the shorter tiers, longest fitting piece
-first; then each shorter tier opens windows of its own in the same way.  A gap that no piece fits is closed by cutting
-one.  What doesn't fill a window waits for the partition's next documents; at the partition's end it becomes sequences
-of powers of two.  Windows are dealt into step groups of equal tokens and nearly equal attention work.
-
-Packing needs no shuffle: every partition packs what it has read, so the work and the padding don't depend on skew.
+A document's tokens fill whole windows first.  What is left of it is routed to the shortest context-size tier that holds
+it: the window, a half, a quarter, an eighth or a sixteenth of it.  Each tier is packed into windows of its own size, the
+longest tier first: its longest piece opens a window, whose gap is filled from the shorter tiers, the longest piece that
+fits first.  A gap that no piece fits is closed by cutting one.  Pieces that no longer tier has used up by then open
+windows of their own tier.  Some pieces always wait for the gaps of the partition's next documents; at the partition's end
+the last ones become sequences of powers of two, so nothing is padded.
+
+Windows of a tier are dealt into step groups: equal tokens in all groups of all tiers, nearly equal attention work within a
+tier.  Packing needs no shuffle: every partition packs what it has read, so the work and the padding don't depend on skew.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import default_path, ranked, text_slices
 from .common import batch
 
-#: Sequences of a step group.
+#: Windows of the longest tier that a step group holds; of shorter tiers as many as have the same tokens.
 GROUP = 8
+#: Windows' tokens that wait for gaps, and step groups of a tier that are balanced against each other.
+WAIT, TOGETHER = 16, 4
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -37,27 +42,31 @@ def tiers(window: int) -> list[int]:
 
 
 class Packer:
-    """Packs pieces of at most ``window`` tokens; ``flush`` gives whole windows, ``close`` the rest."""
+    """Packs pieces into windows of the tiers' sizes; memory is bounded by the pieces that wait."""
 
     def __init__(self, window: int):
-        self.window = window
         self.sizes = tiers(window)
         self.pool: list[list[Piece]] = [[] for _ in self.sizes]
         self.number = 0
         self.waiting = 0
-        self.full: list[list[Piece]] = []
+        self.full: dict[int, list[list[Piece]]] = {}
 
     def tier(self, length: int) -> int:
+        """The shortest tier that holds a piece."""
         return max(i for i, size in enumerate(self.sizes) if i == 0 or length <= size)
 
     def put(self, doc: int, ids: bytes) -> None:
-        n = len(ids) // 4
-        at = 0
-        while n - at >= self.window:
-            self.full.append([(self.window, 0, doc, at, ids[4 * at : 4 * (at + self.window)], n)])
-            at += self.window
+        n, at, window = len(ids) // 4, 0, self.sizes[0]
+        while n - at >= window:
+            self._done(window, [(window, 0, doc, at, ids[4 * at : 4 * (at + window)], n)])
+            at += window
         if at < n:
             self._wait(doc, at, ids[4 * at :], n)
+        while self.waiting > WAIT * window:
+            self._open()
+
+    def _done(self, size: int, sequence: list[Piece]) -> None:
+        self.full.setdefault(size, []).append(sequence)
 
     def _wait(self, doc: int, start: int, ids: bytes, total: int) -> None:
         self.number += 1
@@ -77,8 +86,10 @@ class Packer:
                 return self._take(tier, at - 1)
         return None
 
-    def _one(self) -> list[Piece]:
-        out, gap = [], self.window
+    def _open(self) -> None:
+        """Pack a window of the longest tier that has a piece; of the last tokens, one of a power of two."""
+        size = gap = min(self.sizes[min(i for i, pool in enumerate(self.pool) if pool)], 1 << (self.waiting.bit_length() - 1))
+        out = []
         while gap:
             piece = self._fitting(gap)
             if piece is None:  # every waiting piece is longer than the gap: cut the shortest, its rest waits
@@ -88,31 +99,32 @@ class Packer:
                 self._wait(doc, start + gap, ids[4 * gap :], total)
             out.append(piece)
             gap -= piece[0]
-        return out
-
-    def flush(self) -> list[list[Piece]]:
-        while self.waiting >= self.window:
-            self.full.append(self._one())
-        out, self.full = self.full, []
-        return out
+        self._done(size, out)
 
-    def close(self) -> list[list[Piece]]:
-        """The rest, fewer than a window's tokens, as sequences of powers of two."""
-        out = []
+    def close(self) -> None:
         while self.waiting:
-            whole, self.window = self.window, 1 << (self.waiting.bit_length() - 1)
-            out.append(self._one())
-            self.window = whole
-        return out
-
-
-def step_groups(sequences: list[list[Piece]]) -> list[int]:
-    """A group for each sequence: sequences by attention work, dealt out to and fro."""
+            self._open()
+
+    def groups(self, last: bool = False) -> Iterator[list[list[Piece]]]:
+        """Step groups of windows that are packed, the largest possible number of full ones together; in the end all."""
+        for size, sequences in self.full.items():
+            each = GROUP * self.sizes[0] // size
+            while len(sequences) >= TOGETHER * each or (last and sequences):
+                part, self.full[size] = sequences[: TOGETHER * each], sequences[TOGETHER * each :]
+                sequences = self.full[size]
+                number = step_groups(part, each)
+                for group in range(max(number) + 1):
+                    yield [s for s, g in zip(part, number, strict=True) if g == group]
+
+
+def step_groups(sequences: list[list[Piece]], each: int = GROUP) -> list[int]:
+    """A group for each sequence, ``each`` to a group: sequences by attention work, dealt out to and fro."""
     work = np.array([sum(p[0] ** 2 for p in s) for s in sequences])
-    groups = -(-len(sequences) // GROUP)
+    groups = -(-len(sequences) // each)
+    order = np.argsort(-work, kind="stable")
     out = np.zeros(len(sequences), np.int64)
     for turn, begin in enumerate(range(0, len(sequences), groups)):
-        part = np.argsort(-work, kind="stable")[begin : begin + groups]
+        part = order[begin : begin + groups]
         out[part] = np.arange(len(part)) if turn % 2 == 0 else groups - 1 - np.arange(len(part))
     return out.tolist()
 
@@ -122,7 +134,7 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, path: s
 
     A document is its ids and ``end_id``; a null text counts as empty, so it is that one id.  One row per piece: doc_id,
     start, length, ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset, and the sequence's
-    tier (its length) and step_group.  Each id lies in one piece.  Every sequence is full or a power of two long, so
+    tier (its length) and step_group (the first sequence of it).  Each id lies in one piece.  Every sequence is full or a power of two long, so
     nothing is padded.  Repeated rows are packed each on its own; other columns are ignored.
     """
     if window < 16 or window & (window - 1):
@@ -136,16 +148,19 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, path: s
         partition = TaskContext.get().partitionId() << 36
         done = 0
 
-        def rows(sequences):
+        def rows(groups):
             nonlocal done
-            out, begin = [], partition + done
-            for sequence, group in zip(sequences, step_groups(sequences), strict=True):
-                total, at = sum(p[0] for p in sequence), 0
-                for length, _, doc, start, ids, tokens in sequence:
-                    out.append((doc, start, length, zlib.crc32(ids), tokens, partition + done, at, total, begin + group))
-                    at += length
-                done += 1
-            return batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+            out = []
+            for group in groups:
+                first = partition + done
+                for sequence in group:
+                    total, at = sum(p[0] for p in sequence), 0
+                    for length, _, doc, start, ids, tokens in sequence:
+                        out.append((doc, start, length, zlib.crc32(ids), tokens, partition + done, at, total, first))
+                        at += length
+                    done += 1
+            if out:
+                yield batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
 
         for part in batches:
             ids = part.column(0).to_pylist()
@@ -154,10 +169,9 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, path: s
                 for doc, packed in zip(ids[at : at + len(texts)], bpe.encode(texts), strict=True):
                     packer.put(doc, packed + end)
                 at += len(texts)
-                if sequences := packer.flush():
-                    yield rows(sequences)
-        if sequences := packer.close():
-            yield rows(sequences)
+                yield from rows(packer.groups())
+        packer.close()
+        yield from rows(packer.groups(last=True))
 
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).mapInArrow(run, PIECE)
 

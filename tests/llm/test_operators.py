@@ -255,6 +255,43 @@ def test_packing(spark):
         packing.pack_documents(frame(spark, rows), window=1000)
 
 
+def test_packing_tiers():
+    """Windows of several sizes; each is opened by a piece of its tier, filled from shorter ones, and nothing is padded."""
+    rng = random.Random(12)
+    packer, tokens, groups = packing.Packer(1024), 0, []
+    for doc in range(4000):
+        n = int(min(3000, rng.lognormvariate(4.5, 1.2))) + 1
+        tokens += n
+        packer.put(doc, bytes(4 * n))
+        assert packer.waiting <= packing.WAIT * 1024
+        groups += packer.groups()
+    assert all(sum(p[0] for s in g for p in s) == packing.GROUP * 1024 for g in groups)
+    whole = len(groups)
+    packer.close()
+    groups += packer.groups(last=True)
+    sequences = [s for g in groups for s in g]
+    assert sum(p[0] for s in sequences for p in s) == tokens
+    sizes = collections.Counter(sum(p[0] for p in s) for s in sequences)
+    assert sum(n >= 20 for size, n in sizes.items() if size in packing.tiers(1024)) >= 3
+    assert all(size & (size - 1) == 0 for size in sizes)
+    mixed = 0
+    for group in groups[:whole]:
+        size = {sum(p[0] for p in s) for s in group}
+        assert len(size) == 1  # a step group is of one tier
+        for s in group:
+            lengths = [p[0] for p in s]
+            assert packer.tier(max(lengths)) == packer.tier(size.copy().pop())
+            mixed += len({packer.tier(n) for n in lengths}) > 1
+    assert mixed > 100
+    ids = {}
+    for s in sequences:
+        for length, _, doc, start, _, total in s:
+            ids.setdefault((doc, total), []).append((start, length))
+    assert len(ids) == 4000
+    for (_, total), parts in ids.items():
+        assert sum(n for _, n in parts) == total and [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1]]
+
+
 def test_step_groups_are_balanced():
     rng = random.Random(2)
     sequences = [[(rng.randrange(1, 1024), 0, 0, 0, b"", 0)] for _ in range(80)]
