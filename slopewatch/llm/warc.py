@@ -1,8 +1,9 @@
 """WARC archives with an external index merge (operator 5).
 
 Each task writes its pages as one archive of gzipped records and a run of index rows, sorted by URL key and time.  The
-index is dealt out by ranges of (key, time); in each range a loser tree merges the sorted runs, so the ranges in order
-are one globally ordered history of captures.  Archives are read back through that index.
+index is dealt out by ranges of (key, time) of bounded size; in each range a loser tree merges the sorted runs, of which
+it has a block each at hand, so the ranges in order are one globally ordered history of captures.  Archives are read back
+in the order of that history: a batch of captures at a time, each archive of the batch from front to back.
 
 Archives carry names of their own attempt, and the index is written before anything reads it: a task that ran twice
 leaves a file that no index row names.
@@ -16,9 +17,11 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from .common import Workspace, batch
 
 #: Payloads of fewer bytes are always stored in full.
 LEAST = 1000
+#: Index rows of a range at most (about), rows of a batch, and archives that a task has open.
+RANGE, BLOCK, OPEN = 1 << 18, 10_000, 64
 #: Time of the first capture; pages carry none of their own, so page n counts as captured n seconds later.
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 
@@ -116,33 +121,36 @@ def write_archives(folder: str):
 
 
 class LoserTree:
-    """Merges sorted lists; each inner node keeps the loser of its match, so the next row costs one path of matches."""
+    """Merges sorted iterables; each inner node keeps the loser of its match, so the next row costs one path of matches.
 
-    def __init__(self, lists: list[list]):
-        self.lists = lists
-        self.at = [0] * len(lists)
-        self.k = max(1, len(lists))
+    Only the first row of each run is held here; an iterator may fetch its rows in blocks.
+    """
+
+    def __init__(self, runs: Sequence[Iterable]):
+        self.runs = [iter(r) for r in runs]
+        self.head = [next(r, None) for r in self.runs]
+        self.k = max(1, len(self.runs))
         self.tree = [-1] * self.k
-        winners = [-1] * self.k + [*range(len(lists))]
+        winners = [-1] * self.k + [*range(len(self.runs))]
         for node in range(self.k - 1, 0, -1):
             a, b = winners[2 * node], winners[2 * node + 1] if 2 * node + 1 < len(winners) else -1
             win, lose = (a, b) if self._less(a, b) else (b, a)
             winners[node], self.tree[node] = win, lose
-        self.tree[0] = winners[1] if self.k > 1 else (0 if lists else -1)
+        self.tree[0] = winners[1] if self.k > 1 else (0 if self.runs else -1)
 
     def _less(self, a: int, b: int) -> bool:
         """Whether run a comes first; a run that has ended comes last, ties go to the earlier run."""
-        if a < 0 or self.at[a] >= len(self.lists[a]):
+        if a < 0 or self.head[a] is None:
             return False
-        if b < 0 or self.at[b] >= len(self.lists[b]):
+        if b < 0 or self.head[b] is None:
             return True
-        x, y = self.lists[a][self.at[a]], self.lists[b][self.at[b]]
+        x, y = self.head[a], self.head[b]
         return x < y or (x == y and a < b)
 
     def __iter__(self):
-        while (win := self.tree[0]) >= 0 and self.at[win] < len(self.lists[win]):
-            yield self.lists[win][self.at[win]]
-            self.at[win] += 1
+        while (win := self.tree[0]) >= 0 and self.head[win] is not None:
+            yield self.head[win]
+            self.head[win] = next(self.runs[win], None)
             node = (win + self.k) // 2
             while node:
                 if self._less(self.tree[node], win):
@@ -151,53 +159,71 @@ class LoserTree:
             self.tree[0] = win
 
 
-HISTORY = "place long, run string, url_key string, time string, page_id long, at long, size long"
+HISTORY = "range int, place long, run string, url_key string, time string, page_id long, at long, size long"
+
+
+def run_rows(run: pa.Table, block: int) -> Iterator[tuple]:
+    """The rows of a sorted run, a block of them at a time as Python values; a missing page_id comes first."""
+    for a in range(0, run.num_rows, block):
+        for name, key, time, page_id, at, size in zip(*(run.slice(a, block).column(i).to_pylist() for i in range(6)), strict=True):
+            yield key, time, page_id is not None, page_id or 0, name, at, size
 
 
 def merge_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the index, whose rows come run by run in order, to one sorted history."""
-    schema = pa.schema([("place", pa.int64()), ("run", pa.string()), ("url_key", pa.string()), ("time", pa.string()), ("page_id", pa.int64()), ("at", pa.int64()), ("size", pa.int64())])
-    lists: dict[str, list] = {}
-    for part in batches:
-        for name, key, time, page_id, at, size in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
-            lists.setdefault(name, []).append((key, time, page_id is not None, page_id or 0, name, at, size))
-    out = []
-    for place, (key, time, known, page_id, name, at, size) in enumerate(LoserTree([lists[x] for x in sorted(lists)])):
-        out.append((place, name, key, time, page_id if known else None, at, size))
-        if len(out) == 10_000:
+    """One range of the index, whose rows come run by run in order, to one sorted history.
+
+    The range is held as Arrow columns; Python values exist of a block of each run and of the batch that goes out.
+    """
+    schema = pa.schema([("range", pa.int32()), ("place", pa.int64()), ("run", pa.string()), ("url_key", pa.string()), ("time", pa.string()), ("page_id", pa.int64()), ("at", pa.int64()), ("size", pa.int64())])
+    parts = [p for p in batches if p.num_rows]
+    if not parts:
+        return
+    whole = pa.Table.from_batches(parts)
+    ends = pc.run_end_encode(whole.column("run").combine_chunks()).run_ends.to_pylist()
+    block = max(16, BLOCK // len(ends))
+    runs = [run_rows(whole.slice(a, b - a), block) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    number, out = TaskContext.get().partitionId(), []
+    for place, (key, time, known, page_id, name, at, size) in enumerate(LoserTree(runs)):
+        out.append((number, place, name, key, time, page_id if known else None, at, size))
+        if len(out) == BLOCK:
             yield batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
             out = []
     if out:
         yield batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
 
 
-CAPTURE = "page_id long, url string, url_key string, time string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CAPTURE = "range int, place long, page_id long, url string, url_key string, time string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_archives(folder: str):
-    """History rows, by run and place in it, to what the archives say."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("url_key", pa.string()), ("time", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    """History rows to what the archives say, in the history's order.
+
+    Of each batch every archive is read from front to back; at most ``OPEN`` archives are open.
+    """
+    schema = pa.schema([("range", pa.int32()), ("place", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("url_key", pa.string()), ("time", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches):
         store, path = file_system(folder)
-        name, file = None, None
+        files: dict[str, pa.NativeFile] = {}
         for part in batches:
-            rows = []
-            for run_, key, at, size in zip(*(part.column(x).to_pylist() for x in ("run", "url_key", "at", "size")), strict=True):
-                if run_ != name:
-                    if file:
-                        file.close()
-                    name, file = run_, store.open_input_file(f"{path}/{run_}")
-                fields, http, payload = read_record(file.read_at(size, at))
+            index = [*zip(*(part.column(x).to_pylist() for x in ("range", "place", "run", "url_key", "at", "size")), strict=True)]
+            rows: list = [None] * len(index)
+            for i in sorted(range(len(index)), key=lambda i: (index[i][2], index[i][4])):
+                number, place, name, key, at, size = index[i]
+                if name not in files:
+                    if len(files) >= OPEN:
+                        files.pop(next(iter(files))).close()
+                    files[name] = store.open_input_file(f"{path}/{name}")
+                fields, http, payload = read_record(files[name].read_at(size, at))
                 kind = fields["WARC-Type"]
                 digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                 if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-                number = fields.get("WARC-Refers-To-Page-ID")
-                rows.append((int(fields["WARC-Page-ID"]) if fields["WARC-Page-ID"] else None, fields.get("WARC-Target-URI"), key, fields["WARC-Date"], int(http["Content-Length"]), digest, kind, int(number) if number else None))
+                refers = fields.get("WARC-Refers-To-Page-ID")
+                rows[i] = (number, place, int(fields["WARC-Page-ID"]) if fields["WARC-Page-ID"] else None, fields.get("WARC-Target-URI"), key, fields["WARC-Date"], int(http["Content-Length"]), digest, kind, int(refers) if refers else None)
             if rows:
                 yield batch(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
-        if file:
+        for file in files.values():
             file.close()
 
     return run
@@ -220,21 +246,22 @@ def archive_pages(pages: DataFrame, ws: Workspace, least: int = LEAST) -> tuple[
 
 
 def merge_index(index: DataFrame) -> DataFrame:
-    """Index runs to capture histories in global order of (url_key, time, page_id): ``place`` counts within a range."""
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Index runs to capture histories in global order of (url_key, time, page_id): by range, and by place within it."""
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // RANGE))
     order = ["url_key", "time", "page_id", "run", "at"]
     return index.repartitionByRange(parts, *order).sortWithinPartitions("run", "url_key", "time", "page_id", "at").mapInArrow(merge_runs, HISTORY)
 
 
 def read_captures(history: DataFrame, folder: str) -> DataFrame:
-    """What the archives hold, each read once from front to back."""
-    return history.repartition("run").sortWithinPartitions("run", "at").mapInArrow(read_archives(folder), CAPTURE)
+    """What the archives hold, in the order of the history."""
+    return history.mapInArrow(read_archives(folder), CAPTURE)
 
 
 def warc_round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Write pages to archives, merge their index and read them back: page_id, url, url_key, time, payload_bytes,
-    payload_digest (SHA-1 of the full payload), record_type and refers_to.  One row per input row; a null page is an
-    empty payload; other columns are ignored."""
+    """Write pages to archives, merge their index and read them back through it: range and place (the capture's place in
+    the ordered history), page_id, url, url_key, time, payload_bytes, payload_digest (SHA-1 of the full payload),
+    record_type and refers_to.  One row per input row; a null page is an empty payload, a null url has an empty key; other
+    columns are ignored."""
     ws = Workspace(pages.sparkSession, "warc")
     index, folder = archive_pages(pages, ws, least)
     return ws.keep(read_captures(ws.table(merge_index(index), "history"), folder))
