@@ -1,9 +1,14 @@
 """Approximate nearest neighbours with learned partitions (operator 9).
 
 On a bounded sample of the vectors a neighbour graph is built and cut into balanced parts, and a small network learns
-which parts hold a vector's neighbours.  Every vector is indexed in its most probable part.  A query goes to several of
-its most probable parts, as many as the sample needs for the wanted recall, and is compared with all vectors there.
-Parts are dealt out in blocks of bounded size, so a crowded part is many tasks.
+which parts hold a vector's neighbours; its outputs are shifted until the parts that it gives vectors to are of nearly
+equal size.  Every vector is indexed in its most probable part.  A query goes to several of its most probable parts, as
+many as the sample needs for the wanted recall, and is compared with all vectors there.
+
+The number of parts follows the table: it may grow with the square root of the rows, and of the sizes that are tried the
+one is taken whose probed parts cost least.  Vectors with structure get many parts, of which few are probed; vectors
+without get few, as most must be probed whatever their number.  Parts are dealt out in blocks of bounded size, so a crowded
+part is many tasks.
 """
 
 from __future__ import annotations
@@ -13,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of the sample that the partitioner is fitted on.
-SAMPLE = 4096
-#: Parts, neighbours of a vertex of the graph, hidden units, rounds of fitting.
-PARTS, DEGREE, HIDDEN, ROUNDS = 16, 10, 64, 80
+#: Rows of the sample that the partitioner is fitted on, at most; rows of it for each part.
+SAMPLE, EACH = 16_384, 64
+#: Numbers of parts that are tried, up to half the square root of the rows.
+PARTS = (16, 64, 256)
+#: Comparisons that cost as much as sending a query to one more part.
+COPY = 200
+#: Neighbours of a vertex of the graph, hidden units, rounds of fitting.
+DEGREE, HIDDEN, ROUNDS = 10, 64, 80
 #: Recall that the number of probed parts must reach on the sample.
 RECALL = 0.97
 #: Vectors and queries of a block.
@@ -108,9 +117,16 @@ class Router:
         return self
 
 
+def level(router: Router, unit: np.ndarray, parts: int, rounds: int = 40) -> None:
+    """Shift the network's outputs until the parts it prefers are of nearly equal size."""
+    score = router.scores(unit) - router.w[3]
+    for _ in range(rounds):
+        size = np.bincount((score + router.w[3]).argmax(1), minlength=parts)
+        router.w[3] = router.w[3] - 0.3 * np.log((size + 1) * parts / (len(unit) + parts))
+
+
 def fit_router(unit: np.ndarray, parts: int, recall: float, k: int) -> tuple[Router, int]:
     """The router, and how many parts a query must probe for the wanted recall of the sample's k nearest."""
-    parts = max(1, min(parts, len(unit) // 32))
     router = Router(unit.shape[1], parts)
     if parts == 1:
         return router, 1
@@ -120,6 +136,7 @@ def fit_router(unit: np.ndarray, parts: int, recall: float, k: int) -> tuple[Rou
     np.add.at(target, (np.repeat(np.arange(len(unit)), graph.shape[1]), part[graph].ravel()), 1)
     target[np.arange(len(unit)), part] += 2
     router.fit(unit, target / target.sum(1, keepdims=True))
+    level(router, unit, parts)
     order = np.argsort(-router.scores(unit), axis=1, kind="stable")
     place = np.argsort(order, axis=1)  # the rank of each part
     home = order[:, 0]
@@ -127,6 +144,17 @@ def fit_router(unit: np.ndarray, parts: int, recall: float, k: int) -> tuple[Rou
     return router, int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
 
+def choose(unit: np.ndarray, n: int, sizes: tuple[int, ...], recall: float, k: int) -> tuple[Router, int, int]:
+    """Router, parts and probes for n rows that cost a query least; the sample is in an order that says nothing."""
+    best = None
+    for parts in sorted({max(1, min(p, len(unit) // 32)) for i, p in enumerate(sorted(sizes)) if i == 0 or p <= n**0.5 / 2}):
+        router, probes = fit_router(unit[: max(4096, EACH * parts)], parts, recall, k)
+        cost = n * probes / parts + COPY * probes
+        if best is None or cost < best[0]:
+            best = cost, router, parts, probes
+    return best[1:]
+
+
 def unit_rows(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and their lengths as doubles, scaled where squares leave the range."""
     v = vectors.astype(np.float64)
@@ -164,13 +192,14 @@ def closest(query_id, query, base_id, base, k: int):
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = PARTS, sample: int = SAMPLE, recall: float = RECALL, id_column: str = "vec_id", vector_column: str = "embedding", block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: tuple[int, ...] = PARTS, sample: int = SAMPLE, recall: float = RECALL, id_column: str = "vec_id", vector_column: str = "embedding", block: int = BLOCK) -> DataFrame:
     """The k vectors of largest cosine that are found for each query: query_id, rank from 1, vec_id, score.
 
     Both tables have an id and an array of numbers.  Vectors that are null, zero, or hold null or non-finite components
     take no part, nor do those of another length than most.  A query isn't compared with rows of its own id; queries of
-    one id count once; rows that repeat an id are candidates of their own.  Ties go to the smaller id.  The partitioner
-    is fitted on at most ``sample`` rows, those with the smallest hash of their id; every row is indexed.
+    one id count once, with the smallest of their vectors; rows that repeat an id are candidates of their own.  Ties go
+    to the smaller id.  ``parts`` are the numbers of parts that are tried, ``sample`` the most rows that they are fitted
+    on, those with the smallest hash of their id; every row is indexed.  Other columns are ignored.
     """
     spark = vectors.sparkSession
 
@@ -185,10 +214,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = PAR
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = common[0].n
     base = base.filter(F.size("v") == dim)
-    asked = valid(queries).filter(F.size("v") == dim).dropDuplicates(["id"])
-    rows = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    asked = valid(queries).filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    rows = base.orderBy(F.xxhash64("id"), "id", F.xxhash64("v")).limit(sample).select("v").toArrow()
     unit, length = unit_rows(matrix(rows.column("v")))
-    router, probes = fit_router(unit / length[:, None], parts, recall, k)
+    router, _, probes = choose(unit / length[:, None], common[0]["count"], parts, recall, k)
 
     def route(many: int):
         def run(batches):

@@ -511,3 +511,35 @@ def test_nearest(spark):
     assert got[5][0][1] == 7
     few = nearest.nearest(df.filter("vec_id < 3"), df.filter("vec_id = 0")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+
+
+def test_nearest_probes_few_parts_of_structured_vectors(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(200, 24))
+    x = (centre[rng.integers(0, 200, 20000)] + 0.25 * rng.normal(size=(20000, 24))).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    router, parts, probes = nearest.choose(unit[:16384].astype(np.float64), len(x), nearest.PARTS, nearest.RECALL, 5)
+    assert parts == 64 and probes < parts / 4
+    size = np.bincount(router.scores(unit).argmax(1), minlength=parts)
+    assert size.max() < 3 * size.mean()
+    flat = rng.normal(size=(4096, 24))
+    _, few, most = nearest.choose(flat / np.linalg.norm(flat, axis=1, keepdims=True), len(x), nearest.PARTS, nearest.RECALL, 5)
+    assert few == 16 and most > 4  # without structure
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in nearest.nearest(df, df.filter("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 20000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.9 * 5 * 400
+
+
+def test_nearest_with_repeated_ids_and_clashing_names(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (3, [0.1, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS part", "'x' AS v", "0 AS rank", "0 AS score")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in nearest.nearest(df, df.filter("vec_id = 1"), k=4).collect())
+    up = round(1 / 1.01**0.5, 6)
+    assert got == [(1, 1, 3, up), (1, 2, 3, up), (1, 3, 2, round(0.1 / 1.01**0.5, 6))]
