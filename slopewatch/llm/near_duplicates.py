@@ -1,11 +1,17 @@
 """MinHash near-dedup by a signature-coordinate inverted join (operator 4).
 
 Every distinct shingle set is posted under each (coordinate, value) of its signature.  Two sets are candidates when at
-least ``agree`` of the coordinates collide.  Prefix and skip merging: coordinates whose value nobody shares are skipped,
-a set keeps its rarest colliding coordinates, all but ``agree - 1`` of them, and two candidates share one of these at
-least.  Posting lists that touch make a family; a family's full sets meet in one task (a large family's in blocks), and
-links are confirmed on them.  A pair in families of different lists is never looked at, nor is one whose documents are
-already connected.
+least ``agree`` of the coordinates collide.
+
+Prefix: coordinates whose value nobody shares can't collide; of the others a set posts its rarest, all but ``agree - 1`` of
+them, and two candidates share one of these at least.  Skip: the commonest coordinates have no posting lists to merge; they
+are only looked up for pairs that met in a prefix list.  So within each list the collisions of the sets that meet there are
+counted, and pairs that reach the threshold are joined; only what connects a list's sets is passed on, not every pair.  Sets
+that are connected so make a family.  A family's full sets meet in one task (a large family's in pairs of blocks), which
+counts collisions in the same way, and links are confirmed on the full sets of the pairs that reach the threshold.  No
+other pair's sets are compared, nor are those of documents already connected.
+
+A list of more than ``LONG`` sets isn't counted: all its sets go to one family, where they are counted.
 """
 
 from __future__ import annotations
@@ -27,8 +33,10 @@ COORDINATES, AGREE = 32, 15
 FAMILY = 1 << 21
 #: A family of fewer shingles than this is never cut to spread its work.
 WHOLE = 1 << 16
-#: Shingles of families that one task handles at once.
-SHARD = 1 << 20
+#: Shingles of families, and postings, that one task handles at once.
+SHARD, ROWS = 1 << 20, 1 << 15
+#: Sets of a posting list whose collisions are counted in one task.
+LONG = 2048
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -40,12 +48,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
     return shingles(hashes, first, size)
 
 
-FEATURES = "_key long, _id long, n_shingles long, set_key long, signature array<long>"
+FEATURES = "_key long, _id long, n_shingles long, set_key long, set_check long, signature array<long>"
 
 
-def describe(size: int, coordinates: int):
-    schema = pa.schema([("_key", pa.int64()), ("_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("signature", pa.list_(pa.int64()))])
+def signatures(sh: np.ndarray, begin: np.ndarray, coordinates: int) -> np.ndarray:
+    """A row for each stretch of hashes; all stretches have some."""
     factor = multipliers(coordinates)
+    out = np.zeros((len(begin), coordinates), np.uint64)
+    if len(begin):
+        for k in range(coordinates):
+            out[:, k] = np.minimum.reduceat(sh * factor[k], begin)
+    return out
+
+
+def describe(size: int, coordinates: int):
+    schema = pa.schema([("_key", pa.int64()), ("_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("set_check", pa.int64()), ("signature", pa.list_(pa.int64()))])
 
     def run(batches):
         for part in batches:
@@ -53,18 +70,16 @@ def describe(size: int, coordinates: int):
             for a, b in runs(offsets, 1 << 20):
                 sh, begin = shingle_sets(data, offsets[a : b + 1], size)
                 full = np.flatnonzero(np.diff(begin))
-                sign = np.zeros((len(full), coordinates), np.uint64)
-                if len(full):
-                    for k in range(coordinates):
-                        sign[:, k] = np.minimum.reduceat(sh * factor[k], begin[full])
-                n, key = np.zeros(b - a, np.int64), np.zeros(b - a, np.uint64)
+                sign = signatures(sh, begin[full], coordinates)
+                n, key, check = np.zeros(b - a, np.int64), np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
                 for i in full.tolist():
                     one = np.unique(sh[begin[i] : begin[i + 1]])
                     n[i] = len(one)
                     key[i] = mix(one).sum(dtype=np.uint64)
+                    check[i] = mix(one + BASE).sum(dtype=np.uint64)
                 has = np.zeros(b - a + 1, np.int64)
                 has[full + 1] = coordinates
-                yield batch(schema, _key=part.column("_key").slice(a, b - a), _id=part.column("_id").slice(a, b - a), n_shingles=n, set_key=key.view(np.int64), signature=lists(sign.ravel().view(np.int64), np.cumsum(has), pa.int64()))
+                yield batch(schema, _key=part.column("_key").slice(a, b - a), _id=part.column("_id").slice(a, b - a), n_shingles=n, set_key=key.view(np.int64), set_check=check.view(np.int64), signature=lists(sign.ravel().view(np.int64), np.cumsum(has), pa.int64()))
 
     return run
 
@@ -88,31 +103,77 @@ def gather_sets(size: int):
     return run
 
 
+def collisions(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many coordinates of a signature (or of one for each row) each of the others shares."""
+    return (one == others).sum(-1)
+
+
+def connect(sign: np.ndarray, agree: int) -> list[tuple[int, int]]:
+    """Pairs of rows that connect what pairs with ``agree`` collisions connect: fewer than there are rows."""
+    out, free = [], np.arange(1, len(sign))
+    todo = [0]
+    while todo or len(free):
+        if not todo:
+            todo, free = [int(free[0])], free[1:]
+        at = todo.pop()
+        near = collisions(sign[at], sign[free]) >= agree
+        out += [(at, x) for x in free[near].tolist()]
+        todo += free[near].tolist()
+        free = free[~near]
+    return out
+
+
+def count_collisions(agree: int):
+    """Postings (value, rep, sign), sorted by value, to pairs of sets that connect each list's candidates."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for table in by_key(batches, "value", "one", ROWS):
+            value, rep = table.column("value").to_numpy(), table.column("rep").to_numpy()
+            sign = table.column("sign").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            edge = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            size = np.diff(np.append(edge, len(value)))
+            two = edge[size == 2]
+            two = two[collisions(sign[two], sign[two + 1]) >= agree]
+            a, b = [rep[two]], [rep[two + 1]]
+            for x, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                pairs = connect(sign[x : x + n], agree)
+                a.append(rep[[x + i for i, _ in pairs]])
+                b.append(rep[[x + j for _, j in pairs]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                yield batch(schema, a=a, b=b)
+
+    return run
+
+
 def least_overlap(a, b, percent: int):
     """Smallest intersection of sets of sizes a and b with 100 * intersection >= percent * union."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def link(keys, sides, buckets, values, offsets, percent: int) -> list[tuple[int, int]]:
+def link(keys, sides, buckets, values, offsets, percent: int, agree: int, coordinates: int) -> list[tuple[int, int]]:
     """Links that connect what is connected among the sets of each bucket.
 
-    Sets go by size.  Each looks up its rarest shingles in the lists of those before it, counts what else they share
-    with the ones it isn't connected to, and joins those that reach the threshold.
+    Sets go by size.  Each merges the posting lists of its rarest coordinates, looks up the other coordinates of those it
+    meets there and isn't connected to, and confirms the pairs with ``agree`` collisions on the full sets.
     """
     n = np.diff(offsets)
     order = np.lexsort((keys, n, buckets))
-    apart = mix(values.view(np.uint64) + np.repeat(mix(buckets.view(np.uint64)), n))  # a shingle counts within its bucket
-    _, token, often = np.unique(apart, return_inverse=True, return_counts=True)
-    token = token.ravel()
+    sign = signatures(values.view(np.uint64), offsets[:-1], coordinates)
+    apart = mix(sign + mix(buckets.view(np.uint64))[:, None] + np.arange(coordinates, dtype=np.uint64) * BASE)  # collisions count within a bucket
+    _, coordinate, often = np.unique(apart, return_inverse=True, return_counts=True)
+    coordinate = coordinate.reshape(apart.shape)
+    _, token = np.unique(values, return_inverse=True)
     label = np.arange(len(keys))
     lists_: dict[int, list[int]] = {}
-    mark = np.zeros(len(often) + 1, bool)
+    mark = np.zeros(len(values) + 1, bool)
     out = []
     for i in order.tolist():
-        own = token[offsets[i] : offsets[i + 1]]
-        df = often[own]
-        rare = own[np.argsort(df, kind="stable")][: len(own) - -(-percent * len(own) // 100) + 1]
-        rare = rare[often[rare] > 1].tolist()
+        shared = coordinate[i][often[coordinate[i]] > 1]
+        if len(shared) < agree:
+            continue
+        rare = shared[np.argsort(often[shared], kind="stable")][: len(shared) - agree + 1].tolist()
         near = set()
         for t in rare:
             near.update(lists_.get(t, ()))
@@ -120,7 +181,9 @@ def link(keys, sides, buckets, values, offsets, percent: int) -> list[tuple[int,
             near = np.fromiter(near, np.int64, len(near))
             near = near[(label[near] != label[i]) & (100 * n[near] >= percent * n[i])]
             near = near[(sides[near] != sides[i]) | (sides[near] == 0)]
+            near = near[collisions(coordinate[i], coordinate[near]) >= agree]
             if len(near):
+                own = token[offsets[i] : offsets[i + 1]]
                 mark[own] = True
                 count = n[near]
                 at = np.repeat(offsets[near] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
@@ -135,7 +198,7 @@ def link(keys, sides, buckets, values, offsets, percent: int) -> list[tuple[int,
     return out
 
 
-def confirm(percent: int):
+def confirm(percent: int, agree: int, coordinates: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -143,7 +206,7 @@ def confirm(percent: int):
             sets = table.column("shingles").combine_chunks()
             at = sets.offsets.to_numpy().astype(np.int64)
             values = sets.values.to_numpy()[at[0] : at[-1]]
-            found = link(table.column("_key").to_numpy(), table.column("side").to_numpy(), table.column("bucket").to_numpy(), values, at - at[0], percent)
+            found = link(table.column("_key").to_numpy(), table.column("side").to_numpy(), table.column("bucket").to_numpy(), values, at - at[0], percent, agree, coordinates)
             if found:
                 a, b = zip(*found, strict=True)
                 yield batch(schema, a=a, b=b)
@@ -192,22 +255,28 @@ def without_near_duplicates(docs: DataFrame, percent: int, size: int = 5, id_col
 def _near(rows: DataFrame, ws: Workspace, percent: int, size: int, coordinates: int, agree: int, most: int) -> DataFrame:
     feats = ws.table(rows.mapInArrow(describe(size, coordinates), FEATURES), "features")
     # one representative of each set
-    reps = ws.table(feats.filter("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min(F.struct("_key", "signature")).alias("first"), F.min("_id").alias("low")).select("set_key", "n_shingles", "first.*", "low"), "sets")
+    same = ["set_key", "set_check", "n_shingles"]
+    reps = ws.table(feats.filter("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("_key", "signature")).alias("first"), F.min("_id").alias("low")).select(*same, "first.*", "low"), "sets")
     post = reps.select(F.col("_key").alias("rep"), F.posexplode("signature").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("value"))
     shared = post.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
     # prefix: all but agree - 1 of the colliding coordinates, rarest first
     prefix = (
         post.join(shared, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("all"))
         .filter(F.size("all") >= agree)
-        .select("rep", F.explode(F.expr(f"slice(all, 1, size(all) - {agree - 1}).value")).alias("value"))
+        .select("rep", F.expr(f"slice(all, 1, size(all) - {agree - 1}).value").alias("values"))
     )
-    prefix = ws.table(prefix, "postings")
-    lists_ = prefix.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    families = components(prefix.join(lists_, "value").select(F.col("rep").alias("a"), F.col("hub").alias("b")), ws).select(F.col("id").alias("_key"), F.col("component").alias("family"))
+    # counting takes half of each coordinate: what collides by chance is told apart later
+    half = reps.select(F.col("_key").alias("rep"), F.transform("signature", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("sign"))
+    prefix = ws.table(prefix.join(half, "rep").select("rep", F.explode("values").alias("value"), "sign"), "postings")
+    lists_ = ws.table(prefix.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "lists")
+    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = prefix.join(lists_.filter(F.col("n") <= LONG), "value").select("value", "rep", "sign", F.lit(1).alias("one"))
+    counted = counted.repartition(parts, "value").sortWithinPartitions("value").mapInArrow(count_collisions(agree), "a long, b long").distinct()
+    long = prefix.join(lists_.filter(F.col("n") > LONG), "value").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    families = components(ws.table(counted.unionByName(long), "candidates"), ws).select(F.col("id").alias("_key"), F.col("component").alias("family"))
     families = ws.table(families, "families")
     # a family of up to ``most`` shingles is one bucket; of a larger one, each pair of blocks
     families = families.join(reps.select("_key", "n_shingles"), "_key")
-    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     # one with a large share of all shingles is cut too, into as many pairs as tasks have that share of the work
     everything = families.agg(F.sum("n_shingles").alias("everything"))  # one row
     own = families.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("own")).crossJoin(F.broadcast(everything))
@@ -225,12 +294,12 @@ def _near(rows: DataFrame, ws: Workspace, percent: int, size: int, coordinates:
     )
     # never a broadcast: the sets that are looked at grow with the corpus
     sets = rows.select("_key", "_text").hint("merge").join(ws.table(placed, "placed"), "_key").mapInArrow(gather_sets(size), SETS)
-    links = ws.table(sets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(confirm(percent), "a long, b long"), "links")
+    links = ws.table(sets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(confirm(percent, agree, coordinates), "a long, b long"), "links")
     found = components(links, ws)
-    low = reps.select(F.col("_key").alias("id"), "set_key", "n_shingles", "low").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    low = reps.select(F.col("_key").alias("id"), *same, "low").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = low.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = low.join(least, "component").select("set_key", "n_shingles", "component_id", "component")
-    return feats.drop("signature").join(named, ["set_key", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "_id"))
+    named = low.join(least, "component").select(*same, "component_id", "component")
+    return feats.drop("signature").join(named, same, "left").withColumn("component_id", F.coalesce("component_id", "_id"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,58 @@ def test_near_duplicates(spark, most):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_collisions_are_counted():
+    """Pairs below the threshold are never joined, those that reach it are, through others or not."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n, agree = int(rng.integers(1, 40)), int(rng.integers(1, 7))
+        sign = rng.integers(0, 3, (n, 6)).astype(np.int32)
+        label = np.arange(n)
+        for i in range(n):
+            for j in range(i):
+                if (sign[i] == sign[j]).sum() >= agree:
+                    label[label == label[i]] = label[j]
+        pairs = near_duplicates.connect(sign, agree)
+        assert len(pairs) < n and all((sign[a] == sign[b]).sum() >= agree for a, b in pairs)
+        own = np.arange(n)
+        for a, b in pairs:
+            own[own == own[a]] = own[b]
+        assert [(own == own[i]).tolist() for i in range(n)] == [(label == label[i]).tolist() for i in range(n)]
+
+
+def test_recall_of_planted_pairs_and_threshold(spark):
+    rng = random.Random(13)
+    rows, pairs = [], 400
+    for i in range(pairs):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        k = rng.randrange(20, 90)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:k], "new", *w[k + 1 :]]))]  # 111 of 121 shingles, or 0.917
+    docs = frame(spark, rows).repartition(8)
+
+    def found(**how):
+        return sum(r.component_id == r.doc_id - 1 for r in near_duplicates.near_duplicates(docs, **how).filter("doc_id % 2 = 1").collect())
+
+    assert found() == pairs
+    assert found(percent=91) == pairs
+    share = found(agree=31) / pairs  # 31 of 32 collide with a probability of 0.24
+    assert 0.15 < share < 0.35
+
+
+@pytest.mark.parametrize("long", [2, 2048])
+def test_near_copies_in_long_lists(spark, monkeypatch, long):
+    """A chain of near copies in posting lists that are too long to be counted, beside others in short ones."""
+    monkeypatch.setattr(near_duplicates, "LONG", long)
+    rng = random.Random(14)
+    w = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(w)))
+        w[rng.randrange(200)] = f"x{i}"
+    rows += [(100 + i, " ".join(f"{i}z{j}" for j in range(30))) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: 0 if i < 60 else i for i, _ in rows}
+
+
 def test_near_duplicates_repeated_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (7, None)]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in near_duplicates.near_duplicates(frame(spark, rows)).collect())
