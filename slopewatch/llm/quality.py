@@ -1,12 +1,13 @@
 """Quality classifier by co-training (operator 6).
 
-Two views of a document: its text content (words, beginnings of words, runs of signs) and its metadata (language,
-source, length and layout).  For each of two questions, low quality and toxic, each view trains a classifier on labelled
-rows; over a few rounds each labels the rows of an unlabelled pool that it is sure of for the other one.  The views'
-calibrated scores are then combined, and every document is scored.
-
-Only the fit uses samples, of bounded size; Spark counts and selects the content features, scores all rows, and holds
-the texts.  The fitted weights have a fixed size.
+Two views of a document that share nothing: its text (words, beginnings of words, runs of signs, and the layout of the
+text) and its metadata as they are given (language, source, number of characters).  For each of two questions, low quality
+and toxic, each view trains a classifier on labelled rows.  Over a few rounds both score all unlabelled rows of the corpus,
+in Spark, and of those that a view is sure of, some are labelled for the other one.  The views' calibrated scores are then
+combined, and every document is scored.
+
+Only rows that a model is fitted on come to the driver: a bounded sample of the labelled ones, and a bounded number of
+newly labelled ones a round, drawn evenly from all that a view is sure of.  The fitted weights have a fixed size.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from .common import Workspace, batch, lists, runs, utf8
 from .windows import MIX1, MIX2, mix, prefix_hash, span_hash
 from .words import LOWER, SPACE, words
 
-#: Bounds of the samples: labelled rows, unlabelled rows.
-LABELLED, POOL = 12_000, 4_000
+#: Bound of the sample of labelled rows.
+LABELLED = 12_000
 #: Content features: hashed to so many bits; at most so many are kept, the ones that depend most on
 #: a label (by the normal score of their count among the bad) and occur in enough rows.
 BITS, FEATURES, DEPENDS, LEAST = 22, 2048, 4.5, 4
+#: Rounds of co-training, how sure a view must be, and rows of a kind that it labels in a round at most.
 ROUNDS, SURE, EACH = 3, 0.97, 400
 #: A document with a probability of this for either question is rejected.
 REJECT = 0.5
@@ -39,7 +41,8 @@ DIGIT[48:58] = True
 SIGN = ~(LETTER | DIGIT | SPACE)
 #: Numbers of the layout, in order.
 LAYOUT = ("size", "upper", "digits", "signs", "pipes", "lines", "word_length", "distinct", "commonest", "repeated", "same_line")
-KINDS = 64
+#: Languages and sources are hashed to so many kinds; numbers of characters go by powers of two.
+KINDS, POWERS = 64, 40
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -103,12 +106,18 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(n), share(upper, letters), share(DIGIT[base], n), share(SIGN[base], n), share(base == 124, n), share(base == 10, n), n / np.maximum(count, 1), distinct, common, again, same], 1)
 
 
-SAMPLE = "doc_id long, low int, toxic int, features array<int>, layout array<double>, lang int, source int"
+SAMPLE = "doc_id long, low int, toxic int, features array<int>, layout array<double>, lang int, source int, size int"
+
+
+def given(part: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    """Numbers for the language, source and size of rows; nulls are a kind of their own."""
+    size = [0 if n is None or n < 0 else int(n).bit_length() for n in part.column("n_chars").to_pylist()]
+    return [np.array([kind(x) for x in part.column(c).to_pylist()], np.int64) for c in ("lang", "source")] + [np.minimum(np.array(size, np.int64), POWERS - 1)]
 
 
 def describe(batches):
-    """Sampled rows (doc_id, text, lang, source, low, toxic) to their features."""
-    schema = pa.schema([("doc_id", pa.int64()), ("low", pa.int32()), ("toxic", pa.int32()), ("features", pa.list_(pa.int32())), ("layout", pa.list_(pa.float64())), ("lang", pa.int32()), ("source", pa.int32())])
+    """Sampled rows (doc_id, text, lang, source, n_chars, low, toxic) to their features."""
+    schema = pa.schema([("doc_id", pa.int64()), ("low", pa.int32()), ("toxic", pa.int32()), ("features", pa.list_(pa.int32())), ("layout", pa.list_(pa.float64())), ("lang", pa.int32()), ("source", pa.int32()), ("size", pa.int32())])
     for part in batches:
         data, offsets = utf8(part.column("text"))
         for a, b in runs(offsets, 1 << 20):
@@ -117,9 +126,10 @@ def describe(batches):
             at = np.searchsorted(both >> 32, np.arange(b - a + 1))
             shape = layout(data, offsets[a : b + 1])
             one = part.slice(a, b - a)
+            lang, source, size = (x.astype(np.int32) for x in given(one))
             yield batch(
                 schema, doc_id=one.column("doc_id"), low=one.column("low"), toxic=one.column("toxic"), features=lists((both & 0xFFFFFFFF).astype(np.int32), at, pa.int32()),
-                layout=lists(shape.ravel(), np.arange(b - a + 1) * len(LAYOUT), pa.float64()), lang=[kind(x) for x in one.column("lang").to_pylist()], source=[kind(x) for x in one.column("source").to_pylist()],
+                layout=lists(shape.ravel(), np.arange(b - a + 1) * len(LAYOUT), pa.float64()), lang=lang, source=source, size=size,
             )
 
 
@@ -175,80 +185,132 @@ class Model:
     meta: dict[str, Logistic]
     scale: dict[str, np.ndarray]  # calibration of (text, meta) views and their combination
 
-    def meta_columns(self, shape: np.ndarray, lang: np.ndarray, source: np.ndarray):
-        bins = self.bounds.shape[1] + 1
-        cols = [np.searchsorted(self.bounds[i], shape[:, i]) + i * bins for i in range(shape.shape[1])]
-        base = bins * shape.shape[1]
-        cols += [lang + base, source + base + KINDS]
-        n = len(shape)
-        return np.tile(np.arange(n, dtype=np.int32), len(cols)), np.concatenate(cols).astype(np.int32)
+    def text_columns(self, hashes: np.ndarray, docs: np.ndarray, shape: np.ndarray):
+        """Rows and columns of the text view: the selected features, each once for a document, and the layout's bins."""
+        n, bins = len(shape), self.bounds.shape[1] + 1
+        rows, cols = [], []
+        if len(self.selected):
+            at = np.minimum(np.searchsorted(self.selected, hashes), len(self.selected) - 1)
+            hit = self.selected[at] == hashes
+            both = np.unique(docs[hit].astype(np.int64) * len(self.selected) + at[hit])
+            rows, cols = [both // len(self.selected)], [both % len(self.selected)]
+        for i in range(shape.shape[1]):
+            rows.append(np.arange(n))
+            cols.append(len(self.selected) + i * bins + np.searchsorted(self.bounds[i], shape[:, i]))
+        return np.concatenate(rows).astype(np.int32), np.concatenate(cols).astype(np.int32)
+
+    @staticmethod
+    def meta_columns(lang: np.ndarray, source: np.ndarray, size: np.ndarray):
+        """Rows and columns of the metadata view."""
+        return np.tile(np.arange(len(lang), dtype=np.int32), 3), np.concatenate([lang, source + KINDS, size + 2 * KINDS]).astype(np.int32)
 
     @property
-    def meta_width(self) -> int:
-        return (self.bounds.shape[1] + 1) * self.bounds.shape[0] + 2 * KINDS
-
-    def text_columns(self, hashes: np.ndarray, docs: np.ndarray):
-        """Rows and columns of the selected features, each once for a document."""
-        if not len(self.selected):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.selected, hashes), len(self.selected) - 1)
-        hit = self.selected[at] == hashes
-        both = np.unique(docs[hit].astype(np.int64) * len(self.selected) + at[hit])
-        return (both // len(self.selected)).astype(np.int32), (both % len(self.selected)).astype(np.int32)
+    def widths(self) -> tuple[int, int]:
+        return len(self.selected) + (self.bounds.shape[1] + 1) * self.bounds.shape[0], 2 * KINDS + POWERS
 
     def probability(self, head: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         s = self.scale[head]
         return 1 / (1 + np.exp(-np.clip(s[4] * (s[0] * a + s[1]) + s[5] * (s[2] * b + s[3]) + s[6], -30, 30)))
 
 
-def co_train(text: tuple, meta: tuple, y: np.ndarray, known: np.ndarray, held: np.ndarray, widths: tuple[int, int]):
-    """Views' classifiers and their calibration for one question.
+VIEWS = ("text", "meta")
+COLUMNS = "key long, doc_id long, text array<int>, meta array<int>"
+LOGITS = "key long, doc_id long, text_low float, text_toxic float, meta_low float, meta_toxic float"
+
+
+def columns_of(model: Model):
+    """Rows (key, doc_id, text, lang, source, n_chars) to their columns in both views."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for part in batches:
+            data, offsets = utf8(part.column("text"))
+            for a, b in runs(offsets, 1 << 19):
+                one = part.slice(a, b - a)
+                found = [model.text_columns(*content(data, offsets[a : b + 1]), layout(data, offsets[a : b + 1])), model.meta_columns(*given(one))]
+                held = []
+                for rows, cols in found:
+                    by = np.argsort(rows, kind="stable")
+                    held.append(lists(cols[by], np.searchsorted(rows[by], np.arange(b - a + 1)), pa.int32()))
+                yield batch(schema, key=one.column("key"), doc_id=one.column("doc_id"), text=held[0], meta=held[1])
+
+    return run
+
+
+def logits_of(models: dict[str, dict[str, Logistic]]):
+    """Rows of COLUMNS to the logits of both views for both questions."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), *((f"{v}_{h}", pa.float32()) for v in VIEWS for h in HEADS)])
+
+    def run(batches):
+        for part in batches:
+            out = {}
+            for view in VIEWS:
+                rows, cols = flat(part.column(view))
+                for head in HEADS:
+                    out[f"{view}_{head}"] = models[view][head].logit(rows, cols, part.num_rows).astype(np.float32)
+            yield batch(schema, key=part.column("key"), doc_id=part.column("doc_id"), **out)
+
+    return run
 
-    text, meta: (rows, columns) of all sampled rows; y: labels where known; held: labelled rows left for calibration.
+
+def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every element of an array of lists."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+@dataclass
+class Given:
+    """Rows that a view trains on for one question: their columns, labels and weights."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+
+    def and_(self, more: Given) -> Given:
+        return Given(np.append(self.rows, more.rows + len(self.y)), np.append(self.cols, more.cols), np.append(self.y, more.y), np.append(self.weight, more.weight))
+
+
+def newly_labelled(unlabelled: DataFrame, models: dict, share: dict[str, float], turn: int, ws: Workspace) -> list[tuple[str, str, Given]]:
+    """(view, question, rows) that the other view is sure of: as many as EACH at most of a kind, by a hash of their key.
+
+    All unlabelled rows are scored.
     """
-    n = len(y)
-    views = [text, meta]
-    given = [np.where(known & ~held, y, -1) for _ in views]  # the labels each view trains on
-    weight = [(known & ~held).astype(float) for _ in views]
-    models = [Logistic(widths[0], evidence=True), Logistic(widths[1])]
-    for turn in range(ROUNDS + 1):
-        for model, (rows, cols), label, part in zip(models, views, given, weight, strict=True):
-            use = part[rows] > 0
-            model.fit(rows[use], cols[use], np.maximum(label, 0), part)
-        if turn == ROUNDS:
-            break
-        logits = [m.logit(r, c, n) for m, (r, c) in zip(models, views, strict=True)]
-        share = max(0.01, float(y[known & ~held].mean())) if (known & ~held).any() else 0.5
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-np.clip(logits[teacher], -30, 30)))
-            free = np.flatnonzero(~known & (given[pupil] < 0))
-            yes = free[p[free] >= SURE]
-            no = free[p[free] <= 1 - SURE]
-            yes = yes[np.argsort(-p[yes], kind="stable")][: max(1, int(EACH * share))]
-            no = no[np.argsort(p[no], kind="stable")][:EACH]
-            given[pupil][yes], given[pupil][no] = 1, 0
-            weight[pupil][yes] = weight[pupil][no] = 0.5
-    a, b = (m.logit(r, c, n)[held] for m, (r, c) in zip(models, views, strict=True))
-    if held.sum() < 20 or len(np.unique(y[held])) < 2:
-        return models, np.array([1.0, 0, 1.0, 0, 1.0, 0.0, 0])
-    first, second = calibrate(a[:, None], y[held]), calibrate(b[:, None], y[held])
-    both = calibrate(np.column_stack([first[0] * a + first[1], second[0] * b + second[1]]), y[held])
-    return models, np.concatenate([first, second, both])
-
-
-def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on at most ``labelled`` labelled and ``pool`` unlabelled rows, those with the smallest hash of their id."""
+    scored = ws.table(unlabelled.mapInArrow(logits_of(models), LOGITS), "logits")
+    limit = float(np.log(SURE / (1 - SURE)))
+    picked = None
+    for view, other in zip(VIEWS, VIEWS[::-1], strict=True):
+        for head in HEADS:
+            p = F.col(f"{other}_{head}")
+            for label, sure, most in ((1, p >= limit, max(1, int(EACH * share[head]))), (0, p <= -limit, EACH)):
+                some = scored.filter(sure).select("key").distinct().orderBy(F.xxhash64("key", F.lit(turn))).limit(most)
+                some = some.select("key", F.lit(view).alias("view"), F.lit(head).alias("head"), F.lit(label).alias("label"))
+                picked = some if picked is None else picked.unionByName(some)
+    picked = ws.table(picked, "picked")  # at most 4 * 2 * EACH rows
+    rows = unlabelled.dropDuplicates(["key"]).join(F.broadcast(picked), "key").select("view", "head", "label", "key", "text", "meta").orderBy("view", "head", "label", "key").toArrow()
+    view_of, head_of, label = (np.array(rows.column(c).to_pylist()) for c in ("view", "head", "label"))
+    out = []
+    for view in VIEWS:
+        for head in HEADS:
+            mine = np.flatnonzero((view_of == view) & (head_of == head)) if rows.num_rows else np.zeros(0, int)
+            if len(mine):
+                at, cols = flat(rows.column(view).take(pa.array(mine)))
+                out.append((view, head, Given(at, cols, label[mine].astype(float), np.full(len(mine), 0.5))))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, labelled: int = LABELLED) -> Model:
+    """Fit on at most ``labelled`` labelled rows, those with the smallest hash of their id, and all unlabelled ones."""
     keep = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     y = keep.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
     ids = docs.select("doc_id").distinct()
-    chosen = y.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    free = ids.filter("doc_id is not null").join(y, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("toxic"))
-    chosen = ws.table(chosen.unionByName(free), "chosen")  # at most labelled + pool rows
-    sample = ws.table(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "source", "low", "toxic").mapInArrow(describe, SAMPLE), "sample")
-    know = sample.filter("low is not null")
-    total = know.agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).collect()[0]
+    chosen = ws.table(y.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "chosen")
+    sample = ws.table(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "low", "toxic").mapInArrow(describe, SAMPLE), "sample")
+    total = sample.agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).collect()[0]
     n = max(1, total.n)
-    counts = know.select("low", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS])
+    counts = sample.select("low", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS])
 
     def depends(head: str):
         p = min(max((total[head] or 0) / n, 1 / (n + 1)), n / (n + 1))
@@ -260,59 +322,90 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, labelled: int = LABEL
     selected = np.unique(np.concatenate(chosen_for))
     # what is left of the sample is small: a few of at most FEATURES features, and the layout
     picked = F.array(*[F.lit(int(x)) for x in selected]).cast("array<int>")
-    rows = sample.orderBy("doc_id").select("low", "toxic", F.array_intersect("features", picked).alias("features"), "layout", "lang", "source").toArrow()
+    rows = sample.orderBy("doc_id", "size").select("low", "toxic", F.array_intersect("features", picked).alias("features"), "layout", "lang", "source", "size").toArrow()
     size = rows.num_rows
     layouts = rows.column("layout").combine_chunks().flatten().to_numpy().reshape(size, -1) if size else np.zeros((0, len(LAYOUT)))
     bounds = np.quantile(layouts, np.linspace(0, 1, 21)[1:-1], axis=0).T if size else np.zeros((len(LAYOUT), 19))
     model = Model(selected, bounds, {}, {}, {})
-    features = rows.column("features").combine_chunks() if size else pa.array([], pa.list_(pa.int32()))
-    doc = np.repeat(np.arange(size), np.diff(features.offsets.to_numpy()) if size else 0)
-    text = model.text_columns(features.flatten().to_numpy().astype(np.int64), doc)
-    meta = model.meta_columns(layouts, rows.column("lang").to_numpy().astype(np.int64), rows.column("source").to_numpy().astype(np.int64))
-    known = ~np.isnan(rows.column("low").to_numpy(zero_copy_only=False).astype(float)) if size else np.zeros(0, bool)
-    held = known & (np.arange(size) % 3 == 0)
+    widths = dict(zip(VIEWS, model.widths, strict=True))
+    models = {v: {h: Logistic(widths[v], evidence=v == "text") for h in HEADS} for v in VIEWS}
+    held = np.arange(size) % 3 == 0
+    if not (~held).any():
+        return Model(selected, bounds, models["text"], models["meta"], {h: np.array([0, 0, 0, 0, 0, 0, -30.0]) for h in HEADS})
+    doc, features = flat(rows.column("features"))
+    columns = {"text": model.text_columns(features, doc, layouts), "meta": model.meta_columns(*(rows.column(c).to_numpy().astype(np.int64) for c in ("lang", "source", "size")))}
+    label = {h: rows.column(h).to_numpy().astype(float) for h in HEADS}
+    train: dict[tuple[str, str], Given] = {}
     for head, own in zip(HEADS, chosen_for, strict=True):
-        mine = np.isin(selected[text[1]], own) if len(selected) else np.zeros(0, bool)
-        label = np.nan_to_num(rows.column(head).to_numpy(zero_copy_only=False).astype(float)) if size else np.zeros(0)
-        if not (known & ~held).any():
-            model.text[head], model.meta[head], model.scale[head] = Logistic(max(1, len(selected))), Logistic(model.meta_width), np.array([0, 0, 0, 0, 0, 0, -30.0])
+        for view in VIEWS:
+            at, cols = columns[view]
+            use = ~held[at]
+            if view == "text":  # features that depend on the other question don't speak for this one
+                use &= (cols >= len(selected)) | (np.isin(selected, own)[np.minimum(cols, max(0, len(selected) - 1))] if len(selected) else False)
+            number = np.cumsum(~held) - 1
+            train[view, head] = Given(number[at[use]], cols[use], label[head][~held], np.ones(int((~held).sum())))
+    mine = {h: np.append(np.isin(selected, own), np.ones(widths["text"] - len(selected), bool)) for h, own in zip(HEADS, chosen_for, strict=True)}
+    share = {h: max(0.01, float(label[h][~held].mean())) for h in HEADS}
+    keyed_ = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", "lang", "source", "n_chars")
+    unlabelled = ws.table(keyed_.mapInArrow(columns_of(model), COLUMNS).join(y.select("doc_id"), "doc_id", "left_anti").select("key", "doc_id", "text", "meta"), "columns")
+    extra: dict[tuple[str, str], Given] = {}
+    for turn in range(ROUNDS + 1):
+        for (view, head), one in train.items():
+            all_ = one.and_(extra[view, head]) if (view, head) in extra else one
+            models[view][head].fit(all_.rows, all_.cols, all_.y, all_.weight)
+        if turn < ROUNDS:
+            for view, head, more in newly_labelled(unlabelled, models, share, turn, ws):
+                if view == "text":
+                    use = mine[head][more.cols]
+                    more = Given(more.rows[use], more.cols[use], more.y, more.weight)
+                extra[view, head] = extra[view, head].and_(more) if (view, head) in extra else more
+    scale = {}
+    for head in HEADS:
+        a, b = (models[v][head].logit(*columns[v], size)[held] for v in VIEWS)
+        if held.sum() < 20 or len(np.unique(label[head][held])) < 2:
+            scale[head] = np.array([1.0, 0, 1.0, 0, 1.0, 0.0, 0])
             continue
-        (model.text[head], model.meta[head]), model.scale[head] = co_train((text[0][mine], text[1][mine]), meta, label, known, held, (max(1, len(selected)), model.meta_width))
-    return model
+        first, second = calibrate(a[:, None], label[head][held]), calibrate(b[:, None], label[head][held])
+        both = calibrate(np.column_stack([first[0] * a + first[1], second[0] * b + second[1]]), label[head][held])
+        scale[head] = np.concatenate([first, second, both])
+    return Model(selected, bounds, models["text"], models["meta"], scale)
 
 
 def scorer(model: Model):
-    """(text, lang, source) to both probabilities.  Only these columns go to Python, and only numbers come back."""
+    """(text, lang, source, n_chars) to both probabilities.  Only these columns go to Python, only numbers come back."""
 
     @F.arrow_udf("struct<low: double, toxic: double>")
-    def score(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+    def score(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         data, offsets = utf8(text)
         out = {head: np.zeros(len(text)) for head in HEADS}
-        kinds = [np.array([kind(x) for x in c.to_pylist()], np.int64) for c in (lang, source)]
+        kinds = given(pa.RecordBatch.from_arrays([lang, source, n_chars], ["lang", "source", "n_chars"]))
         for a, b in runs(offsets, 1 << 19):
-            words_ = model.text_columns(*content(data, offsets[a : b + 1]))
-            meta = model.meta_columns(layout(data, offsets[a : b + 1]), kinds[0][a:b], kinds[1][a:b])
+            own = model.text_columns(*content(data, offsets[a : b + 1]), layout(data, offsets[a : b + 1]))
+            meta = model.meta_columns(*(x[a:b] for x in kinds))
             for head in HEADS:
-                out[head][a:b] = model.probability(head, model.text[head].logit(*words_, b - a), model.meta[head].logit(*meta, b - a))
+                out[head][a:b] = model.probability(head, model.text[head].logit(*own, b - a), model.meta[head].logit(*meta, b - a))
         return pa.StructArray.from_arrays([pa.array(out[h]) for h in HEADS], list(HEADS))
 
     return score
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, reject: float = REJECT) -> DataFrame:
-    """All rows and columns of ``docs`` (doc_id, text, lang, source) with low_quality, toxicity and kept.
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, reject: float = REJECT) -> DataFrame:
+    """All rows and columns of ``docs`` (doc_id, text, lang, source, and n_chars if it is there, else the text's length)
+    with low_quality, toxicity and kept.
 
     ``labels`` (doc_id, quality, toxic) may cover any of them; rows with nulls in it don't count, and an id that is
-    labelled twice counts as bad if one label says so.  A null text counts as empty, a null language or source as a kind
-    of its own.  Without labels every document is kept.  Columns of the input named like a result are replaced.
+    labelled twice counts as bad if one label says so.  A null text counts as empty, a null language, source or size as a
+    kind of its own.  Rows that repeat an id are scored each by itself, equal rows alike.  Without labels every document
+    is kept.  Columns of the input named like a result are replaced.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "quality")
     docs = docs.drop("low_quality", "toxicity", "kept")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])
-    model = fit(slim, labels, ws, labelled, pool)
+    size = (F.col("n_chars") if "n_chars" in docs.columns else F.length("text")).cast("long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")], size.alias("n_chars"))
+    model = fit(slim, labels, ws, labelled)
     ws.drop()
-    p = scorer(model)(*[F.col(c).cast("string") for c in ("text", "lang", "source")])
+    p = scorer(model)(*[F.col(c).cast("string") for c in ("text", "lang", "source")], size)
     held = "_scores"
     while held in docs.columns:
         held += "_"
@@ -322,4 +415,4 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs.select("doc_id", "text", "lang", "source"), labels).select("doc_id", "low_quality", "toxicity", "kept")
+    return classify(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels).select("doc_id", "low_quality", "toxicity", "kept")
