@@ -5,8 +5,8 @@ slots; pages of a host with the same slots are a layout group.  A page gives its
 path of containers around them, and pieces of text in them.  The occurrence vector of a token says how often it is in
 each page of the group; tokens with equal vectors form an equivalence class.  Vectors are never gathered: each token sums
 up a hash of (page, count), with partial aggregation, so equal sums mean equal vectors and a host of any size costs one
-row for each token.  Classes of enough pages and members are valid; a text of a valid class nested in a container of one
-is the template's and left out.  Tags and names of menus, footers, adverts or comments are a help beside this: what they
+row for each token.  Classes of enough pages and members are valid; a text of a valid class is the template's and left out if
+it nests in the template: its container is of a valid class too, or equally often in all pages that have it.  Tags and names of menus, footers, adverts or comments are a help beside this: what they
 mark is left out too, unless it holds the page's main element or most of the text of the page or of the host's pages.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -28,7 +29,8 @@ SUPPORT = 0.5
 #: Pages that a token must occur in, and tokens of a valid class, whatever the host's size.
 LEAST, MEMBERS = 3, 2
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE_END = re.compile(r"[\"'>]")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 CONTAINERS = frozenset("html body main article section div header footer nav aside form table ul ol dl figure blockquote details dialog fieldset".split())
 #: Elements whose text is never the article's.
@@ -49,27 +51,61 @@ BESIDE = frozenset("site global top bottom left right primary secondary main slo
 MOST = 0.5
 
 
+def tag_end(page: str, at: int, unclosed: set[str]) -> tuple[int, int]:
+    """Where a start tag's attributes end, and where the page goes on.
+
+    A sign > within a quoted value is part of it; a quote opens a value only behind an equals sign and if it is closed.
+    ``unclosed`` remembers which quotes no later place closes, so a page is read once however broken it is.
+    """
+    while m := ATTRIBUTE_END.search(page, at):
+        sign = m[0]
+        if sign == ">":
+            return m.start(), m.end()
+        at = m.end()
+        if sign not in unclosed and page[max(0, at - 20) : at - 1].rstrip().endswith("="):
+            close = page.find(sign, at)
+            if close < 0:
+                unclosed.add(sign)
+            else:
+                at = close + 1
+    return len(page), len(page)
+
+
 def events(page: str):
-    """(kind, name, attributes, text) of a page: text with references decoded, start and end tags; raw text is dropped."""
-    at, end = 0, len(page)
+    """(kind, name, attributes, text) of a page: text with references as they are, start and end tags; raw text is
+    dropped.  Linear in the page's length."""
+    at, end, unclosed = 0, len(page), set()
     while at < end:
-        m = TAG.search(page, at)
-        if m is None:
+        tag = page.find("<", at)
+        while 0 <= tag < end - 1 and page[tag + 1] not in "!?/" and not TAG_NAME.match(page, tag + 1):
+            tag = page.find("<", tag + 1)
+        if tag < 0 or tag == end - 1:
             yield "text", "", "", page[at:]
             return
-        if m.start() > at:
-            yield "text", "", "", page[at : m.start()]
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            yield "end", name, "", ""
-            continue
-        yield "start", name, m[3], ""
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = close.start() if close else end
+        if tag > at:
+            yield "text", "", "", page[at:tag]
+        after = page[tag + 1]
+        if page.startswith("<!--", tag):
+            close = page.find("-->", tag + 4)
+            at = close + 3 if close >= 0 else end
+        elif after in "!?":
+            close = page.find(">", tag)
+            at = close + 1 if close >= 0 else end
+        elif after == "/":
+            close = page.find(">", tag)
+            name = TAG_NAME.match(page, tag + 2)
+            at = close + 1 if close >= 0 else end
+            if name:
+                yield "end", name[0].lower(), "", ""
+        else:
+            name = TAG_NAME.match(page, tag + 1)
+            stop, at = tag_end(page, name.end(), unclosed)
+            attributes = page[name.end() : stop]
+            name = name[0].lower()
+            yield "start", name, attributes, ""
+            if name in RAW and not attributes.rstrip().endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = close.start() if close else end
 
 
 def says_other(value: str) -> bool:
@@ -99,15 +135,34 @@ def marks(attributes: str) -> tuple[str, bool, bool]:
     return "|".join(label), hidden, other
 
 
+class Open:
+    """An open container: ``path`` is a hash of it and all around it, ``chars`` the text in it so far."""
+
+    __slots__ = ("name", "path", "silent", "at", "named", "main", "above", "under_named", "slot", "chars")
+
+    def __init__(self, name: str, path: int, silent: bool, at: int, named: bool, main: int, above: Open | None):
+        self.name, self.path, self.silent, self.at, self.named, self.main, self.above = name, path, silent, at, named, main, above
+        self.under_named = named or (above is not None and above.under_named)
+        outer = above.slot if above is not None else 0
+        self.slot = outer or (path if main and not silent else 0)  # the outermost article or main element around it
+        self.chars = 0
+
+
 class Walk:
-    """Follows a page's containers; unclosed and stray tags don't disturb it.
+    """Follows a page's containers; unclosed and stray tags don't disturb it, and no step depends on the depth.
 
-    ``off`` has the start tags (their numbers among the events) of wrappers whose names count.
+    ``off`` has the start tags (their numbers among the events) of wrappers whose names count; ``closed`` is told every
+    container that ends, with all the text in it.
     """
 
-    def __init__(self, off: frozenset[int] | set[int] = frozenset()):
-        self.off = off
-        self.stack: list[tuple[str, str, bool, int, bool]] = []  # name, path, silent, number of the start tag, named
+    def __init__(self, off: frozenset[int] | set[int] = frozenset(), closed=None):
+        self.off, self.closed = off, closed
+        self.stack: list[Open] = []
+        self.open = Counter()
+
+    @property
+    def top(self) -> Open | None:
+        return self.stack[-1] if self.stack else None
 
     def start(self, name: str, attributes: str, at: int = -1) -> bool:
         """Whether it is a container (or a silent element), which is then open."""
@@ -121,30 +176,67 @@ class Walk:
         else:
             label, hidden, other = marks(attributes) if attributes else ("", False, False)
         if name == "body" or name == "html":
+            if self.open[name]:
+                return False  # a page has one
             hidden = other = False
         if name == "body":  # a head that wasn't closed ends here
-            self.stack = [x for x in self.stack if x[0] == "html"]
-        above = self.stack[-1] if self.stack else ("", "", False, -1, False)
-        self.stack.append((name, f"{above[1]}/{name}{'[' + label + ']' if label else ''}", above[2] or hidden or name in SILENT or at in self.off, at, other))
+            self._cut(1 if self.stack and self.stack[0].name == "html" else 0)
+        above = self.top
+        silent = (above is not None and above.silent) or hidden or name in SILENT or at in self.off
+        main = 2 if name == "article" or "i=articleBody" in label else 1 if name == "main" or "r=main" in label else 0
+        self.stack.append(Open(name, within(above.path if above else 0, of_text(f"{name}[{label}]")), silent, at, other, main, above))
+        self.open[name] += 1
         return True
 
-    def end(self, name: str) -> str | None:
-        """The path of the container that this closes."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                path = self.stack[i][1]
-                del self.stack[i:]
-                return path
-        return None
+    def text(self, n: int) -> None:
+        if self.stack:
+            self.stack[-1].chars += n
+
+    def end(self, name: str) -> bool:
+        """Whether this closes a container, with all that is open in it."""
+        if not self.open[name]:
+            return False
+        i = len(self.stack) - 1
+        while self.stack[i].name != name:
+            i -= 1
+        self._cut(i)
+        return True
+
+    def _cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            last = self.stack.pop()
+            self.open[last.name] -= 1
+            if last.above is not None:
+                last.above.chars += last.chars
+            if self.closed:
+                self.closed(last)
+
+    def finish(self) -> None:
+        self._cut(0)
 
     @property
     def silent(self) -> bool:
-        return bool(self.stack) and self.stack[-1][2]
+        return bool(self.stack) and self.stack[-1].silent
+
+
+@lru_cache(maxsize=4096)
+def of_text(text: str) -> int:
+    """64 bits for a text: blanks as one, digits as one sign."""
+    key = re.sub(r"[0-9]+", "#", " ".join(text.split())).encode("utf-8", "surrogatepass")
+    return int.from_bytes(blake2b(key, digest_size=8).digest(), "little")
+
 
+def within(container: int, what: int) -> int:
+    """64 bits, signed, for something in a container."""
+    x = (container * 0x9E3779B97F4A7C15 + what) & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 27
+    return x - (x >> 63 << 64)
 
-def is_main(name: str, path: str) -> int:
-    """2 for an article or what says that it is the article's body, 1 for a main element, else 0."""
-    return 2 if name == "article" or path.endswith("]") and "i=articleBody" in path[path.rfind("/" + name) :] else 1 if name == "main" or path.endswith("]") and "r=main" in path[path.rfind("/" + name) :] else 0
+
+def token(container: int, text: str) -> int:
+    """64 bits for a piece of text in a container."""
+    return within(container, of_text(text) if len(text) < 200 else of_text.__wrapped__(text))
 
 
 def silenced(found: list, loud: frozenset[int] = frozenset()) -> set[int]:
@@ -153,63 +245,62 @@ def silenced(found: list, loud: frozenset[int] = frozenset()) -> set[int]:
     Names are evidence only: a wrapper that holds the page's main element or most of its text isn't silent, nor is one
     whose path the host's template gives most of the text (``loud``).
     """
-    walk, chars, named, mains, total = Walk(), Counter(), {}, {}, 0
+    named: dict[int, Open] = {}
+    mains: list[Open] = []
+    total = 0
+    walk = Walk()
     for at, (what, name, attributes, text) in enumerate(found):
         if what == "start":
             if walk.start(name, attributes, at) and not walk.silent:
-                own = walk.stack[-1]
-                if own[4]:
-                    named[at] = own[1]
-                if is_main(name, own[1]):
-                    mains[at] = [x[3] for x in walk.stack if x[4]]
+                if walk.top.named:
+                    named[at] = walk.top
+                if walk.top.main:
+                    mains.append(walk.top)
         elif what == "end":
             walk.end(name)
         elif not walk.silent and (n := len(text.strip())):
             total += n
-            for x in walk.stack:
-                chars[x[3]] += n
+            walk.text(n)
+    walk.finish()
     if not named:
         return set()
-    free = [m for m, above in mains.items() if not above and chars[m]]
-    best = max(free or [m for m in mains if chars[m]], key=lambda m: (chars[m], -m), default=None)
-    holds = mains[best] if best is not None else []
-    return {at for at, path in named.items() if chars[at] < MOST * total and at not in holds and not (loud and token(path) in loud)}
-
-
-def token(path: str, text: str = "") -> int:
-    """64 bits for a container's path, or for a piece of text in it: blanks as one, digits as one sign."""
-    key = f"{path}\0{re.sub(r'[0-9]+', '#', ' '.join(text.split()))}" if text else path
-    return int.from_bytes(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    full = [m for m in mains if m.chars]
+    best = max([m for m in full if not m.under_named] or full, key=lambda m: (m.chars, -m.at), default=None)
+    holds = set()
+    while best is not None:
+        holds.add(best.at)
+        best = best.above
+    return {at for at, x in named.items() if x.chars < MOST * total and at not in holds and x.path not in loud}
 
 
-def outline(found: list, off: set[int]) -> frozenset[str]:
+def outline(found: list, off: set[int]) -> frozenset[int]:
     """Paths of the page's outermost article and main elements with text: its slots.  None: the whole body is the slot."""
-    walk, chars, level = Walk(off), Counter(), set()
+    walk, slots = Walk(off), set()
     for at, (what, name, attributes, text) in enumerate(found):
         if what == "start":
-            if walk.start(name, attributes, at) and not walk.silent and is_main(name, walk.stack[-1][1]):
-                level.add(walk.stack[-1][1])
+            walk.start(name, attributes, at)
         elif what == "end":
             walk.end(name)
-        elif not walk.silent and (n := len(text.strip())):
-            for x in walk.stack:
-                chars[x[1]] += n
-    of = [p for p in level if chars[p]]
-    return frozenset(p for p in of if not any(p != q and p.startswith(q + "/") for q in of))
+        elif walk.stack and walk.top.slot and not walk.silent and text.strip():
+            slots.add(walk.top.slot)
+    return frozenset(slots)
 
 
-def layout(host: int, slots: frozenset[str], found: list) -> int:
+def layout(host: int, slots: frozenset[int], found: list) -> int:
     """The layout group of a page: pages of a host with the same slots, or without any under the same body, share a
     template."""
     if not slots:
         walk = Walk()
         for what, name, attributes, _ in found:
             if what == "start" and walk.start(name, attributes) and name not in SILENT and name != "html":
-                slots = frozenset([walk.stack[-1][1]])  # the first container, as a rule the body
+                slots = frozenset([walk.top.path])  # the first container, as a rule the body
                 break
             if what == "end":
                 walk.end(name)
-    return token("\n".join([str(host), *sorted(slots)]))
+    out = host
+    for path in sorted(slots):
+        out = within(out, path)
+    return out
 
 
 #: Kinds of rows: a page of a layout group, a container and a piece of text in it, a named wrapper of a host.
@@ -222,32 +313,33 @@ def profile(host: int, page: str):
     found = list(events(page))
     off = silenced(found)
     site = layout(host, outline(found, off), found)
-    walk, count, chars, up, total = Walk(), Counter(), Counter(), {}, 0
-    named = {}
+    count, chars, up, total = Counter(), Counter(), {}, 0
+
+    def closed(x: Open) -> None:
+        if x.named and not x.silent:
+            chars[x.path] += x.chars
+
+    walk = Walk(closed=closed)
     for what, name, attributes, text in found:
         if what == "start":
             if walk.start(name, attributes) and not walk.silent:
-                own = walk.stack[-1]
-                key = token(own[1])
+                key = walk.top.path
                 count[key, CONTAINER] += 1
                 up[key] = key
-                if own[4]:
-                    named[own[1]] = key
         elif what == "end":
             walk.end(name)
         elif not walk.silent and walk.stack and (n := len(text.strip())):
             total += n
-            for x in walk.stack:
-                if x[1] in named:
-                    chars[named[x[1]]] += n
-            key = token(walk.stack[-1][1], text)
+            walk.text(n)
+            key = token(walk.top.path, text)
             count[key, TEXT] += 1
-            up[key] = token(walk.stack[-1][1])
+            up[key] = walk.top.path
+    walk.finish()
     yield site, 0, 0, PAGE, 1, 0, 0
     for (key, what), n in count.items():
         yield site, key, up[key], what, n, 0, 0
-    for key in named.values():
-        yield host, key, key, NAME, 1, chars[key], total
+    for key, n in chars.items():
+        yield host, key, key, NAME, 1, n, total
 
 
 TOKENS = "page long, site long, token long, container long, kind int, n int, chars long, total long"
@@ -267,7 +359,7 @@ def templates(pages: DataFrame, ws: Workspace, support: float = SUPPORT) -> tupl
     """(host, loud: wrappers whose names don't count) and (site, texts: pieces of template text) from (host, page, html)."""
     rows = pages.mapInArrow(_profiles, TOKENS)
     vectors = rows.groupBy("site", "kind", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.min("container").alias("container"), F.sum("chars").alias("chars"), F.sum("total").alias("total")
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.min("container").alias("container"), F.sum("chars").alias("chars"), F.sum("total").alias("total"), (F.min("n") == F.max("n")).alias("regular")
     )
     vectors = ws.table(vectors.filter(F.col("pages") >= LEAST), "vectors")
     loud = vectors.filter((F.col("kind") == NAME) & (F.col("total") > 0) & (F.col("chars") >= MOST * F.col("total"))).groupBy("site").agg(F.collect_list("token").alias("loud")).withColumnRenamed("site", "host")
@@ -275,8 +367,11 @@ def templates(pages: DataFrame, ws: Workspace, support: float = SUPPORT) -> tupl
     frequent = vectors.filter(F.col("kind").isin(CONTAINER, TEXT)).join(number, "site").filter(F.col("pages") >= support * F.col("all"))
     classes = frequent.groupBy("site", "vector").agg(F.collect_list(F.struct("token", "kind", "container")).alias("of")).filter(F.size("of") >= MEMBERS)
     valid = ws.table(classes.select("site", F.explode("of").alias("t")).select("site", "t.*"), "valid")
-    # a class nests where the containers of its texts are of valid classes too
-    inner = valid.filter(F.col("kind") == TEXT).join(valid.filter(F.col("kind") == CONTAINER).select("site", F.col("token").alias("container")), ["site", "container"], "left_semi")
+    # a class nests where the containers of its texts are of valid classes too, or are equally often in all pages that
+    # have them
+    frame = valid.filter(F.col("kind") == CONTAINER).select("site", F.col("token").alias("container"))
+    frame = frame.unionByName(frequent.filter((F.col("kind") == CONTAINER) & F.col("regular")).select("site", F.col("token").alias("container"))).distinct()
+    inner = valid.filter(F.col("kind") == TEXT).join(frame, ["site", "container"], "left_semi")
     texts = inner.groupBy("site").agg(F.collect_list("token").alias("texts"))
     return ws.table(loud, "loud"), ws.table(texts, "texts")
 
@@ -297,7 +392,7 @@ def extract(page: str, loud: frozenset[int] = frozenset(), template: frozenset[i
     """
     found = list(events(page))
     off = silenced(found, loud)
-    slots = outline(found, off)
+    slots = outline(found, off)  # a slot's containers carry its path
     for drop in (template, frozenset()) if template else (frozenset(),):
         walk, blocks, held = Walk(off), [], []
         left = gone = 0
@@ -318,12 +413,12 @@ def extract(page: str, loud: frozenset[int] = frozenset(), template: frozenset[i
                 if walk.start(name, attributes, at):
                     close()
             elif what == "end":
-                if name in BLOCKS or name in SILENT or (walk.stack and walk.stack[-1][0] == name):
+                if name in BLOCKS or name in SILENT or (walk.stack and walk.top.name == name):
                     close()
                 walk.end(name)
-            elif not walk.silent and (not slots or any(x[1] in slots for x in walk.stack)):
+            elif not walk.silent and (not slots or (walk.stack and walk.top.slot in slots)):
                 n = len(text.strip())
-                if n and drop and walk.stack and token(walk.stack[-1][1], text) in drop:
+                if n and drop and walk.stack and token(walk.top.path, text) in drop:
                     gone += n
                     held.append(" ")
                 else:
