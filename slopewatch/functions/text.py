@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import DISTRICTS, EXTRA_ALIASES, RURAL_TO_MODEL, lookup
 
-# The letters that are folded, and what they become.
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
-
 # Keywords of the live, the historical and the incremental article feed.
 LIVE_WORDS = ["deslizamiento", "deslizamientos", "movimiento en masa", "movimientos en masa", "derrumbe", "derrumbes"]
 BACKFILL_WORDS = ["desliz", "movimiento en masa", "movimientos en masa", "derrumbe", "emergencia", "avenida torrencial"]
@@ -34,9 +34,22 @@ REFUSALS = [
 ]
 
 
+def without_marks(text: str) -> str:
+    """The text decomposed, without its combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
+@lru_cache(maxsize=1)
+def marked_letters() -> tuple[str, str]:
+    """All lower-case letters up to U+3100 that are a letter with marks, and that letter."""
+    pairs = [(c, without_marks(c)) for c in map(chr, range(0x80, 0x3100)) if unicodedata.category(c) != "Mn" and c.lower() == c]
+    pairs = [(c, plain) for c, plain in pairs if len(plain) == 1 and plain != c]
+    return "".join(c for c, _ in pairs), "".join(plain for _, plain in pairs)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents: letters with marks become plain ones, marks of their own go."""
+    return F.regexp_replace(F.translate(F.lower(text), *marked_letters()), r"\p{Mn}+", "")
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -96,10 +109,9 @@ def two_digits(code: Column) -> Column:
 
 def aliases() -> dict[str, str]:
     """Folded district names, ids and extra spellings to ids."""
-    table = dict(zip(ACCENTED, PLAIN, strict=True))
     out = {}
     for i, name, _ in DISTRICTS:
-        out["".join(table.get(c, c) for c in name.lower())] = i
+        out[without_marks(name.lower())] = i
         out[i] = i
     for alias, i in EXTRA_ALIASES.items():
         out.setdefault(alias, i)

@@ -45,9 +45,38 @@ def pipeline(features: list[str], classifier, impute: bool = False) -> Pipeline:
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=features, outputCol="vector", handleInvalid="keep"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True), classifier])
 
 
-def cross_validated(rows: DataFrame, features: list[str], classifier, k: int = 5) -> float:
-    """Mean area under the ROC curve over the folds."""
+#: Below so many rows, or rows of a class, rows are left out one by one.
+FEW_ROWS, FEW_OF_A_CLASS = 50, 5
+
+
+def split(rows: DataFrame, key: str, k: int = 5) -> tuple[DataFrame, int, bool]:
+    """Rows with folds, their number, and whether areas must be taken over all folds together.
+
+    A small table's rows are a fold each.  With a rare class in a larger table, the rows of that class are dealt out one
+    to a fold and the others evenly: a fold for each row would be a fit for each.
+    """
+    sizes = [r["count"] for r in rows.groupBy("label").count().collect()]  # one for each class
+    if sum(sizes) < FEW_ROWS:
+        return rows.withColumn("fold", F.row_number().over(Window.orderBy(F.xxhash64(key), key)) - 1), sum(sizes), True
+    if min(sizes) < FEW_OF_A_CLASS:
+        return folds(rows, key, k), k, True
+    return folds(rows, key, k), k, False
+
+
+def cross_validated(rows: DataFrame, features: list[str], classifier, k: int = 5, pooled: bool = False) -> float:
+    """Mean area under the ROC curve over the folds; ``pooled``: the area over all rows, each scored by the model that
+    hasn't seen it."""
     out = []
+    if pooled:
+        scores = None
+        for i in range(k):
+            train = rows.filter(F.col("fold") != i)
+            if train.select("label").distinct().count() < 2:
+                continue
+            one = pipeline(features, classifier).fit(train).transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("probability")[1].alias("raw"))
+            scores = one if scores is None else scores.unionByName(one)
+        found = None if scores is None else auc(scores, "label", "raw").first().auc
+        return float("nan") if found is None else found
     for i in range(k):
         model = pipeline(features, classifier).fit(rows.filter(F.col("fold") != i))
         tested = model.transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("rawPrediction")[1].alias("raw"))
@@ -60,15 +89,39 @@ def choose(rows: DataFrame, features: list[str], key: str, names: list[str] | No
     """The candidate with the best mean area (the first of equals) fitted on all rows; none for a single class."""
     if rows.select("label").distinct().count() < 2:
         return "null", {}, None
-    ready = folds(weighted(rows), key, k).cache()
+    ready, k, pooled = split(weighted(rows), key, k)
+    ready = ready.cache()
     small = ready.count() < 500
-    found = {n: cross_validated(ready, features, c, k) for n, c in candidates(small).items() if names is None or n in names}
+    found = {n: cross_validated(ready, features, c, k, pooled) for n, c in candidates(small).items() if names is None or n in names}
     best = max(found, key=lambda n: found[n] if found[n] == found[n] else -1.0)  # the first of equals; a failed one last
     model = pipeline(features, candidates(small)[best]).fit(ready)
     ready.unpersist()
     return best, found, model
 
 
+def save_artifacts(spark: SparkSession, folder: str, model: PipelineModel, features: list[str], metrics: dict, measures: DataFrame) -> None:
+    """The model with its scaling, the names of its features, its metrics and its report, in one folder."""
+    model.write().overwrite().save(f"{folder}/model")
+    about = spark.createDataFrame([(features, {k: str(v) for k, v in metrics.items()})], "features array<string>, metrics map<string,string>")
+    about.coalesce(1).write.mode("overwrite").json(f"{folder}/about")
+    measures.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/report")
+
+
+def load_artifacts(spark: SparkSession, folder: str) -> tuple[PipelineModel | None, list[str], dict[str, str]]:
+    """What save_artifacts has left; no model, names or metrics where nothing is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/about")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None, [], {}
+    about = spark.read.schema("features array<string>, metrics map<string,string>").json(f"{folder}/about").first()
+    return PipelineModel.load(f"{folder}/model"), about.features, about.metrics
+
+
+def labelled(rows: DataFrame, future: str, past: str) -> tuple[DataFrame, str]:
+    """Rows with their label and the name of the strategy: what follows, or what came before if nothing ever follows."""
+    name, column = ("future_7d", future) if not rows.filter(F.col(future) == 1).isEmpty() else ("past_7d_fallback", past)
+    return rows.withColumn("label", F.col(column)), name
+
+
 def scored(model: PipelineModel | None, rows: DataFrame) -> DataFrame:
     """Probability of the class 1, confidence and category; a neutral 0.5 without a model."""
     if model is None:

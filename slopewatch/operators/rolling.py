@@ -31,8 +31,21 @@ def rolling_sums(df: DataFrame, key: str, order: list[str], value: str, sizes: d
     return out.filter("not _guest").drop("_b", "_guest")
 
 
-def latest_known(df: DataFrame, key: str, order: list[str], values: list[str], default: float = 0.0) -> DataFrame:
-    """Each row with the newest value that isn't null so far of its key, for every one of ``values``."""
+def latest_known(df: DataFrame, key: str, order: list[str], values: list[str], default: float = 0.0, bucket: Column | None = None) -> DataFrame:
+    """Each row with the newest value that isn't null so far of its key, for every one of ``values``.
+
+    With a ``bucket`` that grows with the order, a key's rows are dealt out by bucket; each bucket also gets the values
+    last known before it, from one row for each bucket.
+    """
+    if bucket is not None:
+        rows = df.withColumn("_b", bucket)
+        newest = [F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_{v}") for v in values]  # combined before the shuffle
+        before = Window.partitionBy(key).orderBy(F.asc_nulls_first("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = rows.groupBy(key, "_b").agg(*newest).withColumns({f"_{v}": F.last(f"_{v}", ignorenulls=True).over(before) for v in values})
+        both = rows.alias("l").join(carried.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & F.col("l._b").eqNullSafe(F.col("r._b"))).select("l.*", *[f"r._{v}" for v in values])
+        w = Window.partitionBy(key, "_b").orderBy(*[F.asc_nulls_first(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        known = {f"{v}_known": F.coalesce(F.last(v, ignorenulls=True).over(w), f"_{v}", F.lit(default)) for v in values}
+        return both.withColumns(known).drop("_b", *[f"_{v}" for v in values])
     w = Window.partitionBy(key).orderBy(*[F.asc_nulls_first(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({f"{v}_known": F.coalesce(F.last(v, ignorenulls=True).over(w), F.lit(default)) for v in values})
 

@@ -75,3 +75,26 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_k"))
     return counts.crossJoin(F.broadcast(total)).select(label, "n", rounded(F.col("_all") / (F.col("_k") * F.col("n")), 6).alias("weight"))
+
+
+def medians(df: DataFrame, key: str, value: str, buckets: int = 4096) -> DataFrame:
+    """(key, median): exact, the mean of the middle two for an even count; keys without values are left out.
+
+    Values are counted first.  Of each key only the ranges of values that hold a middle one are ranked value by value, so
+    no task sees all values of a key.
+    """
+    by = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    bounds = by.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    part = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets), F.lit(0))
+    by = by.join(bounds, key).select(key, "_v", "_n", "_all", part.alias("_part"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = by.groupBy(key, "_part").agg(F.sum("_n").alias("_size"), F.max("_all").alias("_total")).withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)  # ranks from 0
+    middle = sizes.filter((F.col("_base") <= high) & (F.col("_base") + F.col("_size") > low)).select(key, "_part", "_base", low.alias("_low"), high.alias("_high"))
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy(key, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = by.join(middle, [key, "_part"]).withColumn("_from", F.col("_base") + inner)
+
+    def at(rank: str):
+        return F.max(F.when((F.col("_from") <= F.col(rank)) & (F.col("_from") + F.col("_n") > F.col(rank)), F.col("_v")))
+
+    return ranked.groupBy(key).agg((0.5 * at("_low") + 0.5 * at("_high")).alias("median"))

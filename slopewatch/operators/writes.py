@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.numbers import finite
+from ..schemas import SCHEMAS
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -44,15 +46,45 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish what a rewrite that broke off has left: the new state if it is complete, else the old one."""
+    jvm = spark.sparkContext._jvm
+    target, new, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(new if fs.exists(jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS")) else old, target)
+    for left in (new, old):
+        if fs.exists(target) and fs.exists(left):
+            fs.delete(left, True)
+
+
 def rewrite(spark: SparkSession, df: DataFrame, path: str, keys: list[str]) -> None:
-    """Upsert into a Parquet folder: the new state is written beside it, then takes its place."""
+    """Upsert into a Parquet folder: the new state is written beside it, the old one moved away, the new one moved in.
+
+    At any time one of them is whole, and the next rewrite (or ``recover``) puts it in place.
+    """
     jvm = spark.sparkContext._jvm
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
+    target, new, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = spark.read.parquet(path) if fs.exists(target) else df.limit(0)
-    upserted(old, df, keys).write.mode("overwrite").parquet(beside.toString())
-    fs.delete(target, True)
-    fs.rename(beside, target)
+    recover(spark, path)
+    before = spark.read.parquet(path) if fs.exists(target) else df.limit(0)
+    upserted(before, df, keys).write.mode("overwrite").parquet(new.toString())
+    if fs.exists(target):
+        fs.rename(target, old)
+    fs.rename(new, target)
+    fs.delete(old, True)
+
+
+def conformed(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a table of the schema, in its order and types; those that are missing are null.
+
+    A required column that is missing is an error.
+    """
+    fields = StructType.fromDDL(SCHEMAS[name]).fields
+    lost = [f.name for f in fields if not f.nullable and f.name not in df.columns]
+    if lost:
+        raise ValueError(f"{name} needs {', '.join(lost)}")
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def filled(df: DataFrame, column: str, value) -> DataFrame:
@@ -85,6 +117,31 @@ def chunked(df: DataFrame, path: str, rows: int) -> None:
     df.write.mode("append").option("maxRecordsPerFile", rows).parquet(path)
 
 
+def in_parts(df: DataFrame, path: str, key: str, parts: int) -> int:
+    """Append in so many commits of their own, by a hash of the key: what is written stays if a later one fails."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    for i in range(parts):
+        df.filter(part == i).write.mode("append").parquet(path)
+    return parts
+
+
+def turns(df: DataFrame, path: str) -> DataFrame:
+    """Append turns of conversations (session_id, role, content, created_at) that aren't there yet, so that two layers
+    that both write leave one row; a turn's id is a hash of it."""
+    rows = conformed(df.withColumn("id", F.xxhash64("session_id", "role", "content", "created_at")), "agent_conversations").dropDuplicates(["id"])
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        rows = absent(rows, spark.read.parquet(path), ["id"])
+    append(rows, path)
+    return spark.read.parquet(path)
+
+
+def document(df: DataFrame, path: str) -> None:
+    """A table of one text column and few rows as one text file."""
+    df.coalesce(1).write.mode("overwrite").text(path)
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

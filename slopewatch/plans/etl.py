@@ -82,9 +82,9 @@ def rain_alerts(rain: DataFrame, communes: DataFrame, now) -> DataFrame:
 def run(spark: SparkSession, events: DataFrame, rain: DataFrame, polygons: DataFrame, names: DataFrame, folder: str, now) -> dict[str, str]:
     """The whole job; tables are Parquet folders.  Communes are upserted, the others appended, each in one commit."""
     paths = {t: f"{folder}/{t}" for t in ("events", "precipitation", "communes", "alerts")}
-    writes.append(writes.null_not_finite(events), paths["events"])
-    writes.append(writes.null_not_finite(rain), paths["precipitation"])
+    writes.append(writes.conformed(writes.null_not_finite(events), "events"), paths["events"])
+    writes.append(writes.conformed(writes.null_not_finite(rain), "precipitation"), paths["precipitation"])
     table = risk_table(events, rain, polygons).join(names.select("commune_id", "nombre_comuna"), "commune_id", "left").withColumn("nombre_comuna", F.coalesce("nombre_comuna", F.concat(F.lit("Comuna "), F.col("commune_id"))))
-    writes.rewrite(spark, writes.null_not_finite(table), paths["communes"], ["commune_id"])
+    writes.rewrite(spark, writes.conformed(writes.null_not_finite(table), "communes"), paths["communes"], ["commune_id"])
     writes.append(rain_alerts(rain, spark.read.parquet(paths["communes"]), now), paths["alerts"])
     return paths

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as J
 from ..functions.numbers import money
-from ..operators import calendar, intervals, rolling
+from ..operators import calendar, intervals, rolling, stats
 from ..operators.latest import last_known, latest_one
 from ..session import table
 from .registry import query
@@ -51,27 +51,27 @@ def station_last_nonnull(spark: SparkSession, d: str) -> DataFrame:
     "history_30d",
     f"""
 WITH k AS (SELECT DISTINCT event_type FROM events), c AS (SELECT event_type, CAST(day AS DATE) AS day FROM k, generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY) g(day)),
-a AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round({SUM} / count(*), 6) AS mean, arg_max(event_id, ts) AS newest FROM events WHERE user_id < 40 GROUP BY 1, 2)
+a AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round({SUM} / count(*), 6) AS mean, arg_max(event_id, ts) AS newest FROM events GROUP BY 1, 2)
 SELECT c.event_type, CAST(c.day AS VARCHAR) AS day, coalesce(n, 0) AS n, coalesce(mean, 0.0) AS mean, newest FROM c LEFT JOIN a USING (event_type, day)
 """,
 )
 def history_30d(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("event_type", "event_id", "user_id", "value", "ts")
-    days = events.filter("user_id < 40").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(total() / F.count("*"), 6).alias("mean"), F.max_by("event_id", "ts").alias("newest"))
+    events = table(spark, d, "events").select("event_type", "event_id", "value", "ts")
+    days = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(total() / F.count("*"), 6).alias("mean"), F.max_by("event_id", "ts").alias("newest"))
     return calendar.dense(days, events, "event_type", "day", FIRST, LAST, {"n": 0, "mean": 0.0}).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
     "detail_7d",
     f"""
-WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, arg_max(value, ts) AS v FROM events WHERE user_id < 15 GROUP BY 1, 2)
+WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, arg_max(value, ts) AS v FROM events GROUP BY 1, 2)
 SELECT event_type, round(CAST(sum(CASE WHEN day >= DATE '{LAST}' - 6 THEN CAST(v AS DECIMAL(18,2)) END) AS DOUBLE), 2) AS sum_7d, round(CAST(sum(CAST(v AS DECIMAL(18,2))) AS DOUBLE), 2) AS sum_30d,
   coalesce(CAST(max(CASE WHEN day >= DATE '{LAST}' - 6 THEN day END) AS VARCHAR), 'Sin datos') AS newest FROM e WHERE day BETWEEN DATE '{LAST}' - 29 AND DATE '{LAST}' GROUP BY 1
 """,
 )
 def detail_7d(spark: SparkSession, d: str) -> DataFrame:
     """The last value of each day wins; sums over the last 7 and 30 days."""
-    days = table(spark, d, "events").filter("user_id < 15").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.max_by("value", "ts").alias("v"))
+    days = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.max_by("value", "ts").alias("v"))
     end = F.lit(LAST).cast("date")
     week = F.col("day") >= F.date_sub(end, 6)
     rows = days.filter(F.col("day").between(F.date_sub(end, 29), end))
@@ -96,7 +96,7 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {FEATURES} SELECT event_id, coalesce(last_value(fa IGNORE NULLS) OVER w, 0.0) AS fa_known, coalesce(last_value(fb IGNORE NULLS) OVER w, 0.0) AS fb_known FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 )
 def lkv_features(spark: SparkSession, d: str) -> DataFrame:
-    return rolling.latest_known(feature_rows(spark, d), "user_id", ["ts", "event_id"], ["fa", "fb"]).select("event_id", "fa_known", "fb_known")
+    return rolling.latest_known(feature_rows(spark, d), "user_id", ["ts", "event_id"], ["fa", "fb"], bucket=F.to_date("ts")).select("event_id", "fa_known", "fb_known")
 
 
 AS_OF_DAY = f"""
@@ -147,7 +147,7 @@ def supervised_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("medians", "SELECT event_type, median(value) AS median FROM events GROUP BY 1")
 def medians(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median"))
+    return stats.medians(table(spark, d, "events"), "event_type", "value")
 
 
 @query("feature_zero_fill", f"WITH {FEATURES} SELECT event_id, coalesce(fa, 0.0) AS fa, coalesce(fb, 0.0) AS fb FROM f")

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import scratch, table
 from ..streaming import ingest
 from .registry import query
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slopewatch-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def source(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     files = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
@@ -26,7 +19,7 @@ def source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replay(spark: SparkSession, rows: DataFrame, keys: list[str]) -> DataFrame:
-    folder = scratch(spark)
+    folder = scratch(spark, "stream")
     ingest.start(rows, f"replay_{uuid.uuid4().hex[:8]}", f"{folder}/checkpoint", ingest.insert_if_absent(f"{folder}/table", keys)).awaitTermination()
     return spark.read.parquet(f"{folder}/table")
 
@@ -41,3 +34,16 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = source(spark, d).withColumn("day", F.to_date("at")).select("user_id", "event_type", "day", "at")
     return replay(spark, ingest.deduplicated(rows, ["user_id", "event_type", "day"], "at"), ["user_id", "event_type", "day"]).select("user_id", "event_type", F.col("day").cast("string").alias("day"))
+
+
+@query("stream_insert_absent", "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS records, 2 AS runs FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events) GROUP BY 1, 2")
+def stream_insert_absent(spark: SparkSession, d: str) -> DataFrame:
+    """The same feed replayed twice into one table: the second run inserts nothing.  Both runs report how they went."""
+    folder = scratch(spark, "stream")
+    runs = []
+    for n in range(2):
+        rows = ingest.daily(source(spark, d), "event_type", "at", "value")
+        q = ingest.start(rows, f"replay_{uuid.uuid4().hex[:8]}", f"{folder}/checkpoint{n}", ingest.insert_if_absent(f"{folder}/table", ["event_type", "day"]))
+        q.awaitTermination()
+        runs.append(ingest.run_log(q)["status"])
+    return spark.read.parquet(f"{folder}/table").select("event_type", F.col("day").cast("string").alias("day"), "total", "records", F.lit(runs.count("ok")).alias("runs"))

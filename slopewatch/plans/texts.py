@@ -133,7 +133,10 @@ def text_templates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", X.row_id("src", "cliente", F.col("c_custkey")).alias("row_id"), X.title(name, 12).alias("titulo"), line.alias("texto"))
 
 
-@query("refusal_flag", "SELECT conv_id, turn, turn % 3 = 0 AS refuses FROM conversations")
+SAID = "strip_accents(lower(text || CASE WHEN turn % 3 = 0 THEN ' No tengo información ESPECÍFICA.' ELSE '' END))"
+
+
+@query("refusal_flag", f"SELECT conv_id, turn, {' OR '.join(f"contains({SAID}, '{w}')" for w in X.REFUSALS)} AS refuses FROM conversations")
 def refusal_flag(spark: SparkSession, d: str) -> DataFrame:
     said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" No tengo información ESPECÍFICA."))).otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", X.refuses(said).alias("refuses"))

@@ -1,8 +1,10 @@
 """Paged JSON feeds as a Spark data source: pages are partitions, read by the executors.
 
-``spark.read.format("paged_json")`` with the options ``url`` (a template with {offset} and {limit}; http(s) or a local
-file), ``schema`` (set by .schema()), ``limit`` (rows of a page), ``cap`` (last offset) and ``stride`` (pages that one
-task reads in turn until a short one).  As a stream, each batch reads on from the offset it has reached.
+``spark.read.format("paged_json")`` with the options ``url`` (a template with {offset}, {limit}, {page} from 1 and
+{since}; http(s) or a local file), ``schema`` (set by .schema()), ``limit`` (rows of a page), ``cap`` (last offset),
+``stride`` (pages that one task reads in turn until a short one), ``since`` and ``since_column`` (rows below are left out,
+whether the feed has filtered or not) and ``attempts``.  A request that fails is made again after 1, 2, 4 ... seconds.  As a
+stream, each batch reads on from the offset it has reached.
 """
 
 from __future__ import annotations
@@ -14,25 +16,31 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from pyspark.sql.types import StructType
 
 
-def fetch(url: str) -> list[dict]:
-    """Rows of a page; a page that isn't there has none."""
+def fetch(url: str, attempts: int = 3) -> list[dict]:
+    """Rows of a page; a page that isn't there, or behind the last one, has none."""
     import os
     import urllib.error
     import urllib.request
 
+    from .readers import retried
+
     if "://" not in url or url.startswith("file://"):
         path = url.removeprefix("file://")
         if not os.path.exists(path):
             return []
         with open(path, encoding="utf-8") as f:
             return json.load(f)
-    try:
-        with urllib.request.urlopen(url, timeout=60) as answer:
-            return json.load(answer)
-    except urllib.error.HTTPError as e:
-        if e.code in (400, 404):
-            return []
-        raise
+
+    def once() -> list[dict]:
+        try:
+            with urllib.request.urlopen(url, timeout=60) as answer:
+                return json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code in (400, 404):
+                return []
+            raise
+
+    return retried(once, attempts)
 
 
 class Pages(InputPartition):
@@ -47,11 +55,15 @@ class _Settings:
         self.limit = int(options.get("limit", 5000))
         self.cap = int(options.get("cap", 20000))
         self.stride = int(options.get("stride", 1))
+        self.since, self.since_column = options.get("since", ""), options.get("since_column")
+        self.attempts = int(options.get("attempts", 3))
         self.names = schema.fieldNames()
 
-    def page(self, offset: int) -> list[tuple]:
-        rows = fetch(self.url.format(offset=offset, limit=self.limit))
-        return [tuple(None if (v := r.get(n)) is None else (v if isinstance(v, str) else json.dumps(v)) for n in self.names) for r in rows]
+    def page(self, offset: int) -> tuple[list[tuple], int]:
+        """The wanted rows of a page, and how many it has."""
+        rows = fetch(self.url.format(offset=offset, limit=self.limit, page=offset // self.limit + 1, since=self.since), self.attempts)
+        wanted = [r for r in rows if not self.since_column or str(r.get(self.since_column) or "") >= self.since]
+        return [tuple(None if (v := r.get(n)) is None else (v if isinstance(v, str) else json.dumps(v)) for n in self.names) for r in wanted], len(rows)
 
 
 class PagedReader(DataSourceReader):
@@ -66,9 +78,9 @@ class PagedReader(DataSourceReader):
     def read(self, partition: Pages) -> Iterator[tuple]:
         s = self.settings
         for offset in range(partition.first, partition.last, s.limit):
-            rows = s.page(offset)
+            rows, n = s.page(offset)
             yield from rows
-            if len(rows) < s.limit:
+            if n < s.limit:
                 return
 
 
@@ -80,11 +92,11 @@ class PagedStream(SimpleDataSourceStreamReader):
         return {"offset": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self.settings.page(start["offset"]) if start["offset"] <= self.settings.cap else []
-        return iter(rows), {"offset": start["offset"] + len(rows)}
+        rows, n = self.settings.page(start["offset"]) if start["offset"] <= self.settings.cap else ([], 0)
+        return iter(rows), {"offset": start["offset"] + n}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self.settings.page(start["offset"])[: end["offset"] - start["offset"]])
+        return iter(self.settings.page(start["offset"])[0])
 
 
 class PagedJson(DataSource):

@@ -121,8 +121,8 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 def ring_query(spark: SparkSession, path: str) -> DataFrame:
     """Polygon service answers: attributes and rings, as GeoJSON."""
     schema = "features array<struct<attributes: map<string,string>, geometry: struct<rings: array<array<array<double>>>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    return rows.select(F.col("f.attributes").alias("attributes"), F.col("f.geometry.rings").alias("rings"), rings_to_geojson(F.col("f.geometry.rings")).alias("geometry"))
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("position", "f"))
+    return rows.select("position", F.col("f.attributes").alias("attributes"), F.col("f.geometry.rings").alias("rings"), rings_to_geojson(F.col("f.geometry.rings")).alias("geometry"))
 
 
 def alert_blocks(html) -> object:
@@ -130,17 +130,78 @@ def alert_blocks(html) -> object:
     return F.transform(F.filter(F.regexp_extract_all(html, F.lit(r">([^<>]+)<"), 1), lambda t: t.rlike("(?i)alerta|emergencia|desliz")), lambda t: F.left(F.trim(t), F.lit(500)))
 
 
-def with_fallback(*readers) -> DataFrame:
-    """The first reader that works and has rows; the last one's failure is raised."""
-    for i, reader in enumerate(readers):
+def listed_csv(resources: DataFrame) -> DataFrame:
+    """One row (url) of a catalogue's resources (position, format, url): the first that is CSV by its format or its url."""
+    is_csv = (F.lower(F.coalesce("format", F.lit(""))) == "csv") | F.lower("url").endswith(".csv")
+    return resources.filter(is_csv & F.col("url").isNotNull()).agg(F.min_by("url", "position").alias("url")).filter("url is not null")
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Resources of a data portal's answer: position, format, url."""
+    schema = "result struct<resources: array<struct<format: string, url: string>>>"
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("result.resources").alias("position", "r")).select("position", "r.format", "r.url")
+
+
+def landed(body: bytes, path: str, least: int = 100) -> str | None:
+    """Put a download into the landing folder as it came; nothing if it is no longer than ``least`` bytes."""
+    import os
+
+    if len(body) <= least:
+        return None
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as out:
+        out.write(body)
+    return path
+
+
+def remote_first(spark: SparkSession, download, landing: str, local: str, sample, log=None, sleep=None) -> DataFrame:
+    """A CSV feed: the download, tried again if it fails, if it has more than 100 bytes and any rows; else the local file;
+    else sample rows.  ``log`` is told why a source was passed over."""
+
+    def remote() -> DataFrame:
+        path = landed(retried(download, sleep=sleep), landing)
+        if path is None:
+            raise OSError("the download is too short")
+        return csv(spark, path)
+
+    return with_fallback(remote, lambda: csv(spark, local), sample, log=log)
+
+
+def article_pages(spark: SparkSession, urls: list[str], limit: int = 100, pages: int = 30, **options: str) -> DataFrame:
+    """Articles that a paged search finds for several terms (a url template each), each article once; a page behind the
+    last one ends a search."""
+    from .paged import PagedJson
+
+    spark.dataSource.register(PagedJson)
+    found = None
+    for url in urls:
+        reader = spark.read.format("paged_json").schema("id string, date string, date_gmt string, title string, content string").options(url=url, limit=str(limit), cap=str(limit * (pages - 1)), **options)
+        one = reader.load()
+        found = one if found is None else found.unionByName(one)
+    rows = found.select(F.col("id").try_cast("long").alias("id"), "date", "date_gmt", *[F.get_json_object(c, "$.rendered").alias(c) for c in ("title", "content")])
+    return rows.dropDuplicates(["id"])
+
+
+def polygon_of_code(answers: DataFrame, code: str) -> DataFrame:
+    """(code, geometry): the first polygon for each code of a service's answers (position, attributes, geometry)."""
+    rows = answers.select(F.col("attributes")[code].alias("code"), "position", "geometry").filter("code is not null")
+    return rows.groupBy("code").agg(F.min_by("geometry", "position").alias("geometry"))
+
+
+def with_fallback(*readers, log=None) -> DataFrame:
+    """The first reader that works and has rows, else the last one, whose failure is raised.  ``log`` gets the number of
+    each reader that was passed over and why."""
+    for i, reader in enumerate(readers[:-1]):
         try:
             df = reader()
             if not df.isEmpty():
                 return df
-        except Exception:
-            if i == len(readers) - 1:
-                raise
-    return df
+            why = "no rows"
+        except Exception as e:  # whatever ails a source, the next one is asked
+            why = str(e)
+        if log:
+            log(i, why)
+    return readers[-1]()
 
 
 def retried(call, attempts: int = 3, pause: float = 1.0, sleep=None):

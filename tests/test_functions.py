@@ -103,3 +103,8 @@ def test_geometry(spark):
     assert values(spark, [1.0, 3.5, 2.0, 5.0], lambda c: G.inside(c, F.lit(1.0), ring), "double") == [True, True, True, False]
     assert values(spark, [0.0], lambda c: F.round(G.haversine(c, c, F.lit(0.0), F.lit(1.0)), 3), "double") == [111.195]
     assert values(spark, [0.0], lambda c: G.ring_centroid(F.array(F.array(c, c), F.array(c + 3, c)), 0), "double") == [1.5]
+
+
+def test_every_mark_is_folded(spark):
+    text = "Ő š Ą ă ñ ÁÉÍ é ñ ł ø が ố"
+    assert spark.createDataFrame([(text,)], "t string").select(X.fold(F.col("t")).alias("f")).first().f == "o s a a n aei e n ł ø か o"

@@ -87,3 +87,30 @@ def test_small_writes(spark, tmp_path):
     writes.json_lines(spark.range(2), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     assert writes.covers(log, ["source"]) and not writes.covers(log, ["x"])
+
+
+def test_rewrite_survives_a_crash(spark, tmp_path):
+    path = str(tmp_path / "t")
+    state = lambda n: spark.createDataFrame([(1, n)], "k int, v int")
+    read = lambda: [tuple(r) for r in spark.read.parquet(path).collect()]
+    writes.rewrite(spark, state(1), path, ["k"])
+    state(2).write.parquet(path + ".new")  # ended after writing: the old state is in place
+    writes.recover(spark, path)
+    assert read() == [(1, 1)] and not (tmp_path / "t.new").exists()
+    state(3).write.parquet(path + ".new")
+    (tmp_path / "t").rename(tmp_path / "t.old")  # ended between the moves: the new one is complete
+    writes.recover(spark, path)
+    assert read() == [(1, 3)] and not (tmp_path / "t.old").exists()
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    (tmp_path / "t.new").mkdir()  # not complete
+    writes.recover(spark, path)
+    assert read() == [(1, 3)]
+    writes.rewrite(spark, state(4), path, ["k"])
+    assert read() == [(1, 4)] and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"t"}
+
+
+def test_conformed(spark):
+    rows = writes.conformed(spark.createDataFrame([("2024-01-01", "3.5")], "fecha string, latitud string"), "events")
+    assert rows.first().latitud == 3.5 and rows.columns[0] == "source_row_id" and rows.first().barrio is None
+    with pytest.raises(ValueError):
+        writes.conformed(rows, "agent_conversations")

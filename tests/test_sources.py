@@ -72,6 +72,49 @@ def test_fallback_and_retry(spark):
         readers.retried(broken, sleep=pauses.append)
 
 
+def test_remote_first(spark, tmp_path):
+    (tmp_path / "local.csv").write_text("a,b\n1,2\n")
+    told, landing = [], str(tmp_path / "landing" / "x.csv")
+    long = b"a,b\n" + b"3,4\n" * 40
+
+    def broken():
+        raise OSError("gone")
+
+    def from_(download):
+        return readers.remote_first(spark, download, landing, str(tmp_path / "local.csv"), lambda: spark.range(7), log=lambda i, why: told.append((i, why)), sleep=lambda s: None)
+
+    assert from_(lambda: long).count() == 40 and not told
+    assert from_(lambda: b"a,b\n3,4\n").count() == 1 and from_(broken).count() == 1 and from_(lambda: b"only_a_header" * 20).count() == 1
+    assert [i for i, _ in told] == [0, 0, 0] and told[1][1] == "gone" and told[2][1] == "no rows"
+    (tmp_path / "local.csv").unlink()
+    assert from_(broken).count() == 7
+
+
+def test_paged_feed_is_asked_again(spark, monkeypatch):
+    import urllib.error
+    import urllib.request
+
+    asked, pauses = [], []
+
+    def answer(url, timeout):
+        asked.append(url)
+        if "page=2" in url:
+            raise urllib.error.HTTPError(url, 400, "no such page", None, None)
+        if len(asked) < 3:
+            raise OSError("busy")
+        import io
+
+        return io.StringIO('[{"day": "2024-01-01"}, {"day": "2024-02-01"}]')
+
+    monkeypatch.setattr(urllib.request, "urlopen", answer)
+    monkeypatch.setattr("time.sleep", pauses.append)
+    from pyspark.sql.types import StructType
+
+    settings = paged._Settings({"url": "http://x.org/?page={page}&from={since}&n={limit}", "limit": "2", "since": "2024-01-15", "since_column": "day"}, StructType.fromDDL("day string"))
+    assert settings.page(0) == ([("2024-02-01",)], 2) and asked[-1] == "http://x.org/?page=1&from=2024-01-15&n=2" and pauses == [1.0, 2.0]
+    assert settings.page(2) == ([], 0)
+
+
 def test_samples(spark):
     assert samples.emergencies(spark).count() == 800
     rain = samples.rainfall(spark, days=60)
@@ -122,3 +165,17 @@ def test_training(spark, tmp_path):
     assert T.oversampled(rows, ["f0", "f1"], "id", 2).filter("label = 1").count() == 150
     latest = spark.createDataFrame([("1", 2.0, 0.5)], "commune_id string, f0 double, f1 double")
     assert T.predictions(spark, model, latest, ["f0", "f1"], "v1", F.current_timestamp()).count() == 21
+
+
+def test_small_tables_leave_one_out(spark):
+    from slopewatch.ml import training as T
+
+    rows = spark.range(24).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("label"), ((F.col("id") % 3 == 0).cast("double") + F.col("id") / 100).alias("f0"))
+    ready, k, pooled = T.split(T.weighted(rows), "id")
+    assert (k, pooled) == (24, True) and ready.select("fold").distinct().count() == 24
+    best, found, model = T.choose(rows, ["f0"], "id", ["logistic"])
+    assert best == "logistic" and found["logistic"] > 0.9 and model is not None
+    many = rows.unionByName(spark.range(100, 200).select("id", F.lit(0).alias("label"), F.lit(0.0).alias("f0")))
+    assert T.split(many.filter("label = 0 or id < 9"), "id")[1:] == (5, True) and T.split(many, "id")[1:] == (5, False)
+    two = spark.createDataFrame([(0, 1)], "future int, past int")
+    assert T.labelled(two, "future", "past")[1] == "past_7d_fallback" and T.labelled(two, "past", "future")[1] == "future_7d"
