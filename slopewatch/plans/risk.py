@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import categories as C
 from ..functions.numbers import finite_or_zero, money, risk_index, risk_index_alt
 from ..functions.text import fold
-from ..operators.latest import latest_with_ties
 from ..operators.stats import normalised, spearman, trend
 from ..session import table
 from .registry import query
@@ -149,15 +148,19 @@ def kpi_stats(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit(AS_OF).cast("timestamp_ntz")
     category = F.when(F.col("o_orderstatus") == "F", " Crítico ").when(F.col("o_orderstatus") == "O", "alto").otherwise("bajo")
     past = orders.filter(F.col("o_orderdate") <= now).withColumn("cat", fold(F.trim(category)))
-    latest = latest_with_ties(past, "o_custkey", "o_orderdate").agg(F.count("*").alias("latest"), F.count_if(F.col("cat") == "critico").alias("criticas"), F.count_if(F.col("cat") == "alto").alias("altas"))
-    week = F.col("o_orderdate") >= now - F.expr("interval 7 days")
+    # rows of each key's newest time, all of them where several share it: counted by time first, so one scan does
+    times = past.groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("n"), F.count_if(F.col("cat") == "critico").alias("c"), F.count_if(F.col("cat") == "alto").alias("a"))
+    newest = times.groupBy("o_custkey").agg(F.max_by(F.struct("n", "c", "a"), "o_orderdate").alias("of"))
+    latest = newest.agg(*[F.coalesce(F.sum(f"of.{c}"), F.lit(0)).alias(name) for c, name in (("n", "latest"), ("c", "criticas"), ("a", "altas"))])
+    known = F.col("o_orderdate") <= now
+    week = known & (F.col("o_orderdate") >= now - F.expr("interval 7 days"))
+    before = known & ~week & (F.col("o_orderdate") >= now - F.expr("interval 14 days"))
 
     def mean(test):
         return F.sum(F.when(test, money(F.col("o_totalprice")))).cast("double") / F.nullif(F.count_if(test), F.lit(0))
 
-    means = past.filter(F.col("o_orderdate") >= now - F.expr("interval 14 days")).agg(mean(week).alias("c"), mean(~week).alias("q"))
-    since = orders.filter(F.col("o_orderdate") >= now - F.expr("interval 30 days")).agg(F.count("*").alias("eventos_30d"))
-    return latest.crossJoin(means).crossJoin(since).select("latest", "criticas", "altas", F.round("c", 6).alias("actual"), F.round("q", 6).alias("anterior"), trend("c", "q").alias("tendencia"), "eventos_30d")
+    recent = orders.filter(F.col("o_orderdate") >= now - F.expr("interval 30 days")).agg(mean(week).alias("c"), mean(before).alias("q"), F.count("*").alias("eventos_30d"))
+    return latest.crossJoin(recent).select("latest", "criticas", "altas", F.round("c", 6).alias("actual"), F.round("q", 6).alias("anterior"), trend("c", "q").alias("tendencia"), "eventos_30d")
 
 
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'Crítico' WHEN 'O' THEN 'ALTO' ELSE 'Alto' END"
