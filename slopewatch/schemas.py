@@ -55,32 +55,6 @@ HAZARD_SLOPE = {"ALTA": 25.0, "MEDIA": 18.0, "BAJA": 10.0, "MUY BAJA": 5.0, "MUY
 # Density layers in order of priority.
 DENSITY_LAYERS = [(5, "Alta"), (4, "Media-alta"), (3, "Media-baja"), (2, "Baja")]
 
-# Sample districts (id, latitude, longitude, slope in degrees).
-SAMPLE_DISTRICTS = [
-    ("1", 6.318, -75.553, 22.0),
-    ("2", 6.298, -75.548, 18.5),
-    ("3", 6.278, -75.548, 20.0),
-    ("4", 6.278, -75.558, 12.0),
-    ("5", 6.278, -75.578, 8.0),
-    ("6", 6.298, -75.578, 16.0),
-    ("7", 6.278, -75.598, 14.0),
-    ("8", 6.238, -75.548, 19.0),
-    ("9", 6.228, -75.548, 17.5),
-    ("10", 6.248, -75.568, 5.0),
-    ("11", 6.238, -75.588, 4.0),
-    ("12", 6.238, -75.598, 6.0),
-    ("13", 6.238, -75.608, 21.0),
-    ("14", 6.198, -75.568, 10.0),
-    ("15", 6.198, -75.588, 7.0),
-    ("16", 6.218, -75.598, 9.0),
-    ("50", 6.318, -75.668, 25.0),
-    ("60", 6.278, -75.638, 23.0),
-    ("70", 6.218, -75.638, 24.0),
-    ("80", 6.158, -75.638, 15.0),
-    ("90", 6.218, -75.498, 20.0),
-]
-
-
 def districts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DISTRICTS, "commune_id string, nombre_comuna string, is_zona_ladera boolean")
 

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.categories import hillside
 from ..functions.geo import square
-from ..schemas import SAMPLE_DISTRICTS
+from ..schemas import DISTRICTS
 
-# Kinds and neighbourhoods of sample events, stations of sample rain.
-KINDS = ["Deslizamiento de tierra", "Movimiento en masa", "Deslizamiento", "Movimiento de tierra"]
-NEIGHBOURHOODS = ["La Cruz", "El Pinal", "Versalles", "La Honda", "Bello Oriente", "La Sierra", "El Faro", "Carpinelo", "La Avanzada", "Granizal"]
-STATIONS = ["Niquía", "Olaya Herrera", "Santa Elena", "Altavista", "San Cristóbal"]
+# Invented names: nothing depends on them but that kinds of events are slides.
+KINDS = ["Deslizamiento de prueba", "Deslizamiento menor", "Movimiento de ladera", "Movimiento de prueba"]
+NEIGHBOURHOODS = [f"Barrio {letter}" for letter in "ABCDEFGHIJ"]
+STATIONS = [f"Estación {n}" for n in range(1, 6)]
+
+
+def sample_districts() -> list[tuple[str, float, float, float]]:
+    """(id, latitude, longitude, slope): the districts on a grid, with slopes from 6 to 26 degrees dealt out among them."""
+    return [(d[0], 6.15 + 0.04 * (i % 5), -75.66 + 0.04 * (i // 5), 6.0 + i * 8 % 21) for i, d in enumerate(DISTRICTS)]
 
 
 def uniform(seed: int, *parts) -> Column:
@@ -29,7 +34,7 @@ def emergencies(spark: SparkSession, rows: int = 800, seed: int = 42) -> DataFra
     day = F.date_add(F.lit("2018-01-01").cast("date"), F.floor(uniform(seed, i, F.lit("day")) * (365 * 6 + 1)).cast("int"))
     return spark.range(rows).select(
         i.cast("string").alias("source_row_id"), day.cast("string").alias("fecha"), pick(KINDS, uniform(seed, i, F.lit("kind"))).alias("tipo_emergencia"),
-        pick([d[0] for d in SAMPLE_DISTRICTS], uniform(seed, i, F.lit("district"))).alias("commune_id"), pick(NEIGHBOURHOODS, uniform(seed, i, F.lit("place"))).alias("barrio"),
+        pick([d[0] for d in DISTRICTS], uniform(seed, i, F.lit("district"))).alias("commune_id"), pick(NEIGHBOURHOODS, uniform(seed, i, F.lit("place"))).alias("barrio"),
         (6.05 + 0.3 * uniform(seed, i, F.lit("lat"))).alias("latitud"), (-75.67 + 0.2 * uniform(seed, i, F.lit("lon"))).alias("longitud"), F.lit(True).alias("has_coords"),
     )
 
@@ -48,5 +53,5 @@ def rainfall(spark: SparkSession, days: int = 2190, seed: int = 99) -> DataFrame
 
 
 def districts(spark: SparkSession, half: float = 0.015) -> DataFrame:
-    rows = spark.createDataFrame(SAMPLE_DISTRICTS, "commune_id string, lat double, lon double, pendiente_promedio double")
+    rows = spark.createDataFrame(sample_districts(), "commune_id string, lat double, lon double, pendiente_promedio double")
     return rows.select("commune_id", "pendiente_promedio", hillside(F.col("pendiente_promedio")).alias("is_zona_ladera"), square(F.col("lon"), F.col("lat"), half).alias("ring"))
