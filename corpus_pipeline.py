@@ -65,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = ws.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))  # the stage before is no longer needed
     return docs
