@@ -79,7 +79,14 @@ def feed_polygons(spark: SparkSession, d: str) -> DataFrame:
     return readers.polygons(spark, lines(doc, f"{scratch(spark, 'feed')}/map")).select("commune_id", "pendiente_promedio", "is_zona_ladera")
 
 
-@query("feed_stations", "SELECT CAST(s_suppkey AS VARCHAR) AS codigo, CAST(s_acctbal AS DOUBLE) AS valor, CAST(s_nationkey AS VARCHAR) AS comuna FROM supplier WHERE s_suppkey % 7 <> 0 AND s_acctbal > -900")
+@query(
+    "feed_stations",
+    """
+SELECT CAST(s_suppkey AS VARCHAR) AS codigo, CAST(s_acctbal AS DOUBLE) AS valor, CAST(s_nationkey AS VARCHAR) AS comuna
+FROM supplier
+WHERE s_suppkey % 7 <> 0 AND s_acctbal > -900
+""",
+)
 def feed_stations(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot of stations; a sentinel or junk is no reading."""
     k = F.col("s_suppkey")
@@ -128,7 +135,14 @@ def feed_paged(spark: SparkSession, d: str) -> DataFrame:
     return reader.load().select("codigoestacion", "municipio")
 
 
-@query("feed_paged_since", "SELECT CAST(c_custkey AS VARCHAR) AS codigoestacion, '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS fechaobservacion FROM customer WHERE c_custkey % 28 + 1 >= 26")
+@query(
+    "feed_paged_since",
+    """
+SELECT CAST(c_custkey AS VARCHAR) AS codigoestacion, '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS fechaobservacion
+FROM customer
+WHERE c_custkey % 28 + 1 >= 26
+""",
+)
 def feed_paged_since(spark: SparkSession, d: str) -> DataFrame:
     """The incremental feed: only rows from two days before the newest known one on."""
     known = spark.createDataFrame([("2024-01-28",), ("2024-01-11",)], "day string")
@@ -162,7 +176,12 @@ def feed_rings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("code", F.get_json_object("geometry", "$.coordinates[0][0][0]").cast("double").alias("corner"))
 
 
-@query("sample_feeds", "SELECT 800::BIGINT AS emergencies, 10950::BIGINT AS rain, 5::BIGINT AS stations, 21::BIGINT AS districts, 12::BIGINT AS hillside, 0::BIGINT AS odd")
+@query(
+    "sample_feeds",
+    """
+SELECT 800::BIGINT AS emergencies, 10950::BIGINT AS rain, 5::BIGINT AS stations, 21::BIGINT AS districts, 12::BIGINT AS hillside, 0::BIGINT AS odd
+""",
+)
 def sample_feeds(spark: SparkSession, d: str) -> DataFrame:
     """The generators' totals; odd rows are rain below zero or sums that shrink with their span."""
     events = samples.emergencies(spark).agg(F.count("*").alias("emergencies"))
@@ -194,7 +213,14 @@ def sink_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("sink_logs", "SELECT 'events' AS source, 'ok' AS status, count(*)::INTEGER AS records_downloaded, count(*) FILTER (WHERE value > 100)::INTEGER AS records_valid, count(*) FILTER (WHERE NOT value > 100)::INTEGER AS records_discarded, 'parcial' AS estado FROM events")
+@query(
+    "sink_logs",
+    """
+SELECT 'events' AS source, 'ok' AS status, count(*)::INTEGER AS records_downloaded, count(*) FILTER (WHERE value > 100)::INTEGER AS records_valid,
+  count(*) FILTER (WHERE NOT value > 100)::INTEGER AS records_discarded, 'parcial' AS estado
+FROM events
+""",
+)
 def sink_logs(spark: SparkSession, d: str) -> DataFrame:
     """The row of the log of runs, and the one about the quality of the data."""
     import datetime
@@ -209,7 +235,13 @@ def sink_logs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/runs").select("source", "status", "records_downloaded", "records_valid", "records_discarded").join(quality, "source")
 
 
-@query("sink_turns", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, role, md5(text) AS said, CAST(TIMESTAMP '2024-01-01' + turn * INTERVAL 1 MINUTE AS VARCHAR) AS at FROM conversations")
+@query(
+    "sink_turns",
+    """
+SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, role, md5(text) AS said, CAST(TIMESTAMP '2024-01-01' + turn * INTERVAL 1 MINUTE AS VARCHAR) AS at
+FROM conversations
+""",
+)
 def sink_turns(spark: SparkSession, d: str) -> DataFrame:
     """Two layers that both write the turns of conversations leave each turn once."""
     at = F.timestamp_add("MINUTE", F.col("turn").cast("int"), F.lit("2024-01-01").cast("timestamp"))
@@ -219,7 +251,14 @@ def sink_turns(spark: SparkSession, d: str) -> DataFrame:
     return writes.turns(rows, path).select("session_id", "role", F.md5("content").alias("said"), F.col("created_at").cast("timestamp_ntz").cast("string").alias("at"))
 
 
-@query("sink_geojson", "SELECT count(*) AS features, CAST(sum(n_nationkey) AS BIGINT) AS ids, 'FeatureCollection' AS type FROM nation WHERE n_nationkey % 4 <> 0")
+@query(
+    "sink_geojson",
+    """
+SELECT count(*) AS features, CAST(sum(n_nationkey) AS BIGINT) AS ids, 'FeatureCollection' AS type
+FROM nation
+WHERE n_nationkey % 4 <> 0
+""",
+)
 def sink_geojson(spark: SparkSession, d: str) -> DataFrame:
     """The map as a file, read back."""
     from .service import district_geojson
@@ -248,7 +287,14 @@ def sink_model(spark: SparkSession, d: str) -> DataFrame:
     return T.scored(again, rows).agg(F.count("*").alias("rows")).withColumns({"names": F.lit(len(names)), "chosen": F.lit(metrics["chosen"]), "predictions": F.lit(spark.read.parquet(f"{folder}/predictions").count()), "neutral": F.lit(nothing)})
 
 
-@query("iso_texts", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day, CASE WHEN o_orderkey % 4 IN (1, 2) THEN CAST(o_orderdate AS VARCHAR) END AS at FROM orders")
+@query(
+    "iso_texts",
+    """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day, CASE WHEN o_orderkey % 4 IN (1,
+  2) THEN CAST(o_orderdate AS VARCHAR) END AS at
+FROM orders
+""",
+)
 def iso_texts(spark: SparkSession, d: str) -> DataFrame:
     """Dates and times in texts, with and without a zone, or no date at all."""
     k = F.col("o_orderkey") % 4
@@ -286,7 +332,13 @@ c AS (SELECT p.*, (SELECT count(*) FROM e WHERE e.id = p.id) AS n FROM p)
 """
 
 
-@query("batch_communes", f"WITH {JOB} SELECT id AS commune_id, n_name AS nombre_comuna, n AS n_eventos, slope AS pendiente_promedio, steep AS is_zona_ladera, slope IS NULL AS indice_parcial FROM c")
+@query(
+    "batch_communes",
+    f"""
+WITH {JOB} SELECT id AS commune_id, n_name AS nombre_comuna, n AS n_eventos, slope AS pendiente_promedio, steep AS is_zona_ladera, slope IS NULL AS indice_parcial
+FROM c
+""",
+)
 def batch_communes(spark: SparkSession, d: str) -> DataFrame:
     """The batch job run twice: the districts' table holds each once."""
     from .etl import run
@@ -332,7 +384,16 @@ def client_latest(spark: SparkSession, d: str) -> DataFrame:
     return latest_predictions(predictions(spark, d)).select("id", "commune_id", "risk_score")
 
 
-@query("client_alerts", f"WITH {PREDICTIONS} SELECT id, p.commune_id, coalesce(n_name, p.commune_id) AS nombre FROM p LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = p.commune_id WHERE strip_accents(lower(risk_category)) IN ('alto', 'critico') ORDER BY CASE WHEN strip_accents(lower(risk_category)) = 'critico' THEN 0 ELSE 1 END, risk_score DESC, id LIMIT 10")
+@query(
+    "client_alerts",
+    f"""
+WITH {PREDICTIONS} SELECT id, p.commune_id, coalesce(n_name, p.commune_id) AS nombre
+FROM p
+LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = p.commune_id
+WHERE strip_accents(lower(risk_category)) IN ('alto', 'critico')
+ORDER BY CASE WHEN strip_accents(lower(risk_category)) = 'critico' THEN 0 ELSE 1 END, risk_score DESC, id LIMIT 10
+""",
+)
 def client_alerts(spark: SparkSession, d: str) -> DataFrame:
     from .service import alerts
 
@@ -340,7 +401,21 @@ def client_alerts(spark: SparkSession, d: str) -> DataFrame:
     return alerts(predictions(spark, d), names, folded=True).select("id", "commune_id", "nombre")
 
 
-@query("client_map", f"WITH {PREDICTIONS}, l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY commune_id ORDER BY created_at DESC, id DESC) = 1), n AS (SELECT commune_id, count(*) AS c FROM p GROUP BY 1) SELECT CAST(n_nationkey AS VARCHAR) AS commune_id, coalesce(risk_score, 0.0) AS risk_score, coalesce(risk_category, 'Sin datos') AS risk_category, coalesce(c, 0) AS n_eventos FROM nation LEFT JOIN l ON l.commune_id = CAST(n_nationkey AS VARCHAR) LEFT JOIN n ON n.commune_id = CAST(n_nationkey AS VARCHAR)")
+@query(
+    "client_map",
+    f"""
+WITH {PREDICTIONS}, l AS (SELECT *
+FROM p
+QUALIFY row_number() OVER (PARTITION BY commune_id
+ORDER BY created_at DESC, id DESC) = 1), n AS (SELECT commune_id, count(*) AS c
+FROM p
+GROUP BY 1) SELECT CAST(n_nationkey AS VARCHAR) AS commune_id, coalesce(risk_score, 0.0) AS risk_score, coalesce(risk_category, 'Sin datos') AS risk_category,
+  coalesce(c, 0) AS n_eventos
+FROM nation
+LEFT JOIN l ON l.commune_id = CAST(n_nationkey AS VARCHAR)
+LEFT JOIN n ON n.commune_id = CAST(n_nationkey AS VARCHAR)
+""",
+)
 def client_map(spark: SparkSession, d: str) -> DataFrame:
     from .service import district_map
 
@@ -349,7 +424,17 @@ def client_map(spark: SparkSession, d: str) -> DataFrame:
     return district_map(places, p, places.withColumn("geometry", F.lit("{}")), p).select("commune_id", "risk_score", "risk_category", "n_eventos")
 
 
-@query("client_compare", f"WITH {PREDICTIONS}, l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY commune_id ORDER BY created_at DESC, id DESC) = 1), a(commune_id, position) AS (VALUES ('3', 0), ('24', 1), ('1', 3)) SELECT position, a.commune_id, risk_score FROM a LEFT JOIN l USING (commune_id)")
+@query(
+    "client_compare",
+    f"""
+WITH {PREDICTIONS}, l AS (SELECT *
+FROM p
+QUALIFY row_number() OVER (PARTITION BY commune_id
+ORDER BY created_at DESC, id DESC) = 1), a(commune_id, position) AS (VALUES ('3', 0), ('24', 1), ('1', 3)) SELECT position, a.commune_id, risk_score
+FROM a
+LEFT JOIN l USING (commune_id)
+""",
+)
 def client_compare(spark: SparkSession, d: str) -> DataFrame:
     from .service import compare
 

@@ -22,7 +22,16 @@ def class_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").groupBy(F.col("toxic").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("class_weights", "SELECT toxic AS label, count(*) AS n, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT toxic) FROM labels) * CAST(count(*) AS DOUBLE)), 6) AS weight FROM labels GROUP BY 1")
+@query(
+    "class_weights",
+    """
+SELECT toxic AS label, count(*) AS n, round((SELECT count(*)
+FROM labels) / ((SELECT count(DISTINCT toxic)
+FROM labels) * CAST(count(*) AS DOUBLE)), 6) AS weight
+FROM labels
+GROUP BY 1
+""",
+)
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
     return stats.class_weights(table(spark, d, "labels").select(F.col("toxic").alias("label")), "label")
 
@@ -40,12 +49,32 @@ def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
     return stats.confusion(scores(spark, d), "label", "risk_score", [0.3, 0.5])
 
 
-@query("auc_rank", f"WITH {AUC} SELECT auc, (SELECT count(*) FROM labels WHERE toxic = 1) AS positives, (SELECT count(*) FROM labels WHERE toxic = 0) AS negatives FROM a")
+@query(
+    "auc_rank",
+    f"""
+WITH {AUC} SELECT auc, (SELECT count(*)
+FROM labels
+WHERE toxic = 1) AS positives, (SELECT count(*)
+FROM labels
+WHERE toxic = 0) AS negatives
+FROM a
+""",
+)
 def auc_rank(spark: SparkSession, d: str) -> DataFrame:
     return stats.auc(scores(spark, d), "label", "risk_score")
 
 
-@query("model_report", f"WITH {CONFUSION}, {AUC} SELECT f.*, auc, (SELECT count(*) FROM labels WHERE toxic = 1) AS positives, (SELECT count(*) FROM labels WHERE toxic = 0) AS negatives FROM f, a")
+@query(
+    "model_report",
+    f"""
+WITH {CONFUSION}, {AUC} SELECT f.*, auc, (SELECT count(*)
+FROM labels
+WHERE toxic = 1) AS positives, (SELECT count(*)
+FROM labels
+WHERE toxic = 0) AS negatives
+FROM f, a
+""",
+)
 def model_report(spark: SparkSession, d: str) -> DataFrame:
     return T.report(scores(spark, d))
 

@@ -26,12 +26,25 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", ((F.col("embedding")[0].cast("double") + 1) * 2.5).alias("lon"), ((F.col("embedding")[1].cast("double") + 1) * 2.5).alias("lat"))
 
 
-@query("haversine", f"SELECT vec_id, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(6.2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(6.2)) * pow(sin(radians(-75.5 - lon) / 2), 2)))), 4) AS km FROM ({POINTS})")
+@query(
+    "haversine",
+    f"""
+SELECT vec_id, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(6.2 - lat) / 2),
+  2) + cos(radians(lat)) * cos(radians(6.2)) * pow(sin(radians(-75.5 - lon) / 2), 2)))), 4) AS km
+FROM ({POINTS})
+""",
+)
 def haversine(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("vec_id", rounded(G.haversine(F.col("lon"), F.col("lat"), F.lit(-75.5), F.lit(6.2)), 4).alias("km"))
 
 
-@query("ring_centroid", f"SELECT n_nationkey::BIGINT AS commune_id, round((x * 5 - {HALF}) / 5, 6) AS lon, round((y * 5 - {HALF}) / 5, 6) AS lat FROM ({CENTRES})")
+@query(
+    "ring_centroid",
+    f"""
+SELECT n_nationkey::BIGINT AS commune_id, round((x * 5 - {HALF}) / 5, 6) AS lon, round((y * 5 - {HALF}) / 5, 6) AS lat
+FROM ({CENTRES})
+""",
+)
 def ring_centroid(spark: SparkSession, d: str) -> DataFrame:
     return squares(spark, d).select("commune_id", rounded(G.ring_centroid(F.col("ring"), 0), 6).alias("lon"), rounded(G.ring_centroid(F.col("ring"), 1), 6).alias("lat"))
 
@@ -52,7 +65,13 @@ def null_geo_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(F.col("kind").isin("Polygon", "MultiPolygon") & F.col("commune_id").isNotNull()).select("commune_id")
 
 
-@query("rings_to_geojson", f"SELECT n_nationkey::BIGINT AS commune_id, 'Polygon' AS kind, round(x - {HALF}, 6)::DOUBLE AS lon, 5::INTEGER AS vertices FROM ({CENTRES})")
+@query(
+    "rings_to_geojson",
+    f"""
+SELECT n_nationkey::BIGINT AS commune_id, 'Polygon' AS kind, round(x - {HALF}, 6)::DOUBLE AS lon, 5::INTEGER AS vertices
+FROM ({CENTRES})
+""",
+)
 def rings_to_geojson(spark: SparkSession, d: str) -> DataFrame:
     """Rings to GeoJSON text and back."""
     rows = squares(spark, d).select("commune_id", G.rings_to_geojson(F.array("ring")).alias("g"))
@@ -61,7 +80,14 @@ def rings_to_geojson(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("r", read).select("commune_id", F.col("r.type").alias("kind"), rounded(ring[0][0], 6).alias("lon"), F.size(ring).alias("vertices"))
 
 
-@query("geojson_export", "SELECT 'FeatureCollection' AS kind, count(*)::INTEGER AS features, array_to_string(list(n_name ORDER BY n_nationkey), ',') AS names FROM nation")
+@query(
+    "geojson_export",
+    """
+SELECT 'FeatureCollection' AS kind, count(*)::INTEGER AS features, array_to_string(list(n_name
+ORDER BY n_nationkey), ',') AS names
+FROM nation
+""",
+)
 def geojson_export(spark: SparkSession, d: str) -> DataFrame:
     """All districts as one collection: a fixed dimension, so one document."""
     feature = F.struct(F.col("commune_id"), F.lit("Feature").alias("type"), F.struct("n_name").alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates")).alias("geometry"))

@@ -207,7 +207,15 @@ def spearman_by_key(spark: SparkSession, d: str) -> DataFrame:
     return spearman(days, "event_type", "x", "y")
 
 
-@query("trailing_mean", "SELECT round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS rain FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY")
+@query(
+    "trailing_mean",
+    """
+SELECT round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS rain
+FROM orders
+WHERE o_orderdate >= (SELECT max(o_orderdate)
+FROM orders) - INTERVAL 7 DAY
+""",
+)
 def trailing_mean(spark: SparkSession, d: str) -> DataFrame:
     return trailing_rain(spark, d).select(F.round("rain", 6).alias("rain"))
 

@@ -27,7 +27,15 @@ def latest_max_join(spark: SparkSession, d: str) -> DataFrame:
     return latest.latest_with_ties(rows, "o_custkey", "o_orderdate").drop("o_orderdate")
 
 
-@query("latest_row_number", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+@query(
+    "latest_row_number",
+    """
+SELECT o_orderkey, o_custkey, o_totalprice
+FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey
+ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
+""",
+)
 def latest_row_number(spark: SparkSession, d: str) -> DataFrame:
     rows = orders_of(spark, d).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     return latest.latest_one(rows, "o_custkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
@@ -75,7 +83,16 @@ def oldest_first(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter("user_id = 7").orderBy("ts", "event_id").limit(25).select("event_id")
 
 
-@query("last_slice", "SELECT user_id, array_to_string(list_slice(l, greatest(len(l) - 29, 1), len(l)), ',') AS ids FROM (SELECT user_id, list(event_id ORDER BY event_id) AS l FROM events GROUP BY 1)")
+@query(
+    "last_slice",
+    """
+SELECT user_id, array_to_string(list_slice(l, greatest(len(l) - 29, 1), len(l)), ',') AS ids
+FROM (SELECT user_id, list(event_id
+ORDER BY event_id) AS l
+FROM events
+GROUP BY 1)
+""",
+)
 def last_slice(spark: SparkSession, d: str) -> DataFrame:
     """The newest 30 of each user, oldest first; only these are collected."""
     rows = latest.tail(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 30)
@@ -83,7 +100,16 @@ def last_slice(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("conversation_tail", "SELECT conv_id, turn, md5(text) AS text FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
+@query(
+    "conversation_tail",
+    """
+SELECT conv_id, turn, md5(text) AS text
+FROM conversations
+WHERE role IN ('user', 'assistant')
+QUALIFY row_number() OVER (PARTITION BY conv_id
+ORDER BY turn DESC) <= 4
+""",
+)
 def conversation_tail(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant"))
     return latest.tail(rows, "conv_id", "turn", 4).select("conv_id", "turn", F.md5("text").alias("text")).orderBy("conv_id", "turn")
@@ -106,14 +132,40 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return writes.absent(rows.filter("event_id % 3 <> 0"), rows.filter("event_id % 3 = 0"), ["user_id", "day", "event_type"]).select("event_id")
 
 
-@query("dedupe_or_key", "WITH o AS (SELECT * FROM events WHERE event_id % 10 = 0) SELECT event_id FROM events n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.event_id = n.event_id) AND NOT EXISTS (SELECT 1 FROM o WHERE CAST(o.ts AS DATE) = CAST(n.ts AS DATE) AND o.user_id = n.user_id)")
+@query(
+    "dedupe_or_key",
+    """
+WITH o AS (SELECT *
+FROM events
+WHERE event_id % 10 = 0) SELECT event_id
+FROM events n
+WHERE NOT EXISTS (SELECT 1
+FROM o
+WHERE o.event_id = n.event_id) AND NOT EXISTS (SELECT 1
+FROM o
+WHERE CAST(o.ts AS DATE) = CAST(n.ts AS DATE) AND o.user_id = n.user_id)
+""",
+)
 def dedupe_or_key(spark: SparkSession, d: str) -> DataFrame:
     """Absent by id and by (day, entity): either match keeps a row out."""
     rows = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
     return writes.absent(rows, rows.filter("event_id % 10 = 0"), ["event_id"], ["day", "user_id"]).select("event_id")
 
 
-@query("upsert", "SELECT o_orderkey, o_totalprice FROM orders WHERE NOT (o_orderkey % 3 = 0) UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey + 100000000, o_totalprice FROM orders WHERE o_orderkey % 7 = 0")
+@query(
+    "upsert",
+    """
+SELECT o_orderkey, o_totalprice
+FROM orders
+WHERE NOT (o_orderkey % 3 = 0)
+UNION ALL SELECT o_orderkey, o_totalprice + 1
+FROM orders
+WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey + 100000000, o_totalprice
+FROM orders
+WHERE o_orderkey % 7 = 0
+""",
+)
 def upsert(spark: SparkSession, d: str) -> DataFrame:
     old = orders_of(spark, d).select("o_orderkey", "o_totalprice")
     new = old.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1).unionByName(old.filter("o_orderkey % 7 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 100000000))
@@ -126,7 +178,15 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     return latest.first_occurrence(rows, ["event_type", "user_id", F.to_date("ts")], ["event_id"]).select("event_type", "user_id", "event_id")
 
 
-@query("union_feeds", "SELECT 'a:' || event_id AS row_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, value FROM events UNION ALL SELECT 'b:' || o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR), NULL FROM orders")
+@query(
+    "union_feeds",
+    """
+SELECT 'a:' || event_id AS row_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, value
+FROM events
+UNION ALL SELECT 'b:' || o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR), NULL
+FROM orders
+""",
+)
 def union_feeds(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "events").select(F.concat(F.lit("a:"), F.col("event_id").cast("string")).alias("row_id"), F.to_date("ts").cast("string").alias("day"), "value")
     b = orders_of(spark, d).select(F.concat(F.lit("b:"), F.col("o_orderkey").cast("string")).alias("row_id"), F.to_date("o_orderdate").cast("string").alias("day"))
@@ -146,13 +206,28 @@ def run_status(spark: SparkSession, d: str) -> DataFrame:
     return latest.latest_one(newest, "event_type", ["ts", "event_id"]).select("event_type", "event_id").crossJoin(F.broadcast(totals))  # one row
 
 
-@query("sorted_sets", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types, count(DISTINCT event_type) AS n FROM events GROUP BY 1")
+@query(
+    "sorted_sets",
+    """
+SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types, count(DISTINCT event_type) AS n
+FROM events
+GROUP BY 1
+""",
+)
 def sorted_sets(spark: SparkSession, d: str) -> DataFrame:
     types = F.sort_array(F.collect_set("event_type"))
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(types, ",").alias("types"), F.size(types).cast("long").alias("n"))
 
 
-@query("key_union", "SELECT array_to_string(list_sort(list(DISTINCT k)), ',') AS keys FROM (SELECT unnest(json_keys(props)) AS k FROM events UNION ALL SELECT 'extra')")
+@query(
+    "key_union",
+    """
+SELECT array_to_string(list_sort(list(DISTINCT k)), ',') AS keys
+FROM (SELECT unnest(json_keys(props)) AS k
+FROM events
+UNION ALL SELECT 'extra')
+""",
+)
 def key_union(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("k")).distinct().union(spark.createDataFrame([("extra",)], "k string")).distinct()
     return keys.agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("keys"))
@@ -164,7 +239,17 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").distinct().join(known, "c_custkey", "left_anti")
 
 
-@query("table_totals", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
+@query(
+    "table_totals",
+    """
+SELECT 'customer' AS name, count(*) AS n
+FROM customer
+UNION ALL SELECT 'events', count(*)
+FROM events
+UNION ALL SELECT 'orders', count(*)
+FROM orders
+""",
+)
 def table_totals(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name in ("customer", "events", "orders"):
@@ -173,7 +258,14 @@ def table_totals(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("quality_counters", "SELECT event_type, count(*) AS downloaded, count(*) FILTER (WHERE value >= 1) AS valid, count(*) FILTER (WHERE value < 1) AS discarded FROM events GROUP BY 1")
+@query(
+    "quality_counters",
+    """
+SELECT event_type, count(*) AS downloaded, count(*) FILTER (WHERE value >= 1) AS valid, count(*) FILTER (WHERE value < 1) AS discarded
+FROM events
+GROUP BY 1
+""",
+)
 def quality_counters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("downloaded"), F.count_if(F.col("value") >= 1).alias("valid"), F.count_if(F.col("value") < 1).alias("discarded"))
 
@@ -188,13 +280,29 @@ def defaults_and_clamp(spark: SparkSession, d: str) -> DataFrame:
     return page.join(known, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("d", F.lit("Sin datos")).alias("newest"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("dim_lookup_chain", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal IS NOT NULL")
+@query(
+    "dim_lookup_chain",
+    """
+SELECT s_suppkey, n_name, r_name
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE s_acctbal IS NOT NULL
+""",
+)
 def dim_lookup_chain(spark: SparkSession, d: str) -> DataFrame:
     s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
     return s.filter("s_acctbal is not null").join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", "n_name", "r_name")
 
 
-@query("embed_left_join", "SELECT o_orderkey, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS nombre FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+@query(
+    "embed_left_join",
+    """
+SELECT o_orderkey, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS nombre
+FROM orders JOIN customer ON o_custkey = c_custkey
+LEFT JOIN (SELECT *
+FROM nation
+WHERE n_nationkey < 20) ON c_nationkey = n_nationkey
+""",
+)
 def embed_left_join(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").filter("n_nationkey < 20")
     rows = orders_of(spark, d).select("o_orderkey", "o_custkey").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
@@ -213,7 +321,13 @@ def ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
     return names.join(scores, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("pos").cast("long").alias("pos"), "c_custkey", "c_name", "score").orderBy("pos")
 
 
-@query("layer_priority", "SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'Alta' WHEN p_retailprice < 950 THEN 'Media-alta' WHEN p_brand = 'Brand#4' THEN 'Media-baja' WHEN p_type = 'SMALL' THEN 'Baja' END AS capa FROM part")
+@query(
+    "layer_priority",
+    """
+SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'Alta' WHEN p_retailprice < 950 THEN 'Media-alta' WHEN p_brand = 'Brand#4' THEN 'Media-baja' WHEN p_type = 'SMALL' THEN 'Baja' END AS capa
+FROM part
+""",
+)
 def layer_priority(spark: SparkSession, d: str) -> DataFrame:
     """The first of four layers, in order of priority, that has the place."""
     from ..schemas import DENSITY_LAYERS
@@ -238,7 +352,14 @@ def visible_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(F.col("p_type").isin("SMALL", "PROMO") & (F.col("p_size") >= 10)).groupBy("p_type").agg(F.count("*").alias("visible"))
 
 
-@query("geocode_update", "SELECT event_id, coalesce(CASE WHEN event_id % 4 <> 0 THEN user_id END, CASE WHEN value > 5 THEN user_id + 1000 END) AS commune_id, event_id % 4 = 0 AND value > 5 AS resolved FROM events")
+@query(
+    "geocode_update",
+    """
+SELECT event_id, coalesce(CASE WHEN event_id % 4 <> 0 THEN user_id END, CASE WHEN value > 5 THEN user_id + 1000 END) AS commune_id,
+  event_id % 4 = 0 AND value > 5 AS resolved
+FROM events
+""",
+)
 def geocode_update(spark: SparkSession, d: str) -> DataFrame:
     """Fill in an id only where it is missing and can be resolved."""
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("commune_id"), F.when(F.col("value") > 5, F.col("user_id") + 1000).alias("found"))
@@ -246,14 +367,30 @@ def geocode_update(spark: SparkSession, d: str) -> DataFrame:
     return writes.filled(rows.withColumn("resolved", done), "commune_id", F.col("found")).select("event_id", "commune_id", "resolved")
 
 
-@query("numeric_coerce", "SELECT event_id, TRY_CAST(replace(CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '.', ',') WHEN 2 THEN ' ' ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END, ',', '.') AS DOUBLE) AS v FROM events WHERE event_id % 4 IN (1, 3)")
+@query(
+    "numeric_coerce",
+    """
+SELECT event_id, TRY_CAST(replace(CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '.',
+  ',') WHEN 2 THEN ' ' ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END, ',', '.') AS DOUBLE) AS v
+FROM events
+WHERE event_id % 4 IN (1, 3)
+""",
+)
 def numeric_coerce(spark: SparkSession, d: str) -> DataFrame:
     plain = money(F.col("value")).cast("string")
     text = F.when(F.col("event_id") % 4 == 0, "x").when(F.col("event_id") % 4 == 1, F.replace(plain, F.lit("."), F.lit(","))).when(F.col("event_id") % 4 == 2, " ").otherwise(plain)
     return table(spark, d, "events").select("event_id", number(text).alias("v")).filter("v >= 0")
 
 
-@query("null_filters", "WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id END AS a, CASE WHEN event_id % 5 = 0 THEN value END AS b FROM events) SELECT event_id, a IS NOT NULL AND b IS NOT NULL AS has_coords FROM e WHERE a IS NULL OR b IS NOT NULL")
+@query(
+    "null_filters",
+    """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id END AS a, CASE WHEN event_id % 5 = 0 THEN value END AS b
+FROM events) SELECT event_id, a IS NOT NULL AND b IS NOT NULL AS has_coords
+FROM e
+WHERE a IS NULL OR b IS NOT NULL
+""",
+)
 def null_filters(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("a"), F.when(F.col("event_id") % 5 == 0, F.col("value")).alias("b"))
     return rows.filter(F.col("a").isNull() | F.col("b").isNotNull()).select("event_id", (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("has_coords"))
@@ -274,7 +411,14 @@ def filtered(df: DataFrame, equal: dict | None = None, least: dict | None = None
     return df
 
 
-@query("optional_filters", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND strftime(o_orderdate, '%Y-%m-%d') >= '1997-01-01' AND strftime(o_orderdate, '%Y-%m-%d') <= '1999-12-31'")
+@query(
+    "optional_filters",
+    """
+SELECT o_orderkey
+FROM orders
+WHERE o_orderstatus = 'F' AND strftime(o_orderdate, '%Y-%m-%d') >= '1997-01-01' AND strftime(o_orderdate, '%Y-%m-%d') <= '1999-12-31'
+""",
+)
 def optional_filters(spark: SparkSession, d: str) -> DataFrame:
     rows = orders_of(spark, d).withColumn("fecha", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return filtered(rows, {"o_orderstatus": "F", "o_orderpriority": ""}, {"fecha": "1997-01-01"}, {"fecha": "1999-12-31"}).select("o_orderkey")

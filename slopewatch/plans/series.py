@@ -36,7 +36,15 @@ def rolling_3_7(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "event_type", F.col("sum_3").cast("double").alias("sum_3"), F.col("sum_7").cast("double").alias("sum_7"))
 
 
-@query("station_latest", "SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1")
+@query(
+    "station_latest",
+    """
+SELECT event_type, event_id, value
+FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type
+ORDER BY ts DESC, event_id DESC) = 1
+""",
+)
 def station_latest(spark: SparkSession, d: str) -> DataFrame:
     return latest_one(table(spark, d, "events").select("event_type", "event_id", "value", "ts"), "event_type", ["ts", "event_id"]).select("event_type", "event_id", "value")
 
@@ -200,7 +208,16 @@ def high_water_mark(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter(F.get_json_object("props", "$.k").cast("int") < 50).groupBy("event_type").agg(F.max("ts").cast("string").alias("mark"))
 
 
-@query("incremental_slice", "WITH m AS (SELECT event_type, max(ts) - INTERVAL 2 DAY AS lo FROM events GROUP BY 1) SELECT event_id FROM events JOIN m USING (event_type) WHERE ts >= lo")
+@query(
+    "incremental_slice",
+    """
+WITH m AS (SELECT event_type, max(ts) - INTERVAL 2 DAY AS lo
+FROM events
+GROUP BY 1) SELECT event_id
+FROM events JOIN m USING (event_type)
+WHERE ts >= lo
+""",
+)
 def incremental_slice(spark: SparkSession, d: str) -> DataFrame:
     """Rows from two days before each feed's newest on."""
     events = table(spark, d, "events").select("event_id", "event_type", "ts")

@@ -24,7 +24,16 @@ def replay(spark: SparkSession, rows: DataFrame, keys: list[str]) -> DataFrame:
     return spark.read.parquet(f"{folder}/table")
 
 
-@query("stream_daily", "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS records FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events) GROUP BY 1, 2")
+@query(
+    "stream_daily",
+    """
+SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS records
+FROM events
+WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE)
+FROM events)
+GROUP BY 1, 2
+""",
+)
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     """Days whose look-back has passed."""
     return replay(spark, ingest.daily(source(spark, d), "event_type", "at", "value"), ["event_type", "day"]).withColumn("day", F.col("day").cast("string"))
@@ -36,7 +45,16 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return replay(spark, ingest.deduplicated(rows, ["user_id", "event_type", "day"], "at"), ["user_id", "event_type", "day"]).select("user_id", "event_type", F.col("day").cast("string").alias("day"))
 
 
-@query("stream_insert_absent", "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS records, 2 AS runs FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events) GROUP BY 1, 2")
+@query(
+    "stream_insert_absent",
+    """
+SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS records, 2 AS runs
+FROM events
+WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE)
+FROM events)
+GROUP BY 1, 2
+""",
+)
 def stream_insert_absent(spark: SparkSession, d: str) -> DataFrame:
     """The same feed replayed twice into one table: the second run inserts nothing.  Both runs report how they went."""
     folder = scratch(spark, "stream")

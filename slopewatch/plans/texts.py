@@ -80,7 +80,13 @@ def alias_match(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "m.id", "m.position")
 
 
-@query("alias_resolve", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN CAST(n_nationkey AS VARCHAR) WHEN 1 THEN '12' WHEN 2 THEN '14' END AS id FROM nation")
+@query(
+    "alias_resolve",
+    """
+SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN CAST(n_nationkey AS VARCHAR) WHEN 1 THEN '12' WHEN 2 THEN '14' END AS id
+FROM nation
+""",
+)
 def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     text = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, "La América ").when(k % 4 == 2, "POBLADO").otherwise(F.col("n_name"))
@@ -102,7 +108,13 @@ def link_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.count_links(F.col("html")).alias("links"))
 
 
-@query("alert_blocks", "SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '>([^<>]+)<', 1), lambda x: regexp_matches(x, '(?i)shing|tion'))) AS INTEGER) AS blocks FROM pages")
+@query(
+    "alert_blocks",
+    """
+SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '>([^<>]+)<', 1), lambda x: regexp_matches(x, '(?i)shing|tion'))) AS INTEGER) AS blocks
+FROM pages
+""",
+)
 def alert_blocks(spark: SparkSession, d: str) -> DataFrame:
     nodes = F.regexp_extract_all("html", F.lit(">([^<>]+)<"), 1)
     return table(spark, d, "pages").select("page_id", F.size(F.filter(nodes, lambda t: t.rlike("(?i)shing|tion"))).alias("blocks"))
@@ -126,7 +138,14 @@ def local_offset(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.date_format(D.local_as_utc(text), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
-@query("text_templates", "SELECT c_custkey, 'src:cliente:' || c_custkey AS row_id, CASE WHEN c_custkey % 5 = 0 THEN 'sin titulo' ELSE left(c_name, 12) END AS titulo, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ': ' || CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) || ' mm' AS texto FROM customer")
+@query(
+    "text_templates",
+    """
+SELECT c_custkey, 'src:cliente:' || c_custkey AS row_id, CASE WHEN c_custkey % 5 = 0 THEN 'sin titulo' ELSE left(c_name, 12) END AS titulo, upper(left(c_mktsegment,
+  1)) || lower(substr(c_mktsegment, 2)) || ': ' || CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) || ' mm' AS texto
+FROM customer
+""",
+)
 def text_templates(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise(F.col("c_name"))
     line = F.concat(F.initcap(F.lower("c_mktsegment")), F.lit(": "), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit(" mm"))
@@ -160,7 +179,13 @@ def date_label(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM").alias("label"))
 
 
-@query("article_date", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) + 1 AS VARCHAR) ELSE '2001-08-02' END AS fecha FROM orders")
+@query(
+    "article_date",
+    """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) + 1 AS VARCHAR) ELSE '2001-08-02' END AS fecha
+FROM orders
+""",
+)
 def article_date(spark: SparkSession, d: str) -> DataFrame:
     k, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
     gmt = F.when(k == 0, F.concat(day.cast("string"), F.lit("T10:00:00"))).when(k == 2, "no date").otherwise("")
