@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -31,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """Written tables of one run of an operator: lineage ends there, so a lost executor costs one task, not the job.
 
-    ``keep`` writes the last table and deletes the others.
+    ``keep`` writes the last table and deletes the others; what is left is deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -40,6 +41,11 @@ class Workspace:
         self._fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.root = self._fs.makeQualified(folder).toString()
         self._n = 0
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root), True)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -86,3 +86,29 @@ def test_empty_tables_and_clashing_names(spark, data):
                 rows = out.collect()
                 assert bool(rows) == bool(docs.limit(1).count())
                 assert all(r.lang == r._text and r.source == r._key for r in rows), name
+
+
+def test_near_duplicates_go(spark, data):
+    """Against all pairs of documents: of each component the smallest id stays."""
+    import re
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).select("doc_id").collect()]
+    assert sorted(kept) == sorted(i for i in sets if find(i) == i) and len(kept) < len(rows)
