@@ -28,7 +28,8 @@ from .windows import blocks, gram_hash, groups, mix, prefix_hash, span_hash, spa
 from .words import words
 
 GROUP = "_key long, start int, n int, anchor long, digest long, times int"
-SEGMENT = "anchor long, _key long, start int, size int, single boolean, symbols binary, n int, digest long"
+SEGMENT = "anchor long, _key long, start int, size int, single boolean, hot boolean, symbols binary"
+AGAIN = "anchor long, _key long, start int, n int, digest long, want boolean, symbols binary"
 SPAN = "_key long, start int, end int"
 
 
@@ -103,13 +104,11 @@ def find_groups(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]],
     return run
 
 
-def fetch_segments(unit: str, length: int, level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (_key, _text, wanted: [(start, n, anchor, single, hot)]) to segments.
-
-    The symbols of a segment (bytes, or 64-bit word hashes); of hot anchors' segments the groups of the next level.
-    """
-    symbols, steps = UNITS[unit][0], grams(unit, length)
-    schema = pa.schema([("anchor", pa.int64()), ("_key", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("single", pa.bool_()), ("symbols", pa.binary()), ("n", pa.int32()), ("digest", pa.int64())])
+def fetch_segments(unit: str, length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_key, _text, wanted: [(start, n, anchor, single, hot)]) to segments with their symbols: bytes, or 64-bit
+    word hashes."""
+    symbols = UNITS[unit][0]
+    schema = pa.schema([("anchor", pa.int64()), ("_key", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("single", pa.bool_()), ("hot", pa.bool_()), ("symbols", pa.binary())])
 
     def run(batches):
         for part in batches:
@@ -119,29 +118,35 @@ def fetch_segments(unit: str, length: int, level: int) -> Callable[[Iterable[pa.
             start, n, anchor, single, hot = (wanted.values.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "anchor", "single", "hot"))
             for a, b in runs(offsets, STEP):
                 sym, first = symbols(data, offsets[a : b + 1])
-                doc = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
-                size = n[at[a] : at[b]] + length - 1
-                cold, again = (np.flatnonzero(x) for x in (~hot[at[a] : at[b]], hot[at[a] : at[b]]))
+                mine = slice(at[a], at[b])
+                lo = start[mine] + np.repeat(first[:-1], np.diff(at[a : b + 1]))
+                size = n[mine] + length - 1
                 store = sym if unit == "words" else (sym - np.uint64(1)).astype(np.uint8)
-                if len(cold):
-                    own = cold + at[a]
-                    lo = start[own] + first[doc[cold]]
-                    text = [store[x : x + s].tobytes() for x, s in zip(lo.tolist(), size[cold].tolist(), strict=True)]
-                    yield batch(schema, anchor=anchor[own], _key=key[a + doc[cold]], start=start[own], size=size[cold].astype(np.int32), single=single[own], symbols=pa.array(text, pa.binary()), n=pa.nulls(len(own), pa.int32()), digest=pa.nulls(len(own), pa.int64()))
-                for x, y in runs(np.append(0, np.cumsum(size[again])), STEP) if len(again) else ():
-                    mine = again[x:y]
-                    own = mine + at[a]
-                    lo = start[own] + first[doc[mine]]
-                    end = np.cumsum(size[mine])
-                    begin = end - size[mine]
-                    whole = np.concatenate([sym[p : p + s] for p, s in zip(lo.tolist(), size[mine].tolist(), strict=True)])
-                    place, count, gram, digest = groups(whole, begin, end, length, steps[level + 1], level + 1)
-                    of = np.searchsorted(end, place, side="right")
-                    new = mix(gram ^ mix(anchor[own[of]].astype(np.int64).view(np.uint64)))
-                    yield batch(
-                        schema, anchor=new.view(np.int64), _key=key[a + doc[mine[of]]], start=(place - begin[of] + start[own[of]]).astype(np.int32), size=pa.nulls(len(of), pa.int32()), single=single[own[of]],
-                        symbols=pa.nulls(len(of), pa.binary()), n=count.astype(np.int32), digest=digest.view(np.int64),
-                    )
+                text = [store[x : x + s].tobytes() for x, s in zip(lo.tolist(), size.tolist(), strict=True)]
+                yield batch(schema, anchor=anchor[mine], _key=np.repeat(key[a:b], np.diff(at[a : b + 1])), start=start[mine], size=size.astype(np.int32), single=single[mine], hot=hot[mine], symbols=pa.array(text, pa.binary()))
+
+    return run
+
+
+def group_again(unit: str, length: int, level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Segments of hot anchors to the groups of a level, which carry their symbols."""
+    gram = grams(unit, length)[level]
+    schema = pa.schema([("anchor", pa.int64()), ("_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("digest", pa.int64()), ("want", pa.bool_()), ("symbols", pa.binary())])
+
+    def run(batches):
+        for part in batches:
+            data, offsets = utf8(part.column("symbols"))
+            anchor, key, start, want = (part.column(x).to_numpy(zero_copy_only=False) for x in ("anchor", "_key", "start", "single"))
+            for a, b in runs(offsets, STEP):
+                store = data[offsets[a] : offsets[b]]
+                sym = store.view(np.uint64) if unit == "words" else store.astype(np.uint64) + np.uint64(1)
+                store = sym if unit == "words" else store
+                edge = (offsets[a : b + 1] - offsets[a]) // (8 if unit == "words" else 1)
+                place, n, chosen, digest = groups(sym, edge[:-1], edge[1:], length, gram, level)
+                of = np.searchsorted(edge[1:], place, side="right")
+                new = mix(chosen ^ mix(anchor[a + of].astype(np.int64).view(np.uint64)))
+                text = [store[x : x + m].tobytes() for x, m in zip(place.tolist(), (n + length - 1).tolist(), strict=True)]
+                yield batch(schema, anchor=new.view(np.int64), _key=key[a + of], start=(place - edge[of] + start[a + of]).astype(np.int32), n=n.astype(np.int32), digest=digest.view(np.int64), want=want[a + of], symbols=pa.array(text, pa.binary()))
 
     return run
 
@@ -237,22 +242,24 @@ def repeated_spans(docs: DataFrame, ws: Workspace, unit: str, length: int, mark:
         copies = ws.table(mixed.filter("want").join(kinds.filter("times > 1").select("anchor", "digest"), ["anchor", "digest"]).select("_key", "start", whole.alias("end")), "copies")
         spans = spans.unionByName(hits.filter("same and want").select("_key", "start", whole.alias("end"))).unionByName(copies)
         hot = ws.table(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("hot")), "hot")  # few rows, if any
-        single = (F.col("times") == 1) & F.col("want")
-        wanted = (
-            kinds.join(hot, "anchor", "left")
-            .select("place._key", F.struct("place.start", "place.n", "anchor", single.alias("single"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("one"))
-            .groupBy("_key").agg(F.collect_list("one").alias("wanted"))
-        )
-        segments = ws.table(docs.select("_key", "_text").join(wanted, "_key").mapInArrow(fetch_segments(unit, length, level), SEGMENT), "segments")
+        wanted = kinds.join(hot, "anchor", "left").select("anchor", "place.*", ((F.col("times") == 1) & F.col("want")).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot"))
+        if level == 0:
+            wanted = wanted.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "anchor", "single", "hot")).alias("wanted"))
+            segments = docs.select("_key", "_text").join(wanted, "_key").mapInArrow(fetch_segments(unit, length), SEGMENT)
+        else:  # only segments of hot anchors are left, and have their symbols with them
+            segments = again.select("anchor", "_key", "start", "symbols").join(wanted, ["anchor", "_key", "start"])
+            segments = segments.select("anchor", "_key", "start", (F.col("n") + (length - 1)).alias("size"), "single", "hot", "symbols")
+        segments = ws.table(segments, "segments")
         marked = (
-            segments.filter("symbols is not null").select("anchor", "_key", "start", "size", "single", "symbols")
+            segments.filter("not hot").select("anchor", "_key", "start", "size", "single", "symbols")
             .repartition(parts, "anchor").sortWithinPartitions("anchor")
             .mapInArrow(index_shards(unit, length, mark, shard), SPAN)
         )
         spans = spans.unionByName(marked)
         if level + 1 == len(steps) or hot.isEmpty():
             break
-        found = segments.filter("digest is not null").select("_key", "start", "n", "anchor", "digest", F.lit(1).alias("times"), F.col("single").alias("want"))
+        again = ws.table(segments.filter("hot").mapInArrow(group_again(unit, length, level + 1), AGAIN), "again")
+        found = again.select("_key", "start", "n", "anchor", "digest", F.lit(1).alias("times"), "want")
     return spans.groupBy("_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
