@@ -108,23 +108,24 @@ def collisions(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (one == others).sum(-1)
 
 
-def connect(sign: np.ndarray, agree: int) -> list[tuple[int, int]]:
-    """Pairs of rows that connect what pairs with ``agree`` collisions connect: fewer than there are rows."""
-    out, free = [], np.arange(1, len(sign))
-    todo = [0]
-    while todo or len(free):
-        if not todo:
-            todo, free = [int(free[0])], free[1:]
-        at = todo.pop()
-        near = collisions(sign[at], sign[free]) >= agree
-        out += [(at, x) for x in free[near].tolist()]
-        todo += free[near].tolist()
-        free = free[~near]
-    return out
+def connect(sign: np.ndarray, agree: int) -> np.ndarray:
+    """For each row the first row that pairs with ``agree`` collisions connect it with, directly or through others."""
+    root = np.arange(len(sign))
+    free = np.arange(len(sign))
+    while len(free):
+        first, free = int(free[0]), free[1:]
+        todo = [first]
+        while todo and len(free):
+            near = collisions(sign[todo.pop()], sign[free]) >= agree
+            root[free[near]] = first
+            todo += free[near].tolist()
+            free = free[~near]
+    return root
 
 
 def count_collisions(agree: int):
-    """Postings (value, rep, sign), sorted by value, to pairs of sets that connect each list's candidates."""
+    """Postings (value, rep, sign), sorted by both, to pairs of sets that connect each list's candidates: each with the
+    smallest of those it is connected with, so that lists of the same sets give the same pairs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -133,16 +134,16 @@ def count_collisions(agree: int):
             sign = table.column("sign").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             edge = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             size = np.diff(np.append(edge, len(value)))
+            root = np.arange(len(rep))
             two = edge[size == 2]
             two = two[collisions(sign[two], sign[two + 1]) >= agree]
-            a, b = [rep[two]], [rep[two + 1]]
+            root[two + 1] = two
             for x, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                pairs = connect(sign[x : x + n], agree)
-                a.append(rep[[x + i for i, _ in pairs]])
-                b.append(rep[[x + j for _, j in pairs]])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield batch(schema, a=a, b=b)
+                root[x : x + n] = x + connect(sign[x : x + n], agree)
+            joined = np.flatnonzero(root != np.arange(len(rep)))
+            if len(joined):
+                pairs = np.unique(np.stack([rep[root[joined]], rep[joined]], 1), axis=0)
+                yield batch(schema, a=pairs[:, 0], b=pairs[:, 1])
 
     return run
 
@@ -271,7 +272,7 @@ def _near(rows: DataFrame, ws: Workspace, percent: int, size: int, coordinates:
     lists_ = ws.table(prefix.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "lists")
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     counted = prefix.join(lists_.filter(F.col("n") <= LONG), "value").select("value", "rep", "sign", F.lit(1).alias("one"))
-    counted = counted.repartition(parts, "value").sortWithinPartitions("value").mapInArrow(count_collisions(agree), "a long, b long").distinct()
+    counted = counted.repartition(parts, "value").sortWithinPartitions("value", "rep").mapInArrow(count_collisions(agree), "a long, b long").distinct()
     long = prefix.join(lists_.filter(F.col("n") > LONG), "value").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     families = components(ws.table(counted.unionByName(long), "candidates"), ws).select(F.col("id").alias("_key"), F.col("component").alias("family"))
     families = ws.table(families, "families")
