@@ -8,6 +8,7 @@ from .html_extraction import op1_html_extraction
 from .near_duplicates import op4_minhash_near_dedup
 from .nearest import op9_nearest
 from .packing import op3_packing
+from .periodic_runs import op12_periodic_runs
 from .quality import op6_quality_classifier
 from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op10_suffix_array_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_nearest": op9_nearest,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
