@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .conversation_repair import op13_conversation_repair
 from .fingerprints import op7_fingerprints
 from .html_extraction import op1_html_extraction
 from .near_duplicates import op4_minhash_near_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
