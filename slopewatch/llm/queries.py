@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .conversation_repair import op13_conversation_repair
+from .embedding_dedup import op11_embedding_dedup
 from .fingerprints import op7_fingerprints
 from .html_extraction import op1_html_extraction
 from .near_duplicates import op4_minhash_near_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_nearest": op9_nearest,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
