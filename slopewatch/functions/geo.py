@@ -36,6 +36,13 @@ def rings_to_geojson(rings: Column) -> Column:
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")))
 
 
+def multipolygon(kind: Column, coordinates: Column) -> Column:
+    """GeoJSON coordinates, as text, to polygons of rings of points; null for kinds that are no areas."""
+    point = "array<array<array<double>>>"
+    one, many = F.from_json(coordinates, point), F.from_json(coordinates, f"array<{point}>")
+    return F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
+
+
 def square(lon: Column, lat: Column, half: float) -> Column:
     """A closed square ring around a point."""
     corner = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]

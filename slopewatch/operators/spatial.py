@@ -1,25 +1,113 @@
-"""Points in polygons by grid cells."""
+"""Points in layers of polygons by a grid of cells.
+
+A shape is an array of polygons, each an array of rings, each an array of [longitude, latitude]; a point is inside if a ray
+to the east crosses all rings together an odd number of times, so holes and parts need nothing of their own.  Shapes are
+clipped to cells: a cell that no edge touches is inside or outside as a whole and its points need no test; in the cells of
+the border a point is held against the edges of its band (row of cells) only.  A shape's cells are as coarse as keeps it
+within ``ACROSS`` of them in width and height, whatever its size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import inside
+from ..session import kept
+
+#: Cells of a shape in width and in height, at most; edges of a band that are tested in one go.
+ACROSS, EDGES = 64, 256
+#: Share of a cell by which borders are widened, for the rounding of places on edges.
+SLACK = 1e-6
+
+
+def _edges(layers: DataFrame, shape: str, cell: float) -> DataFrame:
+    """(_f, ax, ay, bx, by, level): the edges of all rings, closed, with the shape's level: cells of cell * 2 ** level."""
+    closed = F.when(F.element_at("ring", 1) != F.element_at("ring", -1), F.concat("ring", F.array(F.element_at("ring", 1)))).otherwise(F.col("ring"))
+    rings = layers.select("_f", F.explode(F.flatten(F.filter(shape, lambda p: p.isNotNull()))).alias("ring")).filter(F.size("ring") >= 3).select("_f", closed.alias("ring"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("ring") - 1), lambda i: F.struct(F.element_at("ring", i).alias("a"), F.element_at("ring", i + 1).alias("b")))
+    edges = rings.select("_f", F.explode(pairs).alias("e")).select("_f", *[F.col(f"e.{p}")[k].alias(f"{p}{x}") for p in "ab" for k, x in enumerate("xy")])
+    spans = [F.max(F.greatest(f"a{x}", f"b{x}")) - F.min(F.least(f"a{x}", f"b{x}")) for x in "xy"]
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(*spans) / (cell * (ACROSS - 2))))).cast("int")
+    return edges.join(edges.groupBy("_f").agg(F.coalesce(level, F.lit(0)).alias("level")), "_f")  # log2(0) of a shape without extent is null
+
+
+def _between(low: Column, high: Column, side: Column) -> Column:
+    return F.sequence(F.floor(low / side - SLACK), F.floor(high / side + SLACK))
+
+
+def cell_index(layers: DataFrame, shape: str, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Cells (level, cx, cy, _f, whole) of the shapes of ``layers`` (_f and the shape), and the edges of each band of the
+    shapes that have border cells (_f, level, cy, edges), in arrays of bounded size."""
+    side = F.lit(cell) * F.pow(F.lit(2.0), "level")
+    banded = _edges(layers, shape, cell).withColumn("side", side).withColumn("cy", F.explode(_between(F.least("ay", "by"), F.greatest("ay", "by"), F.col("side"))))
+    # the part of an edge that lies in its band
+    low, high = F.col("cy") * F.col("side"), (F.col("cy") + 1) * F.col("side")
+
+    def at(y: Column) -> Column:
+        flat = F.col("ay") == F.col("by")
+        y = F.greatest(F.least("ay", "by"), F.least(F.greatest("ay", "by"), y))
+        return F.when(flat, F.col("ax")).otherwise(F.col("ax") + (y - F.col("ay")) * F.try_divide(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+
+    one, other = at(low), F.when(F.col("ay") == F.col("by"), F.col("bx")).otherwise(at(high))
+    touched = _between(F.least(one, other), F.greatest(one, other), F.col("side"))
+    middle = (F.col("cy") + 0.5) * F.col("side")
+    crosses = F.when((F.col("ay") > middle) != (F.col("by") > middle), at(middle))
+    clipped = banded.withColumns({"touched": touched, "cross": crosses})
+    border = clipped.select("_f", "level", "cy", F.explode("touched").alias("cx")).groupBy("_f", "level", "cy").agg(F.collect_set("cx").alias("border"))
+    rows = clipped.groupBy("_f", "level", "cy", "side").agg(F.collect_list("cross").alias("crosses")).join(border, ["_f", "level", "cy"])
+    # cells between those of the border: inside if an odd number of edges crosses the band's middle east of them
+    every = F.sequence(F.array_min("border"), F.array_max("border"))
+    inner = F.filter(F.array_except(every, "border"), lambda x: F.size(F.filter("crosses", lambda c: c > (x + 0.5) * F.col("side"))) % 2 == 1)
+    marked = F.concat(F.transform("border", lambda x: F.struct(x.alias("cx"), F.lit(False).alias("whole"))), F.transform(inner, lambda x: F.struct(x.alias("cx"), F.lit(True).alias("whole"))))
+    cells = rows.select("_f", "level", "cy", F.explode(marked).alias("c")).select("level", "c.cx", "cy", "_f", "c.whole")
+    edge = F.struct("ax", "ay", "bx", "by")
+    chunk = F.floor(F.row_number().over(Window.partitionBy("_f", "level", "cy").orderBy("ax", "ay", "bx", "by")) / EDGES)
+    bands = banded.filter("ay <> by").withColumn("chunk", chunk).groupBy("_f", "level", "cy", "chunk").agg(F.collect_list(edge).alias("edges")).drop("chunk")
+    return cells, bands
+
+
+def crossings(lon: Column, lat: Column, edges: Column) -> Column:
+    """How many of the edges a ray to the east crosses.  Points on a left or lower edge count as inside, on a right or upper
+    one as outside."""
+
+    def crosses(e: Column) -> Column:
+        return ((e["ay"] > lat) != (e["by"] > lat)) & (lon < (e["bx"] - e["ax"]) / (e["by"] - e["ay"]) * (lat - e["ay"]) + e["ax"])
+
+    return F.size(F.filter(edges, crosses))
+
+
+def hits(points: DataFrame, layers: DataFrame, lon: str, lat: str, shape: str, cell: float) -> DataFrame:
+    """(_x, _y, _f): each place of ``points`` with every shape of ``layers`` (_f and the shape) that it is in.
+
+    Cells and bands are written first, so both joins know how large they are.  A hot cell's points are dealt out by the
+    engine's handling of skewed joins; places that occur several times are looked up once.
+    """
+    cells, bands = cell_index(layers, shape, cell)
+    cells, bands = kept(cells, "cells"), kept(bands, "bands")
+    levels = [r.level for r in cells.select("level").distinct().collect()]  # powers of two: a few dozen at most
+    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    finite = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+    at = points.filter(finite).select(x.alias("_x"), y.alias("_y")).distinct().withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    side = F.lit(cell) * F.pow(F.lit(2.0), "level")
+    met = at.withColumns({"cx": F.floor(F.col("_x") / side), "cy": F.floor(F.col("_y") / side)}).join(cells, ["level", "cx", "cy"])
+    tested = met.filter("not whole").join(bands, ["_f", "level", "cy"]).groupBy("_x", "_y", "_f").agg(F.sum(crossings(F.col("_x"), F.col("_y"), F.col("edges"))).alias("n"))
+    return met.filter("whole").select("_x", "_y", "_f").unionByName(tested.filter("n % 2 = 1").select("_x", "_y", "_f"))
 
 
-def locate(points: DataFrame, polygons: DataFrame, lon: str, lat: str, ring: str, name: str, cell: float, point_id: str) -> DataFrame:
-    """Each point with the smallest ``name`` of the polygons it is in, null if in none.
+def first_layer(points: DataFrame, layers: DataFrame, lon: str, lat: str, shape: str, order: list[str], cell: float) -> DataFrame:
+    """``points`` with the columns ``order`` of the first shape of ``layers`` that each point is in, by these columns; null
+    if it is in none.
 
-    Polygons are listed under the grid cells of their bounding box; points meet them by equality of the cell, so work
-    grows with points, not points times polygons.
+    Null or infinite coordinates are in none.  A null or empty shape, and a ring of under three points, hold nothing; rings
+    that aren't closed are closed.  Rows that repeat keep their number.
     """
-    xs, ys = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
+    found = hits(points, layers.select(F.struct(*order).alias("_f"), F.col(shape).alias("_shape")), lon, lat, "_shape", cell)
+    first = found.groupBy("_x", "_y").agg(F.min("_f").alias("_f"))
+    own = [c for c in points.columns if c not in order]
+    here = (F.col(lon).cast("double") == first["_x"]) & (F.col(lat).cast("double") == first["_y"])
+    return points.join(first, here, "left").select(*own, *[F.col(f"_f.{c}").alias(c) for c in order])
 
-    def cells(v):
-        return F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
 
-    boxes = polygons.select(F.col(name).alias("_name"), F.col(ring).alias("_ring"), F.explode(cells(xs)).alias("_x"), cells(ys).alias("_ys")).select("_name", "_ring", "_x", F.explode("_ys").alias("_y"))
-    at = points.withColumns({"_x": F.floor(F.col(lon) / cell), "_y": F.floor(F.col(lat) / cell)})
-    hit = at.join(boxes, ["_x", "_y"]).filter(inside(F.col(lon), F.col(lat), F.col("_ring"))).groupBy(point_id).agg(F.min("_name").alias(name))
-    return points.join(hit, point_id, "left")
+def locate(points: DataFrame, polygons: DataFrame, lon: str, lat: str, ring: str, name: str, cell: float) -> DataFrame:
+    """Each point with the smallest ``name`` of the polygons (one ring each) that it is in, null if in none."""
+    return first_layer(points, polygons.select(name, F.array(F.array(ring)).alias("_ring")), lon, lat, "_ring", [name], cell)

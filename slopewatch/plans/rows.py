@@ -321,21 +321,6 @@ def ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
     return names.join(scores, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("pos").cast("long").alias("pos"), "c_custkey", "c_name", "score").orderBy("pos")
 
 
-@query(
-    "layer_priority",
-    """
-SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'Alta' WHEN p_retailprice < 950 THEN 'Media-alta' WHEN p_brand = 'Brand#4' THEN 'Media-baja' WHEN p_type = 'SMALL' THEN 'Baja' END AS capa
-FROM part
-""",
-)
-def layer_priority(spark: SparkSession, d: str) -> DataFrame:
-    """The first of four layers, in order of priority, that has the place."""
-    from ..schemas import DENSITY_LAYERS
-
-    hits = [F.col("p_size") <= 5, F.col("p_retailprice") < 950, F.col("p_brand") == "Brand#4", F.col("p_type") == "SMALL"]
-    return table(spark, d, "part").select("p_partkey", F.coalesce(*[F.when(h, label) for h, (_, label) in zip(hits, DENSITY_LAYERS, strict=True)]).alias("capa"))
-
-
 @query(
     "neighbourhood_join",
     "SELECT p_partkey, coalesce(n_name, 'Sin datos') AS nombre, coalesce(n_regionkey, 0) AS score FROM part LEFT JOIN nation ON TRY_CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INTEGER) = n_nationkey WHERE p_type IN ('SMALL', 'LARGE') AND (NOT (p_size > 40) OR p_retailprice > 1000)",

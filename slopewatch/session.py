@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -23,12 +25,28 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see: under spark.checkpoint.dir, a temporary one only where that is
-    unset and all runs on one machine."""
+    unset and all runs on one machine.  It is deleted when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     master = spark.sparkContext.master
     if not base and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='slopewatch-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = (base or f"file://{tempfile.mkdtemp(prefix='slopewatch-')}").rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}-{uuid.uuid4().hex}" if base else folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    atexit.register(_delete, fs, path)
+    return fs.makeQualified(path).toString()
+
+
+def _delete(fs, path) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        fs.delete(path, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table: lineage ends there, and its size is known to what joins it."""
+    path = f"{scratch(df.sparkSession, name)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

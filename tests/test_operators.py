@@ -85,5 +85,5 @@ def test_spatial(spark):
     ring = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0], [0.0, 0.0]]
     polygons = spark.createDataFrame([("b", ring), ("a", ring)], "name string, ring array<array<double>>")
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 1.0), (3, None, 1.0)], "id int, lon double, lat double")
-    got = {r.id: r.name for r in spatial.locate(points, polygons, "lon", "lat", "ring", "name", 0.5, "id").collect()}
+    got = {r.id: r.name for r in spatial.locate(points, polygons, "lon", "lat", "ring", "name", 0.5).collect()}
     assert got == {1: "a", 2: None, 3: None}
