@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import html as markup
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as X
 from ..session import table
+from ..sources import readers
 from .registry import query
 
-NAMES = {"the": "1", "with": "2", "de la": "3", "und": "4", "que": "5"}
+NAMES = {"the": "1", "of the": "1", "with": "2", "de la": "3", "la": "3", "und": "4", "der": "4", "que": "5"}
 ANY = " OR ".join("contains(lower(text), '{}')".format(w) for w in ("shing", "loser", "avec"))
 
 
@@ -67,19 +70,38 @@ def accent_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
 
 
-@query(
-    "alias_match",
-    """
-WITH a(alias, id) AS (VALUES ('the', '1'), ('with', '2'), ('de la', '3'), ('und', '4'), ('que', '5')), t AS (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents),
-m AS (SELECT doc_id, id, t, '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)' AS p FROM t, a WHERE regexp_matches(t, '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)'))
-SELECT doc_id, id, CAST(strpos(t, regexp_extract(t, p)) + length(regexp_extract(t, p, 1)) AS BIGINT) AS position FROM m
-""",
-)
+def places_sql(texts: str, key: str, names: dict[str, str]) -> str:
+    """SQL for the first place of each id of ``names`` in the folded texts ``t`` of ``texts``."""
+    values = ", ".join(f"('{a}', '{i}')" for a, i in names.items())
+    return f"""
+a(alias, id) AS (VALUES {values}), t AS ({texts}),
+m AS (SELECT {key}, id, t, '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)' AS p FROM t, a WHERE contains(t, alias) AND regexp_matches(t, '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)')),
+f AS (SELECT {key}, id, CAST(min(strpos(t, regexp_extract(t, p)) + length(regexp_extract(t, p, 1))) AS BIGINT) AS position FROM m GROUP BY 1, 2)"""
+
+
+@query("alias_match", f"WITH {places_sql('SELECT doc_id, strip_accents(lower(text)) AS t FROM documents', 'doc_id', NAMES)} SELECT doc_id, id, position FROM f")
 def alias_match(spark: SparkSession, d: str) -> DataFrame:
+    """Several spellings of an id count once, where the first of them stands."""
     found = table(spark, d, "documents").select("doc_id", F.explode(X.mentions(F.col("text"), NAMES)).alias("m"))
     return found.select("doc_id", "m.id", "m.position")
 
 
+SPELLINGS = ["El Poblado", "poblado", "LAURELES-ESTADIO", "laureles estadio", "Candelaria", "San  Javier", "san cristóbal", "Doce de Octubre", "belén", "comuna 14", "60", "la américa"]
+QUESTION = f"""
+SELECT c_custkey, strip_accents(lower('Deslizamiento en ' || s[c_custkey % 12 + 1] || ' y ' || s[c_custkey // 3 % 12 + 1] || ', ' || s[c_custkey // 5 % 12 + 1] || CASE c_custkey % 3 WHEN 0 THEN 's' ELSE '?' END)) AS t
+FROM customer, (SELECT [{", ".join(f"'{x}'" for x in SPELLINGS)}] AS s)"""
+
+
+@query("alias_districts", f"WITH {places_sql(QUESTION, 'c_custkey', X.aliases())} SELECT c_custkey, coalesce(string_agg(id, ',' ORDER BY position), '') AS ids FROM customer LEFT JOIN f USING (c_custkey) GROUP BY 1")
+def alias_districts(spark: SparkSession, d: str) -> DataFrame:
+    """The districts that a question names, by all their names, ids and other spellings, in order."""
+    k = F.col("c_custkey")
+    names = F.array(*[F.lit(x) for x in SPELLINGS])
+    one, two, three = (F.get(names, (n % 12).cast("int")) for n in (k, F.floor(k / 3), F.floor(k / 5)))
+    text = F.concat(F.lit("Deslizamiento en "), one, F.lit(" y "), two, F.lit(", "), three, F.when(k % 3 == 0, "s").otherwise("?"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.transform(X.mentions(text, X.aliases()), lambda m: m["id"]), ",").alias("ids"))
+
+
 @query(
     "alias_resolve",
     """
@@ -94,8 +116,8 @@ def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 STRIP = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-for _name, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-    STRIP = f"replace({STRIP}, '{_name}', '{_sign}')"
+for _name, _sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+    STRIP = f"regexp_replace({STRIP}, '&{_name};?', '{_sign}', 'g')"
 
 
 @query("html_strip", f"SELECT page_id, md5(trim(regexp_replace({STRIP}, '\\s+', ' ', 'g'))) AS text FROM pages")
@@ -103,6 +125,20 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(X.strip_html(F.col("html"))).alias("text"))
 
 
+#: Every name of HTML 4, decimal and hexadecimal numbers, and texts that only look like references.
+REFERENCES = [f"&{n};" for n in sorted(markup.entities.name2codepoint)] + ["&#233;", "&#xE9;", "&#X1F600;", "&#128;", "&#0;", "&#x110000;", "&#55296;", "&eacute", "&copy2024", "&ampquot;", "&nosuch;", "&", "&;", "&#;", "& x", "&notit;", "&amp;lt;", "&#39x"]
+READ = ", ".join("'" + markup.unescape(x).replace("'", "''") + "'" for x in REFERENCES)
+
+
+@query("html_references", f"SELECT p_partkey, 'Pág. ' || r[p_partkey % {len(REFERENCES)} + 1] || ' y ' || r[p_partkey // 7 % {len(REFERENCES)} + 1] || '.' AS text FROM part, (SELECT [{READ}] AS r)")
+def html_references(spark: SparkSession, d: str) -> DataFrame:
+    """Character references of all kinds in texts; the expected signs are the standard library's."""
+    k = F.col("p_partkey")
+    known = F.array(*[F.lit(x) for x in REFERENCES])
+    one, other = (F.get(known, (n % len(REFERENCES)).cast("int")) for n in (k, F.floor(k / 7)))
+    return table(spark, d, "part").select("p_partkey", X.unescape(F.concat(F.lit("Pág. "), one, F.lit(" y "), other, F.lit("."))).alias("text"))
+
+
 @query("link_count", "SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href')) AS INTEGER) AS links FROM pages")
 def link_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.count_links(F.col("html")).alias("links"))
@@ -111,13 +147,15 @@ def link_count(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "alert_blocks",
     """
-SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '>([^<>]+)<', 1), lambda x: regexp_matches(x, '(?i)shing|tion'))) AS INTEGER) AS blocks
-FROM pages
+WITH p AS (SELECT page_id, replace(replace(html, 'tion', 'alerta'), 'shing', 'Emergencia') AS h FROM pages),
+b AS (SELECT page_id, list_transform(list_filter(regexp_extract_all(h, '>([^<>]+)<', 1), lambda x: regexp_matches(x, '(?i)alerta|emergencia|desliz')), lambda x: left(trim(x), 500)) AS b FROM p)
+SELECT page_id, CAST(len(b) AS INTEGER) AS blocks, md5(array_to_string(b, '|')) AS said FROM b
 """,
 )
 def alert_blocks(spark: SparkSession, d: str) -> DataFrame:
-    nodes = F.regexp_extract_all("html", F.lit(">([^<>]+)<"), 1)
-    return table(spark, d, "pages").select("page_id", F.size(F.filter(nodes, lambda t: t.rlike("(?i)shing|tion"))).alias("blocks"))
+    """Text nodes of portal pages that speak of an alert."""
+    html = F.replace(F.replace("html", F.lit("tion"), F.lit("alerta")), F.lit("shing"), F.lit("Emergencia"))
+    return table(spark, d, "pages").withColumn("b", readers.alert_blocks(html)).select("page_id", F.size("b").alias("blocks"), F.md5(F.array_join("b", "|")).alias("said"))
 
 
 @query("date_parse_matrix", "SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 6 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS fecha FROM orders")

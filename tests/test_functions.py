@@ -58,8 +58,57 @@ def test_alias_and_mentions(spark):
     assert got == [["16", "10"], [], ["16"], []]
 
 
+def test_mentions_of_districts(spark):
+    texts = ["Deslizamiento en El Poblado y Laureles-Estadio, comuna 14", "poblado, el poblado, 14", "Laureles  Estadio", "laureles estadio y laureles-estadio", "sanjavier san javier", "60 y San Cristóbal", "x14 14x 14", "", None]
+    got = values(spark, texts, lambda c: F.transform(X.mentions(c, X.aliases()), lambda m: F.concat_ws("@", m["id"], m["position"].cast("string"))))
+    assert got == [["14@18", "11@31"], ["14@1"], [], ["11@1"], ["13@11"], ["60@1"], ["14@9"], [], []]
+    odd = values(spark, ["c++ (x) b", "ac++", "b.c b-c"], lambda c: F.transform(X.mentions(c, {"c++": "1", "(x)": "2", "b": "3", "b-c": "4"}), lambda m: m["id"]))
+    assert odd == [["1", "2", "3"], [], ["3", "4"]]
+
+
+def test_mentions_against_a_search_for_each(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    words = ["a", "b", "cc", "d1", "2"]
+    names = {(" " if n % 3 else "-").join(rng.choice(words) for _ in range(rng.randrange(1, 4))): str(n % 7) for n in range(25)}
+    texts = ["".join(rng.choice([*words, " ", " ", "-", ", "]) for _ in range(rng.randrange(0, 40))) for _ in range(200)]
+
+    def search(text):
+        first = {}
+        for alias, i in names.items():
+            m = re.search(rf"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])", text)
+            if m:
+                first[i] = min(first.get(i, (1 << 30, 0)), (m.start() + 1, -len(alias)))
+        return [(p, i) for (p, _), i in sorted((v, i) for i, v in first.items())]
+
+    got = values(spark, texts, lambda c: X.mentions(c, names))
+    assert [[tuple(m) for m in g] for g in got] == [search(t) for t in texts]
+
+
+def test_time_does_not_grow_with_aliases(spark):
+    few = X.mentions(F.col("t"), {"rio": "1", "la loma": "2"})._jc.toString()
+    many = X.mentions(F.col("t"), {f"rio{n} alto": str(n) for n in range(500)})._jc.toString()
+    assert few.count("regexp") >= many.count("regexp")  # no pattern of its own for an alias
+    rows = spark.createDataFrame([("ver rio499 alto y rio12 alto " * 50,)], "t string")
+    assert [m.id for m in rows.select(X.mentions(F.col("t"), {f"rio{n} alto": str(n) for n in range(500)}).alias("m")).first().m] == ["499", "12"]
+
+
+def test_character_references(spark):
+    import html
+
+    texts = [f"a&{n}b" for n in sorted(html.entities.html5)]
+    texts += [f"&#{n};" for n in [0, 1, 8, 9, 10, 11, 12, 13, 14, 31, 32, 127, *range(128, 160), 233, 0xD800, 0xFDD0, 0xFFFE, 0xFFFF, 0x1FFFE, 0x10FFFF, 0x110000, 10**30]]
+    texts += ["&#xe9;x", "&#Xe9", "&#x;", "&#", "&", "a & b", "&&lt;", "&ltx", "&notit;", "&notin;", "&bogus;", "&amp;amp;", "&#00065;", "&#x1F600;&eacute;", "Medell&iacute;n &#233; caf&eacute; &hellip;", ""]
+    got = values(spark, [*texts, None], X.unescape)
+    assert got[-1] is None
+    assert [(t, g) for t, g in zip(texts, got, strict=False) if g != html.unescape(t)] == []
+
+
 def test_html_and_words(spark):
     assert values(spark, ["<p>A&amp;B <b>c</b></p><script>x</script>", "", None], X.strip_html) == ["A&B c", "", None]
+    assert values(spark, ["<p>Medell&iacute;n&nbsp;&#233;</p><p> caf&eacute; &hellip;&lt;b&gt;</p>"], X.strip_html) == ["Medellín é café …<b>"]
     assert values(spark, ["hubo un DERRUMBE", "nada", None], lambda c: X.any_of(F.lower(c), X.LIVE_WORDS)) == [True, False, None]
     assert values(spark, ["No tengo información específica", "claro"], X.refuses) == [True, False]
     assert values(spark, ["a" * 600, " ", None], lambda c: F.length(X.title(c))) == [500, 10, 10]
