@@ -3,7 +3,7 @@ writes what a job would write, and reads that back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -92,8 +92,10 @@ def feed_stations(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     value = F.when(k % 14 == 0, "-999").when(k % 7 == 0, "s/d").otherwise(F.col("s_acctbal").cast("decimal(18,2)").cast("string"))
     one = F.struct(k.cast("string").alias("codigo"), value.alias("valor"), F.lit("6.2").alias("latitud"), F.lit("-75.5").alias("longitud"), F.col("s_nationkey").cast("string").alias("comuna"))
-    doc = table(spark, d, "supplier").agg(F.to_json(F.struct(F.collect_list(one).alias("estaciones"))).alias("value"))
-    return readers.station_snapshot(spark, lines(doc, f"{scratch(spark, 'feed')}/stations")).select("codigo", "valor", "comuna")
+    docs = table(spark, d, "supplier").groupBy(F.floor(k / 500).alias("part")).agg(F.to_json(F.struct(F.collect_list(one).alias("estaciones"))).alias("value"))
+    path = f"{scratch(spark, 'feed')}/stations"
+    docs.write.partitionBy("part").text(path)  # a document for each few hundred stations
+    return readers.station_snapshot(spark, path).select("codigo", "valor", "comuna")
 
 
 @query("feed_history", "SELECT event_type AS station, CAST(date_trunc('second', ts) AS VARCHAR) AS fecha, value AS precip FROM events WHERE event_id % 11 <> 0")
@@ -106,33 +108,37 @@ def feed_history(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("station", F.col("fecha").cast("timestamp_ntz").cast("string").alias("fecha"), "precip")
 
 
-def pages(rows: DataFrame, number, limit: int, folder: str) -> str:
-    """JSON pages of ``limit`` rows; the files are named by their offset.  The pages of a fixture, so few rows."""
-    import json
-    import os
+def numbered(rows: DataFrame, key: str, span: int = 100_000) -> DataFrame:
+    """Adds ``_n``, the row's number by a whole-numbered key from 0: numbered within spans of keys, after the rows of the
+    spans before, so no task sees more than a span."""
+    spans = rows.withColumn("_span", F.floor(F.col(key) / span))
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    base = spans.groupBy("_span").agg(F.count("*").alias("_rows")).select("_span", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))  # a row for each span
+    own = F.row_number().over(Window.partitionBy("_span").orderBy(key)) - 1
+    return spans.withColumn("_own", own).join(base, "_span").withColumn("_n", F.col("_base") + F.col("_own")).drop("_span", "_own", "_base")
 
-    by: dict[int, list] = {}
-    for n, value in rows.select(number, F.to_json(F.struct(*rows.columns))).toLocalIterator():
-        by.setdefault(n // limit, []).append((n, json.loads(value)))
-    os.makedirs(folder, exist_ok=True)
-    for page, own in by.items():
-        with open(f"{folder}/{page * limit}.json", "w", encoding="utf-8") as f:
-            json.dump([v for _, v in sorted(own, key=lambda x: x[0])], f)
-    return f"{folder}/{{offset}}.json"
 
+def pages(rows: DataFrame, key: str, limit: int) -> tuple[str, int]:
+    """Lays out pages of ``limit`` rows in order of the key, a folder for each offset, in the shared folder: the url template
+    of a feed, and the last page's offset."""
+    path = f"{scratch(rows.sparkSession, 'feed')}/pages"
+    paged_ = numbered(rows, key).withColumn("offset", F.floor(F.col("_n") / limit) * limit)
+    paged_.repartition("offset").sortWithinPartitions("offset", "_n").drop("_n").write.partitionBy("offset").json(path)
+    return f"{path}/offset={{offset}}", (rows.count() - 1) // limit * limit
 
-def local_folder(spark: SparkSession) -> str:
-    return scratch(spark, "pages").removeprefix("file://").removeprefix("file:")
+
+def feed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as rows of a feed, in order of their key."""
+    k = F.col("c_custkey")
+    day = F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
+    return table(spark, d, "customer").select(k.alias("codigoestacion"), F.col("c_mktsegment").alias("municipio"), day.alias("fechaobservacion"))
 
 
 @query("feed_paged", "SELECT CAST(c_custkey AS VARCHAR) AS codigoestacion, c_mktsegment AS municipio FROM customer")
 def feed_paged(spark: SparkSession, d: str) -> DataFrame:
     """All pages of a feed up to the short one, several pages a task."""
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("codigoestacion"), F.col("c_mktsegment").alias("municipio"))
-    n = table(spark, d, "customer").agg(F.min("c_custkey")).first()[0]
-    spark.dataSource.register(paged.PagedJson)
-    reader = spark.read.format("paged_json").option("url", pages(rows, F.col("codigoestacion") - n, 500, local_folder(spark))).option("limit", 500).option("cap", 240_000).option("stride", 16)
-    return reader.load().select("codigoestacion", "municipio")
+    url, last = pages(feed_rows(spark, d), "codigoestacion", 500)
+    return paged.feed(spark, url, limit=500, cap=last, stride=4).select("codigoestacion", "municipio")
 
 
 @query(
@@ -147,20 +153,47 @@ def feed_paged_since(spark: SparkSession, d: str) -> DataFrame:
     """The incremental feed: only rows from two days before the newest known one on."""
     known = spark.createDataFrame([("2024-01-28",), ("2024-01-11",)], "day string")
     since = known.agg(F.date_sub(F.max(F.col("day").cast("date")), 2).cast("string")).first()[0]
-    customer = table(spark, d, "customer")
-    rows = customer.select(F.col("c_custkey").alias("codigoestacion"), F.concat(F.lit("2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")).alias("fechaobservacion"))
-    n = customer.agg(F.min("c_custkey")).first()[0]
-    spark.dataSource.register(paged.PagedJson)
-    reader = spark.read.format("paged_json").option("url", pages(rows, F.col("codigoestacion") - n, 500, local_folder(spark))).option("limit", 500).option("cap", 100_000).option("stride", 16)
-    return reader.option("since", since).option("since_column", "fechaobservacion").load().select("codigoestacion", "fechaobservacion")
+    url, last = pages(feed_rows(spark, d), "codigoestacion", 500)
+    return paged.feed(spark, url, limit=500, cap=last, stride=4, since=since, since_column="fechaobservacion").select("codigoestacion", "fechaobservacion")
+
+
+@query(
+    "feed_pushdown",
+    """
+SELECT CAST(c_custkey AS VARCHAR) AS codigoestacion, c_mktsegment AS municipio, '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS fechaobservacion
+FROM customer WHERE c_custkey % 28 + 1 >= 20 AND c_custkey % 28 + 1 < 25 AND c_mktsegment LIKE '%U%' AND c_custkey % 3 = 1
+""",
+)
+def feed_pushdown(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons and patterns go to the feed, what it can't be asked is Spark's: the last test is on a number."""
+    url, last = pages(feed_rows(spark, d), "codigoestacion", 500)
+    rows = paged.feed(spark, url, limit=500, cap=last, stride=4, upper="municipio")
+    day = F.col("fechaobservacion")
+    wanted = rows.filter((day >= "2024-01-20") & (day < "2024-01-25") & F.col("municipio").like("%U%") & (F.col("codigoestacion").cast("long") % 3 == 1))
+    return wanted.select("codigoestacion", "municipio", "fechaobservacion")
+
+
+@query("feed_stream", "SELECT CAST(c_custkey AS VARCHAR) AS codigoestacion, c_mktsegment AS municipio FROM customer")
+def feed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A feed read as a stream that stops after each batch and is started again, until nothing is left; each row arrives
+    once."""
+    limit = 250
+    url, last = pages(feed_rows(spark, d), "codigoestacion", limit)
+    batch = max(2, last // limit // 3)  # so some batches
+    folder = scratch(spark, "stream")
+    while True:
+        rows = paged.stream(spark, url, limit=limit, batch=batch, progress=f"{folder}/progress")
+        q = rows.select("codigoestacion", "municipio").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/table").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if not any(p.numInputRows for p in q.recentProgress):
+            return spark.read.parquet(f"{folder}/table")
 
 
 @query("feed_articles", "SELECT n_nationkey::BIGINT AS id, n_name AS title, '<p>' || n_name || '</p>' AS content FROM nation")
 def feed_articles(spark: SparkSession, d: str) -> DataFrame:
     """A search for two terms whose pages overlap; each article once."""
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.lit("2024-01-01T00:00:00").alias("date"), F.struct(F.col("n_name").alias("rendered")).alias("title"), F.struct(F.concat(F.lit("<p>"), "n_name", F.lit("</p>")).alias("rendered")).alias("content"))
-    first = pages(rows.filter("id < 17"), F.col("id"), 10, local_folder(spark))
-    second = pages(rows.filter("id >= 12"), F.col("id") - 12, 10, local_folder(spark))
+    first, second = (pages(rows.filter(some), "id", 10)[0] for some in ("id < 17", "id >= 12"))
     return readers.article_pages(spark, [first, second], limit=10, pages=5).select("id", "title", "content")
 
 

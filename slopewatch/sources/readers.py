@@ -170,13 +170,11 @@ def remote_first(spark: SparkSession, download, landing: str, local: str, sample
 def article_pages(spark: SparkSession, urls: list[str], limit: int = 100, pages: int = 30, **options: str) -> DataFrame:
     """Articles that a paged search finds for several terms (a url template each), each article once; a page behind the
     last one ends a search."""
-    from .paged import PagedJson
+    from .paged import feed
 
-    spark.dataSource.register(PagedJson)
     found = None
     for url in urls:
-        reader = spark.read.format("paged_json").schema("id string, date string, date_gmt string, title string, content string").options(url=url, limit=str(limit), cap=str(limit * (pages - 1)), **options)
-        one = reader.load()
+        one = feed(spark, url, "id string, date string, date_gmt string, title string, content string", limit=limit, cap=limit * (pages - 1), **options)
         found = one if found is None else found.unionByName(one)
     rows = found.select(F.col("id").try_cast("long").alias("id"), "date", "date_gmt", *[F.get_json_object(c, "$.rendered").alias(c) for c in ("title", "content")])
     return rows.dropDuplicates(["id"])

@@ -128,6 +128,7 @@ def test_paged_source(spark, tmp_path):
         n = 3 if offset < 6 else 1
         (tmp_path / f"{offset}.json").write_text(json.dumps([{"codigoestacion": str(offset + i), "valorobservado": i} for i in range(n)]))
     spark.dataSource.register(paged.PagedJson)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("paged_json").option("url", f"{tmp_path}/{{offset}}.json").option("limit", 3).option("cap", 30)
     rows = reader.load()
     assert rows.count() == 7 and rows.filter("valorobservado = '2'").count() == 2
