@@ -45,6 +45,16 @@ def pipeline(features: list[str], classifier, impute: bool = False) -> Pipeline:
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=features, outputCol="vector", handleInvalid="keep"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True), classifier])
 
 
+def fitted(pipe: Pipeline, rows: DataFrame) -> PipelineModel:
+    """The fitted model without the summaries of its training, which hold on to the session and would be sent to every task
+    with it."""
+    model = pipe.fit(rows)
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
+    return model
+
+
 #: Below so many rows, or rows of a class, rows are left out one by one.
 FEW_ROWS, FEW_OF_A_CLASS = 50, 5
 
@@ -73,12 +83,12 @@ def cross_validated(rows: DataFrame, features: list[str], classifier, k: int = 5
             train = rows.filter(F.col("fold") != i)
             if train.select("label").distinct().count() < 2:
                 continue
-            one = pipeline(features, classifier).fit(train).transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("probability")[1].alias("raw"))
+            one = fitted(pipeline(features, classifier), train).transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("probability")[1].alias("raw"))
             scores = one if scores is None else scores.unionByName(one)
         found = None if scores is None else auc(scores, "label", "raw").first().auc
         return float("nan") if found is None else found
     for i in range(k):
-        model = pipeline(features, classifier).fit(rows.filter(F.col("fold") != i))
+        model = fitted(pipeline(features, classifier), rows.filter(F.col("fold") != i))
         tested = model.transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("rawPrediction")[1].alias("raw"))
         found = auc(tested, "label", "raw").first().auc
         out.append(float("nan") if found is None else found)
@@ -94,7 +104,7 @@ def choose(rows: DataFrame, features: list[str], key: str, names: list[str] | No
     small = ready.count() < 500
     found = {n: cross_validated(ready, features, c, k, pooled) for n, c in candidates(small).items() if names is None or n in names}
     best = max(found, key=lambda n: found[n] if found[n] == found[n] else -1.0)  # the first of equals; a failed one last
-    model = pipeline(features, candidates(small)[best]).fit(ready)
+    model = fitted(pipeline(features, candidates(small)[best]), ready)
     ready.unpersist()
     return best, found, model
 

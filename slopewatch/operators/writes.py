@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.numbers import finite
 from ..schemas import SCHEMAS
+from ..session import scratch
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -92,13 +96,31 @@ def filled(df: DataFrame, column: str, value) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), value))
 
 
-def counted(df: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
-    """The valid rows, and one row of counters: downloaded, valid, discarded.
+def counted(df: DataFrame, valid) -> tuple[DataFrame, Observation]:
+    """The valid rows, and counters of all rows that are read for them: downloaded, valid, discarded.
 
-    The counters are a query of their own that reads only the columns of the test.
+    The counters are taken by the job that writes (or counts) the rows, so the input is read once; they are there when it
+    has ended.
     """
+    seen = Observation()
     ok = F.coalesce(valid, F.lit(False))
-    return df.filter(ok), df.agg(F.count(F.lit(1)).alias("downloaded"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("discarded"))
+    return df.observe(seen, F.count(F.lit(1)).alias("downloaded"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("discarded")).filter(ok), seen
+
+
+def logged(df: DataFrame, valid, source: str, log: str, write: Callable[[DataFrame], None]) -> dict:
+    """Write the valid rows and a row of the log of runs, whether the write works or not: counters and "ok", or no counters,
+    "failed" and why.  The failure is raised again."""
+    started, status, detail, counts = datetime.datetime.now(), "failed", None, {}
+    rows, seen = counted(df, valid)
+    try:
+        write(rows)
+        status, counts = "ok", seen.get
+    except Exception as e:
+        detail = str(e)[:500]
+        raise
+    finally:
+        append(run_row(df.sparkSession, source, status, counts, started, datetime.datetime.now(), detail), log)
+    return counts
 
 
 def quality_row(spark: SparkSession, source: str, day: str, counts: dict, reason: str | None, state: str) -> DataFrame:
@@ -118,10 +140,13 @@ def chunked(df: DataFrame, path: str, rows: int) -> None:
 
 
 def in_parts(df: DataFrame, path: str, key: str, parts: int) -> int:
-    """Append in so many commits of their own, by a hash of the key: what is written stays if a later one fails."""
-    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    """Append in so many commits of their own, by a hash of the key: what is written stays if a later one fails.  The rows
+    are dealt out once, to a written table with a folder for each commit, which the commits read."""
+    dealt = f"{scratch(df.sparkSession, 'parts')}/dealt"
+    df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).write.partitionBy("_part").parquet(dealt)
+    written = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("_part", LongType())])).parquet(dealt)
     for i in range(parts):
-        df.filter(part == i).write.mode("append").parquet(path)
+        written.filter(F.col("_part") == i).select(*df.columns).write.mode("append").parquet(path)
     return parts
 
 

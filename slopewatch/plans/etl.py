@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import categories as C
 from ..functions.numbers import risk_index
 from ..operators import writes
+from ..operators.jobs import Folder, Job
 from ..operators.latest import latest_one
 from ..operators.stats import normalised, spearman
 
@@ -79,12 +80,14 @@ def rain_alerts(rain: DataFrame, communes: DataFrame, now) -> DataFrame:
     return out.select("commune_id", "a.nivel", "a.precipitacion_valor", "a.tipo_umbral", now.cast("string").alias("timestamp")).orderBy(C.severity(F.col("nivel")), "commune_id")
 
 
-def run(spark: SparkSession, events: DataFrame, rain: DataFrame, polygons: DataFrame, names: DataFrame, folder: str, now) -> dict[str, str]:
-    """The whole job; tables are Parquet folders.  Communes are upserted, the others appended, each in one commit."""
-    paths = {t: f"{folder}/{t}" for t in ("events", "precipitation", "communes", "alerts")}
-    writes.append(writes.conformed(writes.null_not_finite(events), "events"), paths["events"])
-    writes.append(writes.conformed(writes.null_not_finite(rain), "precipitation"), paths["precipitation"])
-    table = risk_table(events, rain, polygons).join(names.select("commune_id", "nombre_comuna"), "commune_id", "left").withColumn("nombre_comuna", F.coalesce("nombre_comuna", F.concat(F.lit("Comuna "), F.col("commune_id"))))
-    writes.rewrite(spark, writes.conformed(writes.null_not_finite(table), "communes"), paths["communes"], ["commune_id"])
-    writes.append(rain_alerts(rain, spark.read.parquet(paths["communes"]), now), paths["alerts"])
-    return paths
+def run(spark: SparkSession, events: DataFrame, rain: DataFrame, polygons: DataFrame, names: DataFrame, folder: str, now, job: str) -> Folder:
+    """The whole job: communes are upserted, the other tables appended, all seen at once or not at all.  A job whose name
+    has been committed isn't done again."""
+    tables = Folder(spark, folder)
+    with Job(tables, job) as j:
+        j.append("events", writes.conformed(writes.null_not_finite(events), "events"))
+        j.append("precipitation", writes.conformed(writes.null_not_finite(rain), "precipitation"))
+        table = risk_table(events, rain, polygons).join(names.select("commune_id", "nombre_comuna"), "commune_id", "left").withColumn("nombre_comuna", F.coalesce("nombre_comuna", F.concat(F.lit("Comuna "), F.col("commune_id"))))
+        j.upsert("communes", writes.conformed(writes.null_not_finite(table), "communes"), ["commune_id"])
+        j.append("alerts", rain_alerts(rain, j.read("communes"), now))
+    return tables

@@ -3,6 +3,8 @@ writes what a job would write, and reads that back."""
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import dates as D
 from ..functions.numbers import money
 from ..ml import training as T
 from ..operators import writes
+from ..operators.jobs import Folder, Job
 from ..sources import paged, readers, samples
 from ..session import scratch, table
 from .registry import query
@@ -246,23 +249,63 @@ def sink_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("sink_buckets", "SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer")
+def sink_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Upserts into a table of buckets: only those that new rows fall into are written anew."""
+    tables = Folder(spark, scratch(spark, "sink"))
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    with Job(tables, "all") as job:
+        job.upsert("segments", rows, ["c_custkey"], 16)
+    with Job(tables, "some") as job:
+        job.upsert("segments", rows.filter("c_custkey % 97 = 0").withColumn("segment", F.lit("new")), ["c_custkey"])
+    return tables.read("segments")
+
+
+@query(
+    "sink_job",
+    """
+SELECT 'orders' AS kind, o_orderkey AS id, o_orderkey % 5 AS part FROM orders WHERE o_orderkey % 5 IN (0, 1)
+UNION ALL SELECT 'customers', c_custkey, 0 FROM customer
+""",
+)
+def sink_job(spark: SparkSession, d: str) -> DataFrame:
+    """Three jobs over two tables: one, one that breaks off between its tables, and that one again, twice.  What broke off
+    is never seen, and what was started again is there once."""
+    tables = Folder(spark, scratch(spark, "sink"))
+    orders = table(spark, d, "orders").select(F.lit("orders").alias("kind"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).alias("part"))
+    customers = table(spark, d, "customer").select(F.lit("customers").alias("kind"), F.col("c_custkey").alias("id"), F.lit(0).cast("long").alias("part"))
+
+    def run(part: int, fails: bool = False) -> None:
+        with Job(tables, f"part {part}") as job:
+            job.append("orders", orders.filter(F.col("part") == part))
+            if fails:
+                raise RuntimeError("the second table can't be written")
+            job.replace("customers", customers)
+
+    run(0)
+    with contextlib.suppress(RuntimeError):
+        run(1, fails=True)
+    run(1)
+    run(1)
+    return tables.read("orders").unionByName(tables.read("customers"))
+
+
 @query(
     "sink_logs",
     """
 SELECT 'events' AS source, 'ok' AS status, count(*)::INTEGER AS records_downloaded, count(*) FILTER (WHERE value > 100)::INTEGER AS records_valid,
   count(*) FILTER (WHERE NOT value > 100)::INTEGER AS records_discarded, 'parcial' AS estado
 FROM events
+UNION ALL SELECT 'events', 'failed', 0, 0, 0, 'parcial'
 """,
 )
 def sink_logs(spark: SparkSession, d: str) -> DataFrame:
-    """The row of the log of runs, and the one about the quality of the data."""
-    import datetime
-
+    """The log of two runs, one of which fails, with counters that the writing job has taken, and the row about the quality of the data."""
     folder = scratch(spark, "sink")
-    _, counters = writes.counted(table(spark, d, "events"), F.col("value") > 100)
-    counts = counters.first().asDict()
-    now = datetime.datetime(2024, 1, 31)
-    writes.append(writes.run_row(spark, "events", "ok", counts, now, now), f"{folder}/runs")
+    valid = F.col("value") > 100
+    counts = writes.logged(table(spark, d, "events"), valid, "events", f"{folder}/runs", lambda rows: writes.append(rows, f"{folder}/events"))
+    with contextlib.suppress(Exception):  # the folder is there already
+        writes.logged(table(spark, d, "events"), valid, "events", f"{folder}/runs", lambda rows: rows.write.mode("error").parquet(f"{folder}/events"))
     writes.append(writes.quality_row(spark, "events", "2024-01-31", counts, "value", "parcial"), f"{folder}/quality")
     quality = spark.read.parquet(f"{folder}/quality").select(F.col("fuente").alias("source"), "estado")
     return spark.read.parquet(f"{folder}/runs").select("source", "status", "records_downloaded", "records_valid", "records_discarded").join(quality, "source")
@@ -380,8 +423,8 @@ def batch_communes(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("commune_id"), F.col("n_name").alias("nombre_comuna"))
     folder = scratch(spark, "job")
     for day in ("2024-01-01", "2024-01-02"):
-        paths = run(spark, events, rain, polygons, names, folder, F.lit(day))
-    return spark.read.parquet(paths["communes"]).select("commune_id", "nombre_comuna", "n_eventos", "pendiente_promedio", "is_zona_ladera", "indice_parcial")
+        tables = run(spark, events, rain, polygons, names, folder, F.lit(day), day)
+    return tables.read("communes").select("commune_id", "nombre_comuna", "n_eventos", "pendiente_promedio", "is_zona_ladera", "indice_parcial")
 
 
 @query(

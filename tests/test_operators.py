@@ -75,8 +75,9 @@ def test_writes(spark, tmp_path):
     writes.replace(old, path)
     assert spark.read.parquet(path).count() == 2
     rows, seen = writes.counted(spark.createDataFrame([(1.0,), (-1.0,), (None,)], "v double"), F.col("v") >= 0)
-    counts = seen.first().asDict()
-    assert rows.count() == 1 and counts == {"downloaded": 3, "valid": 1, "discarded": 2}
+    assert rows.count() == 1
+    counts = seen.get
+    assert counts == {"downloaded": 3, "valid": 1, "discarded": 2}
     assert writes.quality_row(spark, "rain", "2024-01-01", counts, None, "ok").first().registros_validos == 1
     assert writes.null_not_finite(spark.createDataFrame([(float("nan"), 1)], "x double, n int")).first().x is None
 

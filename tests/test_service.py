@@ -68,14 +68,15 @@ def test_batch_job(spark, tmp_path):
     events = rows(spark, "events", [{"commune_id": "1", "fecha": d} for i, d in enumerate(day) for _ in range(i + 1)] + [{"commune_id": "2", "fecha": day[0]}, {"commune_id": "zz", "fecha": day[0]}])
     rain = rows(spark, "precipitation", [{"fecha": d, "estacion": "Popular alto", "precipitacion_mm": float(5 * i), "precipitacion_acum_3d": 100.01 if i == 11 else 1.0, "precipitacion_acum_7d": 1.0} for i, d in enumerate(day)])
     polygons = spark.createDataFrame([("1", 20.0, True, "g"), ("2", None, False, "g"), ("60", 10.0, False, "g"), ("60", 10.0, False, "g")], "commune_id string, pendiente_promedio double, is_zona_ladera boolean, geometry string")
-    paths = etl.run(spark, events, rain, polygons, districts(spark), str(tmp_path), F.lit("2024-01-12"))
-    etl_rows = {r.commune_id: r for r in spark.read.parquet(paths["communes"]).collect()}
+    tables = etl.run(spark, events, rain, polygons, districts(spark), str(tmp_path), F.lit("2024-01-12"), "first")
+    etl_rows = {r.commune_id: r for r in tables.read("communes").collect()}
     assert set(etl_rows) == {"1", "2", "60"} and etl_rows["1"].indice_riesgo == 0.8 and etl_rows["2"].indice_parcial
     assert etl_rows["1"].correlacion_diaria == 1.0 and etl_rows["1"].correlacion_7d is None and etl_rows["2"].correlacion_diaria is None
-    alerts = spark.read.parquet(paths["alerts"]).collect()
+    alerts = tables.read("alerts").collect()
     assert sorted((r.commune_id, r.nivel, r.precipitacion_valor) for r in alerts) == [("1", "Naranja", 55.0), ("1", "Rojo", 100.01)]
-    etl.run(spark, events, rain, polygons, districts(spark), str(tmp_path), F.lit("2024-01-13"))
-    assert spark.read.parquet(paths["communes"]).count() == 3 and spark.read.parquet(paths["events"]).count() == 2 * events.count()
+    for job in ("second", "second"):  # a job that is started again changes nothing
+        tables = etl.run(spark, events, rain, polygons, districts(spark), str(tmp_path), F.lit("2024-01-13"), job)
+        assert tables.read("communes").count() == 3 and tables.read("events").count() == 2 * events.count()
 
 
 def test_small_writes(spark, tmp_path):
