@@ -4,10 +4,11 @@ A sketch keeps every shingle hash below a fixed fraction of the hash range and n
 the union of the sketches, whatever their sizes: sketches merge, and their overlap estimates similarity and containment
 even between texts of very unequal length.
 
-A short text may have few hashes there, or none.  Its fingerprint, not its sketch, is therefore filled up with its smallest
-hashes until it has ``FEWEST``.  Two fingerprints are compared up to the smaller of the limits below which each is
-complete: exactly where both texts have fewer than FEWEST shingles, else by FEWEST hashes of the union at least, so the
-standard deviation of a likeness is 0.5 / sqrt(FEWEST) = 0.0625 at most.
+Two fingerprints are compared by their sketches as soon as either text has ``FEWEST`` hashes there: about 200 shingles.
+Shorter texts have few hashes below the threshold, or none, so a fingerprint carries a fallback beside the sketch: the next
+smallest hashes, until it has FEWEST.  Two short texts are compared up to the smaller of the limits below which each
+fingerprint is complete: exactly where both have fewer than FEWEST shingles, else by FEWEST hashes of the union at least.  So
+the standard deviation of a likeness is 0.5 / sqrt(FEWEST) = 0.0625 at most, either way.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The fraction of the hash range that a sketch keeps, and the hashes that a fingerprint has at least (if the text has).
-FRACTION, FEWEST = 1 / 64, 64
+FRACTION, FEWEST = 5 / 16, 64
 TOP = 2**63 - 1
 
 

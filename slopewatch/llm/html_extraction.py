@@ -3,10 +3,11 @@
 Pages of a host are printed from a few templates.  A page's outermost article and main elements, or its body, are its
 slots; pages of a host with the same slots are a layout group.  A page gives its tokens: containers, told apart by the
 path of containers around them, and pieces of text in them.  The occurrence vector of a token says how often it is in
-each page of the group; tokens with equal vectors form an equivalence class.  Vectors are never gathered: each token sums
-up a hash of (page, count), with partial aggregation, so equal sums mean equal vectors and a host of any size costs one
-row for each token.  Classes of enough pages and members are valid; a text of a valid class is the template's and left out if
-it nests in the template: its container is of a valid class too, or equally often in all pages that have it.  Tags and names of menus, footers, adverts or comments are a help beside this: what they
+each page of the group; tokens with equal vectors form an equivalence class.  Vectors are never gathered: each token adds
+up hashes of (page, count) bit by bit, each page once, with partial aggregation, so equal sums mean equal vectors and a host of any size costs one
+row for each token.  Classes of enough pages and members are valid, unless their texts are most of the text of the pages that
+have them, all taken together: those pages are copies of an article.  A text of a valid class is the template's and left out
+if it nests in the template: its container is of a valid class too, or equally often in all pages that have it.  Tags and names of menus, footers, adverts or comments are a help beside this: what they
 mark is left out too, unless it holds the page's main element or most of the text of the page or of the host's pages.
 """
 
@@ -47,7 +48,7 @@ OTHER = frozenset(
     "signup login search searchbox copyright legal disclaimer pager pagination skip toolbar contentinfo complementary alert hidden".split()
 )
 BESIDE = frozenset("site global top bottom left right primary secondary main slot box container wrapper wrap block area bar list links link section unit posts articles stories".split())
-#: Share of the text that a named wrapper must hold for its name not to count.
+#: Share of the text that a named wrapper must hold for its name not to count, and a class for its pages to be copies.
 MOST = 0.5
 
 
@@ -313,7 +314,7 @@ def profile(host: int, page: str):
     found = list(events(page))
     off = silenced(found)
     site = layout(host, outline(found, off), found)
-    count, chars, up, total = Counter(), Counter(), {}, 0
+    count, chars, length, up, total = Counter(), Counter(), Counter(), {}, 0
 
     def closed(x: Open) -> None:
         if x.named and not x.silent:
@@ -333,11 +334,12 @@ def profile(host: int, page: str):
             walk.text(n)
             key = token(walk.top.path, text)
             count[key, TEXT] += 1
+            length[key] += n
             up[key] = walk.top.path
     walk.finish()
     yield site, 0, 0, PAGE, 1, 0, 0
     for (key, what), n in count.items():
-        yield site, key, up[key], what, n, 0, 0
+        yield site, key, up[key], what, n, length[key] if what == TEXT else 0, total
     for key, n in chars.items():
         yield host, key, key, NAME, 1, n, total
 
@@ -365,7 +367,9 @@ def templates(pages: DataFrame, ws: Workspace, support: float = SUPPORT) -> tupl
     loud = vectors.filter((F.col("kind") == NAME) & (F.col("total") > 0) & (F.col("chars") >= MOST * F.col("total"))).groupBy("site").agg(F.collect_list("token").alias("loud")).withColumnRenamed("site", "host")
     number = vectors.filter(F.col("kind") == PAGE).select("site", F.col("pages").alias("all"))
     frequent = vectors.filter(F.col("kind").isin(CONTAINER, TEXT)).join(number, "site").filter(F.col("pages") >= support * F.col("all"))
-    classes = frequent.groupBy("site", "vector").agg(F.collect_list(F.struct("token", "kind", "container")).alias("of")).filter(F.size("of") >= MEMBERS)
+    # tokens of a class have the same pages, so the same text around them
+    classes = frequent.groupBy("site", "vector").agg(F.collect_list(F.struct("token", "kind", "container")).alias("of"), F.sum("chars").alias("own"), F.max("total").alias("text"))
+    classes = classes.filter((F.size("of") >= MEMBERS) & (F.col("own") <= MOST * F.col("text")))
     valid = ws.table(classes.select("site", F.explode("of").alias("t")).select("site", "t.*"), "valid")
     # a class nests where the containers of its texts are of valid classes too, or are equally often in all pages that
     # have them
@@ -388,14 +392,13 @@ def sites(host: pa.Array, page: pa.Array) -> pa.Array:
 def extract(page: str, loud: frozenset[int] = frozenset(), template: frozenset[int] = frozenset()) -> str:
     """Text of the page's slots, or of its whole body where it has none; blocks on lines of their own.
 
-    Template text is left out, unless it is most of the text: such pages are copies of an article.
+    Template text is left out, unless nothing else is in the slots.
     """
     found = list(events(page))
     off = silenced(found, loud)
     slots = outline(found, off)  # a slot's containers carry its path
     for drop in (template, frozenset()) if template else (frozenset(),):
         walk, blocks, held = Walk(off), [], []
-        left = gone = 0
 
         def close(held=held, blocks=blocks):
             if held:
@@ -417,15 +420,10 @@ def extract(page: str, loud: frozenset[int] = frozenset(), template: frozenset[i
                     close()
                 walk.end(name)
             elif not walk.silent and (not slots or (walk.stack and walk.top.slot in slots)):
-                n = len(text.strip())
-                if n and drop and walk.stack and token(walk.top.path, text) in drop:
-                    gone += n
-                    held.append(" ")
-                else:
-                    left += n
-                    held.append(text)
+                dropped = drop and walk.stack and text.strip() and token(walk.top.path, text) in drop
+                held.append(" " if dropped else text)
         close()
-        if gone <= left:
+        if blocks:
             break
     return "\n".join(blocks)
 
@@ -440,19 +438,27 @@ def _extract(batches):
         yield batch(schema, page_id=part.column(0), url=part.column(1), text=texts, n_chars=[len(x) for x in texts])
 
 
+def distinct(pages: DataFrame) -> DataFrame:
+    """(host, page, html) with each page once; only pages that repeat are shuffled."""
+    again = pages.groupBy("page").count().filter("count > 1").select("page")
+    if again.isEmpty():
+        return pages
+    return pages.join(again, "page", "left_anti").unionByName(pages.join(again, "page", "left_semi").dropDuplicates(["page"])).select("host", "page", "html")
+
+
 def extract_pages(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """Main text of every row of (page_id, url, html): page_id, url, text, n_chars.
 
     Character references are decoded, white space within a block is one space, blocks follow each other in page order
     on lines of their own.  A null or empty page gives an empty text, a null url counts as the host ''.  Repeated rows
-    give repeated rows; other columns are ignored.
+    give repeated rows and count once for the template; other columns are ignored.
     """
     ws = Workspace(pages.sparkSession, "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     rows = rows.withColumn("host", F.xxhash64("host"))
     # written, so that their size is known: Spark broadcasts them if they are small, else joins and splits hot hosts
-    loud, texts = templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html"), ws, support)
+    loud, texts = templates(distinct(rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")), ws, support)
     out = rows.withColumn("site", F.arrow_udf(sites, "long")("host", "html")).join(loud, "host", "left").join(texts, "site", "left")
     return out.select("page_id", "url", "html", "loud", "texts").mapInArrow(_extract, OUT)
 

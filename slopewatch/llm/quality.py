@@ -302,12 +302,17 @@ def newly_labelled(unlabelled: DataFrame, models: dict, share: dict[str, float],
 
 
 def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, labelled: int = LABELLED) -> Model:
-    """Fit on at most ``labelled`` labelled rows, those with the smallest hash of their id, and all unlabelled ones."""
+    """Fit on at most ``labelled`` labelled rows, those with the smallest hash of their id, and all unlabelled ones.
+
+    The bound is on rows: equal rows count once, and an id with more rows than that doesn't bring them all."""
     keep = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     y = keep.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
     ids = docs.select("doc_id").distinct()
     chosen = ws.table(y.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "chosen")
-    sample = ws.table(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "low", "toxic").mapInArrow(describe, SAMPLE), "sample")
+    theirs = docs.join(F.broadcast(chosen), "doc_id").withColumn("row", F.xxhash64("text", "lang", "source", "n_chars"))
+    drawn = ws.table(theirs.select("doc_id", "row").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(labelled), "drawn")
+    theirs = theirs.join(F.broadcast(drawn), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    sample = ws.table(theirs.select("doc_id", "text", "lang", "source", "n_chars", "low", "toxic").mapInArrow(describe, SAMPLE), "sample")
     total = sample.agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).collect()[0]
     n = max(1, total.n)
     counts = sample.select("low", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS])

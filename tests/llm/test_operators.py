@@ -381,6 +381,15 @@ def test_fingerprints(spark):
     assert all(len(f) == 1 for f in seen.values()) and len({f for v in seen.values() for f in v}) >= len(seen) - 3
 
 
+def test_most_fingerprints_are_compared_by_their_sketches(spark, data):
+    from pyspark.sql import functions as F
+
+    rows = fingerprints.fingerprint_documents(spark.read.parquet(f"{data}/documents.parquet"))
+    shares = rows.agg(F.avg((F.size("sketch") >= fingerprints.FEWEST).cast("int")).alias("sketched"), F.avg((F.size("hashes") < fingerprints.FEWEST).cast("int")).alias("whole")).first()
+    assert shares.sketched > 0.5 and shares.whole < 0.2
+    assert rows.filter(~F.expr("slice(hashes, 1, size(sketch)) = sketch")).count() == 0
+
+
 def test_fingerprints_follow_each_other(spark):
     """Rows without an id and rows that repeat one: each row is the next of exactly one other."""
     rng = random.Random(6)
@@ -473,6 +482,64 @@ def test_html_template_text(spark):
     assert all(copies[0][1] in got[9 + i] for i in range(3))  # copies of an article keep it
 
 
+def boxed(i, words):
+    """A page of six boxes without names beside an article of so many words."""
+    own = " ".join(f"w{chr(97 + i)}{chr(97 + j % 26)}{j}" for j in range(words))
+    boxes = "".join(f"<div><p>Box number {k} says the same on every page</p></div>" for k in range(6))
+    return f"<html><body><div><div>{boxes}</div><div><p>{own}</p></div></div></body></html>", own
+
+
+def test_html_short_articles_lose_the_boxes_too(spark):
+    made = [boxed(i, 400 if i < 8 else 12) for i in range(10)]
+    rows = [(i, "http://t.org/", x) for i, (x, _) in enumerate(made)]
+    for table in (rows, rows + rows, rows * 3):  # pages that repeat count once
+        found = html_extraction.extract_pages(spark.createDataFrame(table, "page_id long, url string, html string")).collect()
+        assert len(found) == len(table) and {(r.page_id, r.text) for r in found} == {(i, own) for i, (_, own) in enumerate(made)}
+    # copies of one article are no template, and two pages aren't enough for one, however often they repeat
+    copies = [(i, "http://u.org/", boxed(1, 400)[0] + f"<p>{i}</p>") for i in range(6)]
+    assert all(boxed(1, 400)[1] in r.text for r in html_extraction.extract_pages(spark.createDataFrame(copies, "page_id long, url string, html string")).collect())
+    two = [(i, "http://v.org/", boxed(i, 400)[0]) for i in range(2)] * 4
+    assert all("Box number 1" in r.text for r in html_extraction.extract_pages(spark.createDataFrame(two, "page_id long, url string, html string")).collect())
+
+
+def test_html_classes_against_gathered_vectors(spark, data):
+    """The template's texts of every layout group, from occurrence vectors gathered in plain Python."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/pages.parquet").withColumn("host", F.xxhash64(F.regexp_extract("url", "//([^/]*)", 1))).select("host", F.col("page_id").alias("page"), "html")
+    more = spark.createDataFrame([(5, 10_000 + i, boxed(i, 300)[0]) for i in range(9)], "host long, page long, html string")
+    pages = pages.unionByName(more)
+    ws = html_extraction.Workspace(spark, "test")
+    got = {r.site: set(r.texts) for r in html_extraction.templates(pages, ws)[1].collect()}
+    members, vectors = collections.Counter(), collections.defaultdict(dict)
+    about = {}
+    for host, page, html in pages.collect():
+        for site, token, container, kind, n, chars, total in html_extraction.profile(host, html or ""):
+            if kind == html_extraction.PAGE:
+                members[site] += 1
+            elif kind != html_extraction.NAME:
+                vectors[site, kind, token][page] = (n, chars, total)
+                about[site, kind, token] = container
+    frequent = {k: v for k, v in vectors.items() if len(v) >= max(html_extraction.LEAST, html_extraction.SUPPORT * members[k[0]]) and members[k[0]] >= html_extraction.LEAST}
+    classes = collections.defaultdict(list)
+    for (site, kind, token), v in frequent.items():
+        classes[site, tuple(sorted((p, n) for p, (n, _, _) in v.items()))].append((kind, token))
+    valid = collections.defaultdict(set)
+    for (site, _), own in classes.items():
+        chars = sum(c for kind, token in own for _, c, _ in vectors[site, kind, token].values())
+        text = sum(t for _, _, t in vectors[(site, *own[0])].values())
+        if len(own) >= html_extraction.MEMBERS and chars <= html_extraction.MOST * text:
+            valid[site].update(own)
+    want = {}
+    for site, own in valid.items():
+        regular = {token for (s, kind, token), v in frequent.items() if s == site and kind == html_extraction.CONTAINER and len({n for n, _, _ in v.values()}) == 1}
+        frame = regular | {token for kind, token in own if kind == html_extraction.CONTAINER}
+        texts = {token for kind, token in own if kind == html_extraction.TEXT and about[site, kind, token] in frame}
+        if texts:
+            want[site] = texts
+    assert got == want and want
+
+
 def test_warc(spark):
     big = "é" * 600
     pages = [(1, "http://a.org/x?b#c", big), (2, "http://www.a.org/y", big), (3, "http://b.org", "small"), (4, "http://b.org", "small"), (5, None, None), (2, "http://www.a.org/y", big), (None, "bad url\r\n", big)]
@@ -579,6 +646,24 @@ def test_quality(spark):
     assert all(r.kept for r in quality.classify(docs, answers.limit(0)).collect())
 
 
+def test_quality_sample_is_bounded_by_rows(spark):
+    from slopewatch.llm.common import Workspace
+
+    class Seen(Workspace):
+        def table(self, df, name):
+            out = super().table(df, name)
+            if name == "sample":
+                self.sampled = out.count()
+            return out
+
+    docs = spark.range(20_000).selectExpr("if(id < 19000, 7, id) doc_id", "if(id % 2 = 0, concat('some words number ', id), 'the same words') text", "'en' lang", "'s' source", "20L n_chars")
+    labels = spark.range(20_000).selectExpr("id doc_id", "int(id % 3 > 0) quality", "0 toxic")
+    for most, n in ((200, 200), (100_000, 9_501 + 1_000)):  # equal rows of an id count once
+        ws = Seen(spark, "test")
+        quality.fit(docs, labels, ws, most)
+        assert ws.sampled == n
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
