@@ -1,11 +1,13 @@
 """Risk classification with Spark ML: matrix, folds, candidates, choice, scoring.
 
-Scaling is part of the pipeline and classes are weighted rather than resampled, so nothing of a fold's test rows is seen
-in its training.
+Scaling is part of the pipeline, and classes are weighted, or resampled within a fold's training rows, so nothing of a
+fold's test rows is seen in its training.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -73,9 +75,17 @@ def split(rows: DataFrame, key: str, k: int = 5) -> tuple[DataFrame, int, bool]:
     return folds(rows, key, k), k, False
 
 
-def cross_validated(rows: DataFrame, features: list[str], classifier, k: int = 5, pooled: bool = False) -> float:
+Resampling = Callable[[DataFrame], DataFrame]
+
+
+def resampled(train: DataFrame, resample: Resampling | None) -> DataFrame:
+    """Rows to train on: as they are, or resampled and of equal weight."""
+    return train if resample is None else resample(train).withColumn("weight", F.lit(1.0))
+
+
+def cross_validated(rows: DataFrame, features: list[str], classifier, k: int = 5, pooled: bool = False, resample: Resampling | None = None) -> float:
     """Mean area under the ROC curve over the folds; ``pooled``: the area over all rows, each scored by the model that
-    hasn't seen it."""
+    hasn't seen it.  ``resample`` makes new rows from a fold's training rows only, so none is tested on."""
     out = []
     if pooled:
         scores = None
@@ -83,28 +93,31 @@ def cross_validated(rows: DataFrame, features: list[str], classifier, k: int = 5
             train = rows.filter(F.col("fold") != i)
             if train.select("label").distinct().count() < 2:
                 continue
-            one = fitted(pipeline(features, classifier), train).transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("probability")[1].alias("raw"))
+            one = fitted(pipeline(features, classifier), resampled(train, resample)).transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("probability")[1].alias("raw"))
             scores = one if scores is None else scores.unionByName(one)
         found = None if scores is None else auc(scores, "label", "raw").first().auc
         return float("nan") if found is None else found
     for i in range(k):
-        model = fitted(pipeline(features, classifier), rows.filter(F.col("fold") != i))
+        model = fitted(pipeline(features, classifier), resampled(rows.filter(F.col("fold") != i), resample))
         tested = model.transform(rows.filter(F.col("fold") == i)).select("label", vector_to_array("rawPrediction")[1].alias("raw"))
         found = auc(tested, "label", "raw").first().auc
         out.append(float("nan") if found is None else found)
     return sum(out) / len(out)
 
 
-def choose(rows: DataFrame, features: list[str], key: str, names: list[str] | None = None, k: int = 5) -> tuple[str, dict[str, float], PipelineModel | None]:
-    """The candidate with the best mean area (the first of equals) fitted on all rows; none for a single class."""
+def choose(rows: DataFrame, features: list[str], key: str, names: list[str] | None = None, k: int = 5, resample: Resampling | None = None) -> tuple[str, dict[str, float], PipelineModel | None]:
+    """The candidate with the best mean area (the first of equals) fitted on all rows; none for a single class.
+
+    Rows without a label take no part.  Classes are weighted, or resampled by ``resample`` instead."""
+    rows = rows.filter("label is not null")
     if rows.select("label").distinct().count() < 2:
         return "null", {}, None
     ready, k, pooled = split(weighted(rows), key, k)
     ready = ready.cache()
     small = ready.count() < 500
-    found = {n: cross_validated(ready, features, c, k, pooled) for n, c in candidates(small).items() if names is None or n in names}
+    found = {n: cross_validated(ready, features, c, k, pooled, resample) for n, c in candidates(small).items() if names is None or n in names}
     best = max(found, key=lambda n: found[n] if found[n] == found[n] else -1.0)  # the first of equals; a failed one last
-    model = fitted(pipeline(features, candidates(small)[best]), ready)
+    model = fitted(pipeline(features, candidates(small)[best]), resampled(ready, resample))
     ready.unpersist()
     return best, found, model
 
@@ -151,24 +164,3 @@ def predictions(spark: SparkSession, model: PipelineModel | None, latest: DataFr
 def report(scores: DataFrame, label: str = "label", score: str = "risk_score") -> DataFrame:
     """Area under the curve with the measures at 0.3 and 0.5."""
     return confusion(scores, label, score, [0.3, 0.5]).crossJoin(F.broadcast(auc(scores, label, score)))  # one row
-
-
-def oversampled(rows: DataFrame, features: list[str], key: str, times: int, seed: int = 42) -> DataFrame:
-    """Synthetic rows between a row of the rare class and another one of it: each rare row is joined with the next ones
-    by hash order within buckets, and a point between the two is drawn.  An alternative to weights."""
-    rare = rows.filter("label = 1")
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(8))
-    w = Window.partitionBy(bucket).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    made = rare
-    parts = []
-    for i in range(1, times + 1):
-        u = F.pmod(F.xxhash64(F.lit(seed + i), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
-        other = {f"_{c}": F.coalesce(F.lead(c, i).over(w), F.first(c).over(w)) for c in features}
-        one = made.withColumns(other).select("label", F.concat(F.col(key).cast("string"), F.lit(f"+{i}")).alias(key), *[(F.col(c) + u * (F.col(f"_{c}") - F.col(c))).alias(c) for c in features])
-        parts.append(one)
-    out = rows.select("label", F.col(key).cast("string").alias(key), *features)
-    for one in parts:
-        out = out.unionByName(one)
-    return out
-
-

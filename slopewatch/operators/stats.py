@@ -15,18 +15,36 @@ def normalised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return out.withColumns({name: min_max(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c, name in columns.items()}).select(*df.columns, *columns.values())
 
 
-def average_rank(key: str, value: str):
-    """Rank within the key; ties share their mean rank."""
-    w = Window.partitionBy(key)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(key, value)) - 1) / 2
+def ranks(df: DataFrame, key: str, value: str, buckets: int = 4096) -> DataFrame:
+    """(key, value, rank): the rank of each value within its key, equal ones sharing their mean rank; nulls have none.
+
+    Values are counted first, so equal ones are one row.  A key's values are dealt out to ranges between its least and
+    greatest; a range begins after the rows of those before, and only a range is ranked value by value, so no task sees all
+    values of a key.  Infinities are ranges of their own, and NaN comes after all numbers.
+    """
+    x = F.col("_v").cast("double")
+    by = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    finite = F.when(F.abs(x) < float("inf"), x)
+    bounds = by.groupBy(F.col(key).alias("_key")).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    inner = F.coalesce(F.floor(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets), F.lit(0))
+    part = F.when(F.isnan(x), buckets + 2).when(x == float("inf"), buckets + 1).when(x == float("-inf"), -1).otherwise(inner)
+    by = by.join(bounds, F.col(key).eqNullSafe(F.col("_key"))).select(key, "_v", "_n", part.cast("long").alias("_part"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    sizes = by.groupBy(key, "_part").agg(F.sum("_n").alias("_size")).select(F.col(key).alias("_key"), F.col("_part").alias("_range"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = by.withColumn("_before", before).join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_range")))
+    return placed.select(key, F.col("_v").alias(value), (F.col("_base") + F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, key: str, x: str, y: str, least: int = 10, places: int = 6) -> DataFrame:
     """(key, n, rho): rank correlation of x and y within each key; null below ``least`` rows or for a constant side."""
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, average_rank(key, x).alias("_x"), average_rank(key, y).alias("_y"))
-    s = ranked.groupBy(key).agg(
-        F.count("*").alias("n"), *[F.sum(e).alias(a) for a, e in (("sx", F.col("_x")), ("sy", F.col("_y")), ("sxy", F.col("_x") * F.col("_y")), ("sxx", F.col("_x") * F.col("_x")), ("syy", F.col("_y") * F.col("_y")))]
-    )
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").cast("double").alias("_c"))
+    ranked = both
+    for value in ("_x", "_y"):
+        r = ranks(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("_k"), F.col(x if value == "_x" else y).alias("_value")), "_k", "_value")
+        ranked = ranked.join(r, F.col(key).eqNullSafe(F.col("_k")) & F.col(value).eqNullSafe(F.col("_value"))).drop("_k", "_value").withColumnRenamed("rank", f"_r{value}")
+    a, b, c = F.col("_r_x"), F.col("_r_y"), F.col("_c")
+    s = ranked.groupBy(key).agg(F.sum(c).cast("long").alias("n"), *[F.sum(c * e).alias(name) for name, e in (("sx", a), ("sy", b), ("sxy", a * b), ("sxx", a * a), ("syy", b * b))])
     n = F.col("n").cast("double")
     vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
     rho = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.sqrt(vx * vy), F.lit(0.0))

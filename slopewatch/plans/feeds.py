@@ -349,18 +349,26 @@ def sink_geojson(spark: SparkSession, d: str) -> DataFrame:
     return back.select("type", F.explode("features.properties.commune_id").alias("id")).groupBy("type").agg(F.count("*").alias("features"), F.sum(F.col("id").cast("long")).alias("ids")).select("features", "ids", "type")
 
 
-@query("sink_model", "SELECT count(*) AS rows, 2::INTEGER AS names, 'logistic' AS chosen, 21::BIGINT AS predictions, 0.5::DOUBLE AS neutral FROM embeddings")
+@query(
+    "sink_model",
+    """
+SELECT vec_id, 'f0,f1' AS features, 'logistic' AS chosen, true AS same, 21::BIGINT AS predictions, 0.5::DOUBLE AS neutral FROM embeddings
+""",
+)
 def sink_model(spark: SparkSession, d: str) -> DataFrame:
-    """A model's artifacts written and read, its predictions of the fixed districts appended, and a missing model's."""
+    """A model's artifacts written and read: every row's score by the model that was read beside that by the one that was
+    written, its predictions of the fixed districts appended, and a missing model's."""
     folder = scratch(spark, "sink")
     rows = table(spark, d, "embeddings").select("vec_id", (F.col("label") < 3).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(2)])
     best, areas, model = T.choose(rows, ["f0", "f1"], "vec_id", ["logistic"])
     T.save_artifacts(spark, folder, model, ["f0", "f1"], {"chosen": best, **areas}, T.report(T.scored(model, rows)))
     again, names, metrics = T.load_artifacts(spark, folder)
-    latest = spark.createDataFrame([("1", 0.5, 0.1)], "commune_id string, f0 double, f1 double")
-    writes.append(T.predictions(spark, again, latest, names, "v1", F.lit("2024-01-31").cast("timestamp")), f"{folder}/predictions")
-    nothing = T.scored(T.load_artifacts(spark, f"{folder}/none")[0], latest).first().risk_score
-    return T.scored(again, rows).agg(F.count("*").alias("rows")).withColumns({"names": F.lit(len(names)), "chosen": F.lit(metrics["chosen"]), "predictions": F.lit(spark.read.parquet(f"{folder}/predictions").count()), "neutral": F.lit(nothing)})
+    writes.append(T.predictions(spark, again, rows.limit(0).select(F.lit("1").alias("commune_id"), "f0", "f1"), names, "v1", F.lit("2024-01-31").cast("timestamp")), f"{folder}/predictions")
+    number = spark.read.parquet(f"{folder}/predictions").agg(F.count("*").alias("predictions"))  # one row
+    neutral = T.scored(T.load_artifacts(spark, f"{folder}/none")[0], rows).agg(F.max("risk_score").alias("neutral"))
+    written = T.scored(model, rows).select("vec_id", F.col("risk_score").alias("before"))
+    read = T.scored(again, rows).join(written, "vec_id").crossJoin(F.broadcast(number)).crossJoin(F.broadcast(neutral))
+    return read.select("vec_id", F.lit(",".join(names)).alias("features"), F.lit(metrics["chosen"]).alias("chosen"), (F.col("risk_score") == F.col("before")).alias("same"), "predictions", "neutral")
 
 
 @query(
@@ -379,13 +387,19 @@ def iso_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", D.iso_date(text).cast("string").alias("day"), D.iso_timestamp(text).cast("timestamp_ntz").cast("string").alias("at"))
 
 
-@query("columns_cover", "SELECT true AS all_there, false AS one_missing, 8::INTEGER AS conformed FROM region LIMIT 1")
+@query(
+    "columns_cover",
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS source_row_id, strftime(o_orderdate, '%Y-%m-%d') AS fecha, 'deslizamiento' AS tipo_emergencia, CAST(o_custkey % 25 AS VARCHAR) AS commune_id,
+  NULL::VARCHAR AS barrio, NULL::DOUBLE AS latitud, NULL::DOUBLE AS longitud, NULL::BOOLEAN AS has_coords FROM orders
+""",
+)
 def columns_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a table has the columns of a test, and its rows in the form of a table of the schema."""
-    rows = table(spark, d, "region").limit(1)
-    ok = writes.covers(rows, ["r_name"]), writes.covers(rows, ["r_name", "fecha"])
-    full = writes.conformed(rows.select(F.col("r_name").alias("barrio")), "events")
-    return rows.select(F.lit(ok[0]).alias("all_there"), F.lit(ok[1]).alias("one_missing"), F.lit(len(full.columns)).alias("conformed"))
+    """Rows of a feed in the form of a table of the schema: the first of several feeds that has the columns is taken, those
+    that it lacks are null."""
+    events, rain, _ = domain(spark, d)
+    found = next(rows for rows in (rain, events) if writes.covers(rows, ["fecha", "tipo_emergencia"]))
+    return writes.conformed(found, "events")
 
 
 def domain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

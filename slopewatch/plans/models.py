@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ml import training as T
+from ..ml.neighbours import nearest_rows, oversampled
 from ..operators import stats
 from ..session import table
 from .registry import query
@@ -79,6 +80,45 @@ def model_report(spark: SparkSession, d: str) -> DataFrame:
     return T.report(scores(spark, d))
 
 
+RARE = 4  # components that count
+
+
+@query(
+    "rare_neighbours",
+    """
+WITH r AS (SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS v FROM embeddings WHERE label = 3),
+p AS (SELECT a.vec_id, b.vec_id AS other, sqrt((b.v[1] - a.v[1]) ** 2 + (b.v[2] - a.v[2]) ** 2 + (b.v[3] - a.v[3]) ** 2 + (b.v[4] - a.v[4]) ** 2) AS d FROM r a JOIN r b ON a.vec_id <> b.vec_id)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS INTEGER) AS rank, other, round(d, 9) AS distance FROM p QUALIFY rank <= 5
+""",
+)
+def rare_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest rows of each row of one class."""
+    rows = table(spark, d, "embeddings").filter("label = 3").select("vec_id", *[F.col("embedding")[i].alias(f"f{i}") for i in range(RARE)])
+    return nearest_rows(rows, [f"f{i}" for i in range(RARE)], "vec_id").withColumn("distance", F.round("distance", 9))
+
+
+@query("oversampled_classes", "SELECT y AS label, (SELECT count(*) FROM embeddings WHERE label <> 3) AS n, 0::BIGINT AS outside FROM (VALUES (0), (1)) v(y)")
+def oversampled_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes made equal by new rows; none of these lies outside the range of the rare rows."""
+    features = [f"f{i}" for i in range(RARE)]
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("label") == 3).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)])
+    bounds = rows.filter("label = 1").agg(*[g(f).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))])  # one row
+    out = F.lit(False)
+    for f in features:
+        out = out | ~F.col(f).between(F.col(f"lo_{f}") - 1e-12, F.col(f"hi_{f}") + 1e-12)
+    made = oversampled(rows, features, "vec_id").crossJoin(F.broadcast(bounds))
+    return made.groupBy("label").agg(F.count("*").alias("n"), F.count_if(out & (F.col("label") == 1)).alias("outside"))
+
+
+@query("fold_sizes", "SELECT toxic AS label, CAST(count(*) AS BIGINT) AS n, true AS even FROM labels GROUP BY 1")
+def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Folds by class: each class is dealt out to all folds, evenly but for chance."""
+    rows = T.folds(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    sizes = rows.groupBy("label", "fold").agg(F.count("*").alias("size"))
+    return sizes.groupBy("label").agg(F.sum("size").alias("n"), (F.max("size") - F.min("size") <= 64).alias("even")  # a row more or less from each of the 64 buckets of keys
+    )
+
+
 @query("train_predict")
 def train_predict(spark: SparkSession, d: str) -> DataFrame:
     """The better of a forest and a logistic model on vectors by five folds, and the scores of all rows."""

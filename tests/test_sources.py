@@ -163,7 +163,6 @@ def test_training(spark, tmp_path):
     assert T.report(again).filter("threshold = 0.5").first().auc > 0.9
     assert T.choose(rows.filter("label = 0"), ["f0"], "id")[2] is None
     assert T.scored(None, rows).first().risk_score == 0.5
-    assert T.oversampled(rows, ["f0", "f1"], "id", 2).filter("label = 1").count() == 150
     latest = spark.createDataFrame([("1", 2.0, 0.5)], "commune_id string, f0 double, f1 double")
     assert T.predictions(spark, model, latest, ["f0", "f1"], "v1", F.current_timestamp()).count() == 21
 
