@@ -20,12 +20,12 @@ from ..operators.stats import auc, class_weights, confusion
 from ..schemas import DISTRICTS
 
 
-def candidates(small: bool = False) -> dict:
-    """Classifiers in order of preference at equal area under the curve."""
+def candidates(small: bool = False, rounds: int | None = None) -> dict:
+    """Classifiers in order of preference at equal area under the curve; ``rounds`` is the number of boosted trees."""
     common = {"featuresCol": "scaled", "labelCol": "label", "weightCol": "weight"}
     return {
         "forest": RandomForestClassifier(numTrees=80 if small else 200, maxDepth=6, seed=42, **common),
-        "boosted": GBTClassifier(maxIter=60 if small else 120, maxDepth=3, stepSize=0.05, seed=42, **common),
+        "boosted": GBTClassifier(maxIter=rounds or (60 if small else 120), maxDepth=3, stepSize=0.05, seed=42, **common),
         "logistic": LogisticRegression(maxIter=200, **common),
     }
 
@@ -105,7 +105,7 @@ def cross_validated(rows: DataFrame, features: list[str], classifier, k: int = 5
     return sum(out) / len(out)
 
 
-def choose(rows: DataFrame, features: list[str], key: str, names: list[str] | None = None, k: int = 5, resample: Resampling | None = None) -> tuple[str, dict[str, float], PipelineModel | None]:
+def choose(rows: DataFrame, features: list[str], key: str, names: list[str] | None = None, k: int = 5, resample: Resampling | None = None, rounds: int | None = None) -> tuple[str, dict[str, float], PipelineModel | None]:
     """The candidate with the best mean area (the first of equals) fitted on all rows; none for a single class.
 
     Rows without a label take no part.  Classes are weighted, or resampled by ``resample`` instead."""
@@ -115,9 +115,9 @@ def choose(rows: DataFrame, features: list[str], key: str, names: list[str] | No
     ready, k, pooled = split(weighted(rows), key, k)
     ready = ready.cache()
     small = ready.count() < 500
-    found = {n: cross_validated(ready, features, c, k, pooled, resample) for n, c in candidates(small).items() if names is None or n in names}
+    found = {n: cross_validated(ready, features, c, k, pooled, resample) for n, c in candidates(small, rounds).items() if names is None or n in names}
     best = max(found, key=lambda n: found[n] if found[n] == found[n] else -1.0)  # the first of equals; a failed one last
-    model = fitted(pipeline(features, candidates(small)[best]), resampled(ready, resample))
+    model = fitted(pipeline(features, candidates(small, rounds)[best]), resampled(ready, resample))
     ready.unpersist()
     return best, found, model
 

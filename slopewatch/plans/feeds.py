@@ -13,7 +13,7 @@ from ..functions.numbers import money
 from ..ml import training as T
 from ..operators import writes
 from ..operators.jobs import Folder, Job
-from ..sources import paged, readers, samples
+from ..sources import paged, readers, samples, services
 from ..session import scratch, table
 from .registry import query
 
@@ -212,6 +212,31 @@ def feed_rings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("code", F.get_json_object("geometry", "$.coordinates[0][0][0]").cast("double").alias("corner"))
 
 
+@query(
+    "feed_codes",
+    """
+SELECT s_suppkey, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS code, CASE WHEN s_nationkey % 7 <> 3 THEN n_name END AS nombre,
+  CASE WHEN s_nationkey % 7 <> 3 THEN s_nationkey::DOUBLE END AS corner
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+""",
+)
+def feed_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons by code, each asked for once and kept; the second run finds the first one's and asks for the rest."""
+    folder = scratch(spark, "feed")
+    k = F.col("n_nationkey").cast("double")
+    ring = F.array(F.array(k, k), F.array(k + 1, k), F.array(k, k))
+    feature = F.struct(F.struct(F.col("n_name").alias("nombre")).alias("attributes"), F.struct(F.array(ring).alias("rings")).alias("geometry"))
+    own = F.when(F.col("n_nationkey") % 7 != 3, F.array(feature)).otherwise(F.array().cast("array<struct<attributes:struct<nombre:string>,geometry:struct<rings:array<array<array<double>>>>>>"))
+    answers = table(spark, d, "nation").select(F.concat(F.lit("c"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code"), own.alias("features"))
+    answers.write.partitionBy("code").json(f"{folder}/answers")  # a folder stands for the answer to a request
+    codes = table(spark, d, "supplier").select("s_suppkey", services.service_code(F.col("s_nationkey").cast("string")).alias("code"))
+    kept = Folder(spark, f"{folder}/kept")
+    url = f"{folder}/answers/code=c{{code}}"
+    services.resolved(codes.filter("code < '10'"), url, kept, "first")
+    found = services.resolved(codes, url, kept, "second")
+    return found.select("s_suppkey", "code", "nombre", F.get_json_object("geometry", "$.coordinates[0][0][0]").cast("double").alias("corner"))
+
+
 @query(
     "sample_feeds",
     """

@@ -127,3 +127,13 @@ def train_predict(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors.select("vec_id", (F.col("label") < 3).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)])
     _, _, model = T.choose(rows, features, "vec_id", ["forest", "logistic"])
     return T.scored(model, rows).select("vec_id", "label", F.round("risk_score", 4).alias("risk_score"), "risk_category")
+
+
+@query("train_boosted")
+def train_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees on a rare class, with rows made between neighbours in each fold's training rows, and the scores of all
+    rows.  Few rounds: each is a job of its own."""
+    features = [f"f{i}" for i in range(RARE)]
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("label") == 3).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)])
+    _, _, model = T.choose(rows, features, "vec_id", ["boosted"], k=2, resample=lambda train: oversampled(train, features, "vec_id"), rounds=5)
+    return T.scored(model, rows).select("vec_id", "label", F.round("risk_score", 4).alias("risk_score"), "risk_category")

@@ -49,5 +49,11 @@ def test_rows_only_queries(spark, data):
     assert len(rows) == 500 and all(0 <= r.risk_score <= 1 for r in rows)
 
 
+def test_boosted_trees_on_a_rare_class(spark, data):
+    rows = QUERIES["train_boosted"](spark, data).collect()
+    mean = {y: sum(r.risk_score for r in rows if r.label == y) / sum(r.label == y for r in rows) for y in (0, 1)}
+    assert len(rows) == 500 and mean[1] > mean[0]
+
+
 def test_refusals_are_sought_in_whole_texts(spark, data):
     assert "left(" not in QUERIES["refusal_flag"](spark, data)._jdf.queryExecution().analyzed().toString().lower()

@@ -127,3 +127,39 @@ def test_pages_of_a_batch_are_tasks_of_their_own(spark, feed, tmp_path):
     assert stream.partitions({"offset": 460}, {"offset": 460}) == []
     again = paged.PagedStream({"url": feed.url, "limit": "100", "batch": "2"}, paged.StructType.fromDDL("valorobservado string"))
     assert again.latestOffset() == {"offset": 1000}  # started again without knowing where it stands
+
+
+def test_codes_are_asked_for_once_and_fail_alone(spark, feed, tmp_path):
+    from slopewatch.operators.jobs import Folder
+    from slopewatch.sources import services
+
+    answers = {"01": {"features": [{"attributes": {"nombre": "One"}, "geometry": {"rings": [[[0, 0], [1, 1], [0, 0]]]}}, {"geometry": {"rings": []}}]}, "50": {"features": []}}
+
+    class Codes(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            code = self.path.rsplit("/", 1)[1]
+            feed.asked.append(code)
+            if code == "07" and not feed.rows:
+                self.send_response(500)
+                self.end_headers()
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answers.get(code, answers["01"])).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Codes)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/{{code}}"
+    feed.rows = []
+    codes = spark.createDataFrame([("1", 1), ("1", 2), ("50", 3), ("7", 4), (None, 5)], "c string, n int").select(services.service_code(F.col("c")).alias("code"), "n")
+    kept = Folder(spark, str(tmp_path))
+    got = {r.n: (r.code, r.nombre) for r in services.resolved(codes, url, kept, "a", attempts=1).collect()}
+    assert got == {1: ("01", "One"), 2: ("01", "One"), 3: ("50", None), 4: ("07", None), 5: (None, None)}
+    assert "500" in services.asked(codes.filter("n = 4"), url, attempts=1).first().failure
+    feed.rows, feed.asked[:] = ["up again"], []
+    assert {r.n for r in services.resolved(codes, url, kept, "b", attempts=1).filter("geometry is not null").collect()} == {1, 2, 4}
+    assert sorted(set(feed.asked)) == ["07", "50"]
+    server.shutdown()
