@@ -5,7 +5,7 @@ differ is an unbiased estimate of the angle.  And the inner product of one vecto
 stored inner product of the other with its own code, is an unbiased estimate of the vectors' inner product, whose deviation
 follows from that stored factor.
 
-* Finding: equal vectors of a label are one row.  Each goes, as a code of 256 bits, to one cell of each of several tables,
+* Finding: equal vectors of a label are one row.  Each goes, as a code of 192 bits, to one cell of each of several tables,
   by the signs of further random projections.  There are as many cells as keep them near ``CELL`` rows and as many tables as
   find a pair at the threshold with a probability of 1 - 1e-7, whatever the data.  Within a cell codes that differ in fewer
   bits than the threshold allows (8 deviations above its mean) connect their vectors; what is connected is a family.  Only
@@ -34,7 +34,7 @@ from .nearest import matrix, unit_rows
 from .windows import mix
 
 #: Long words of a code.
-WORDS = 4
+WORDS = 3
 #: Rows that a cell should hold, and of a cell that are compared directly.
 CELL, LONG = 256, 2048
 #: Probability that a pair at the threshold meets in no cell.
@@ -164,28 +164,32 @@ def _connect(limit: int):
 
 def candidates(posts: DataFrame, plan: Plan, ws: Workspace, long: int, rounds: int) -> DataFrame:
     """Pairs (a, b) that connect all vectors whose codes meet in a cell and are near each other."""
-    edges = []
+    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def within(rows: DataFrame) -> DataFrame:
+        slim = rows.select("cell", "_key", *CODE, F.lit(1).cast("byte").alias("one")).repartition(parts, "cell").sortWithinPartitions("cell", "_key")
+        return slim.mapInArrow(_connect(plan.limit), EDGES)
+
     many = ws.table(posts.groupBy("cell").agg(F.count("*").alias("rows")).filter(F.col("rows") > long).select("cell"), "hot")
-    if many.limit(1).count():
-        hot, calm = ws.table(posts.join(many, "cell", "left_semi"), "hot-posts"), posts.join(many, "cell", "left_anti")
-        for _ in range(rounds):
-            hub = F.min_by(F.struct("_key", *CODE), F.xxhash64("_key", "cell"))
-            hubs = ws.table(hot.groupBy("cell").agg(F.count("*").alias("rows"), hub.alias("hub")).filter(F.col("rows") > long).select("cell", "hub"), "hubs")
-            if not hubs.limit(1).count():
-                break
-            bits = F.lit(0)
-            for c in CODE:
-                bits = bits + F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}")))
-            met = ws.table(hot.join(hubs, "cell", "left").withColumn("bits", bits), "met")
-            edges.append(met.filter((F.col("bits") <= plan.ball + plan.limit) & (F.col("_key") != F.col("hub._key"))).select(F.col("hub._key").alias("a"), F.col("_key").alias("b")))
-            hot = met.filter(F.col("bits").isNull() | (F.col("bits") > plan.ball)).select(*posts.columns)
-        posts = calm.unionByName(hot)
-    size = posts.groupBy("cell").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.when(F.col("rows") > long, F.ceil(F.col("rows") / (long / 2))).otherwise(1).cast("int"))
-    placed = posts.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if not many.limit(1).count():
+        return within(posts).distinct()
+    hot, edges = ws.table(posts.join(many, "cell", "left_semi"), "hot-posts"), [within(posts.join(many, "cell", "left_anti"))]
+    for _ in range(rounds):
+        hub = F.min_by(F.struct("_key", *CODE), F.xxhash64("_key", "cell"))
+        hubs = ws.table(hot.groupBy("cell").agg(F.count("*").alias("rows"), hub.alias("hub")).filter(F.col("rows") > long).select("cell", "hub"), "hubs")
+        if not hubs.limit(1).count():
+            break
+        bits = F.lit(0)
+        for c in CODE:
+            bits = bits + F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}")))
+        met = ws.table(hot.join(hubs, "cell", "left").withColumn("bits", bits), "met")
+        edges.append(met.filter((F.col("bits") <= plan.ball + plan.limit) & (F.col("_key") != F.col("hub._key"))).select(F.col("hub._key").alias("a"), F.col("_key").alias("b")))
+        hot = met.filter(F.col("bits").isNull() | (F.col("bits") > plan.ball)).select(*posts.columns)
+    # what is left, and of what is hot still each pair of blocks
+    size = hot.groupBy("cell").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.when(F.col("rows") > long, F.ceil(F.col("rows") / (long / 2))).otherwise(1).cast("int"))
+    placed = hot.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     bucket = F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")))
-    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = placed.select(bucket.alias("cell"), "_key", *CODE, F.lit(1).alias("one")).repartition(parts, "cell").sortWithinPartitions("cell", "_key")
-    edges.append(slim.mapInArrow(_connect(plan.limit), EDGES))
+    edges.append(within(placed.withColumn("cell", bucket)))
     out = edges[0]
     for more in edges[1:]:
         out = out.unionByName(more)
@@ -293,7 +297,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_column: str = "vec_
     reps = ws.table(keyed.groupBy("_key").agg(F.count("*").alias("copies"), F.min("_id").alias("low"), F.first("label_key").alias("label_key"), F.first("v").alias("v")), "vectors")
     sizes = ws.table(reps.groupBy("label_key").agg(F.count("*").alias("n")), "sizes")
     posts = reps.select("_key", "label_key", F.size("v").alias("dim"), "v").join(sizes, "label_key").select("_key", "label_key", "dim", "n", "v")
-    posts = ws.table(posts.mapInArrow(_post(plan, cell), POSTS), "posts")
+    posts = posts.mapInArrow(_post(plan, cell), POSTS)  # made twice, which costs less than to write and read them
     families = ws.table(components(ws.table(candidates(posts, plan, ws, long, rounds), "candidates"), ws).select(F.col("id").alias("_key"), F.col("component").alias("family")), "families")
     blocks = families.groupBy("family").agg(F.count("*").alias("size")).select("family", F.when(F.col("size") <= family, 1).otherwise(F.ceil(F.col("size") / (family / 2))).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")

@@ -119,7 +119,7 @@ def test_bounds_rule_out_what_need_not_be_recomputed():
 
 def test_a_pair_at_the_threshold_is_hardly_ever_missed():
     plan = ed.Plan(0.98)
-    assert plan.limit == 48
+    assert plan.limit == 40
     for rows in (10, 1000, 10**5, 10**7, 10**9):
         bits, tables = plan.tables(rows, 256)
         assert rows / 2**bits < 512 and (1 - (1 - plan.flip) ** bits) ** tables <= 1e-7
