@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .writes import upserted
+from .writes import absent
 
 
 class Folder:
@@ -62,9 +62,13 @@ class Folder:
         """A table as the newest commit has it; None if it isn't there."""
         return self.rows(self.state()["tables"].get(table))
 
-    def rows(self, known: dict | None, buckets: list[str] | None = None) -> DataFrame | None:
-        """The rows of a table of a state, or of some of its buckets; None if there are none."""
-        paths = [f"{self.path}/{p}" for b, own in (known or {"parts": {}})["parts"].items() if buckets is None or b in buckets for p in own]
+    def buckets(self, path: str) -> list[str]:
+        """The buckets that a written folder has."""
+        return sorted(n.removeprefix("_bucket=") for s in self._fs.listStatus(self._at(path)) if (n := s.getPath().getName()).startswith("_bucket="))
+
+    def rows(self, known: dict | None) -> DataFrame | None:
+        """The rows of a table of a state; None if there are none."""
+        paths = [f"{self.path}/{p}" for own in (known or {"parts": {}})["parts"].values() for p in own]
         return self.spark.read.schema(_schema(known)).parquet(*paths) if paths else None
 
 
@@ -90,13 +94,10 @@ class Job:
             for path in self.written:  # of a job that has failed, or that another one has overtaken
                 self.folder.delete(path)
 
-    def _write(self, table: str, rows: DataFrame, bucket=None) -> str:
+    def _write(self, table: str, rows: DataFrame) -> str:
         path = f"{table}/{self.name}-{uuid.uuid4().hex[:8]}"
         self.written.append(path)
-        if bucket is None:
-            rows.write.parquet(f"{self.folder.path}/{path}")
-        else:
-            rows.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder.path}/{path}")
+        rows.write.parquet(f"{self.folder.path}/{path}")
         return path
 
     def read(self, table: str) -> DataFrame | None:
@@ -120,7 +121,8 @@ class Job:
         """Rows of the table whose key isn't in ``rows``, and all of ``rows``; nulls in keys are equal.
 
         ``by`` holds for a new table: how many buckets it has, or a column of the key, a day or a whole number, whose values
-        are its buckets.  What is collected is the buckets that ``rows`` fall into.
+        are its buckets.  The new rows are written first, which shows the buckets that they fall into; then what stays of
+        these buckets is written beside them.
         """
         if self.done:
             return
@@ -129,12 +131,18 @@ class Job:
         if not by:
             raise ValueError(f"{table} has no buckets: it was made by appending")
         bucket = F.coalesce(F.col(by).cast("string"), F.lit("none")) if isinstance(by, str) else F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(by)).cast("string")
-        rows = rows.select(*_schema(known).names)
-        touched = sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())
-        old = self.folder.rows(known, touched)
-        path = self._write(table, rows if old is None else upserted(old, rows, keys), bucket)
-        for b in touched:
-            known["parts"][b] = [f"{path}/_bucket={b}"]
+        path = f"{table}/{self.name}-{uuid.uuid4().hex[:8]}"
+        self.written.append(path)
+
+        def write(some: DataFrame) -> None:
+            some.withColumn("_bucket", bucket).repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(f"{self.folder.path}/{path}")
+
+        write(rows.select(*_schema(known).names))
+        touched = {b: [f"{path}/_bucket={b}"] for b in self.folder.buckets(path)}
+        old, new = (self.folder.rows({**known, "parts": parts}) for parts in ({b: own for b, own in known["parts"].items() if b in touched}, touched))
+        if old is not None:
+            write(absent(old, new.select(*keys), keys))
+        known["parts"] |= touched
 
 
 def _schema(known: dict) -> StructType:

@@ -15,15 +15,16 @@ def normalised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return out.withColumns({name: min_max(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c, name in columns.items()}).select(*df.columns, *columns.values())
 
 
-def ranks(df: DataFrame, key: str, value: str, buckets: int = 4096) -> DataFrame:
+def ranks(df: DataFrame, key: str, value: str, buckets: int = 4096, count: str | None = None) -> DataFrame:
     """(key, value, rank): the rank of each value within its key, equal ones sharing their mean rank; nulls have none.
+    ``count`` is a column with the number of rows that a row stands for.
 
     Values are counted first, so equal ones are one row.  A key's values are dealt out to ranges between its least and
     greatest; a range begins after the rows of those before, and only a range is ranked value by value, so no task sees all
     values of a key.  Infinities are ranges of their own, and NaN comes after all numbers.
     """
     x = F.col("_v").cast("double")
-    by = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    by = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg((F.sum(count) if count else F.count("*")).alias("_n"))
     finite = F.when(F.abs(x) < float("inf"), x)
     bounds = by.groupBy(F.col(key).alias("_key")).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
     inner = F.coalesce(F.floor(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets), F.lit(0))
@@ -41,8 +42,8 @@ def spearman(df: DataFrame, key: str, x: str, y: str, least: int = 10, places: i
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").cast("double").alias("_c"))
     ranked = both
     for value in ("_x", "_y"):
-        r = ranks(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("_k"), F.col(x if value == "_x" else y).alias("_value")), "_k", "_value")
-        ranked = ranked.join(r, F.col(key).eqNullSafe(F.col("_k")) & F.col(value).eqNullSafe(F.col("_value"))).drop("_k", "_value").withColumnRenamed("rank", f"_r{value}")
+        r = ranks(both, key, value, count="_c").select(F.col(key).alias("_k"), F.col(value).alias("_value"), F.col("rank").alias(f"_r{value}"))
+        ranked = ranked.join(r, F.col(key).eqNullSafe(F.col("_k")) & F.col(value).eqNullSafe(F.col("_value"))).drop("_k", "_value")
     a, b, c = F.col("_r_x"), F.col("_r_y"), F.col("_c")
     s = ranked.groupBy(key).agg(F.sum(c).cast("long").alias("n"), *[F.sum(c * e).alias(name) for name, e in (("sx", a), ("sy", b), ("sxy", a * b), ("sxx", a * a), ("syy", b * b))])
     n = F.col("n").cast("double")

@@ -11,6 +11,7 @@ from ..operators import writes
 from ..operators.jobs import Folder, Job
 from ..operators.latest import latest_one
 from ..operators.stats import normalised, spearman
+from ..session import kept
 
 #: Events that a district needs for a correlation with rain, and days that must have both.
 LEAST = 10
@@ -31,7 +32,7 @@ def correlations(events: DataFrame, rain: DataFrame) -> DataFrame:
     days = rain.groupBy("fecha").agg(*[F.avg(c).alias(c) for c in ("precipitacion_mm", "precipitacion_acum_3d", "precipitacion_acum_7d")])
     counts = events.filter("fecha is not null and commune_id is not null").groupBy("commune_id", "fecha").agg(F.count("*").cast("double").alias("n"))
     many = events.filter("commune_id is not null").groupBy("commune_id").agg(F.count("*").alias("all")).filter(F.col("all") >= LEAST).select("commune_id")
-    both = counts.join(many, "commune_id").join(days, "fecha")
+    both = kept(counts.join(many, "commune_id").join(days, "fecha"), "correlations")
     out = many
     for column, name in (("precipitacion_mm", "correlacion_diaria"), ("precipitacion_acum_3d", "correlacion_3d"), ("precipitacion_acum_7d", "correlacion_7d")):
         one = spearman(both, "commune_id", "n", column, LEAST).select("commune_id", F.col("rho").alias(name))
