@@ -13,6 +13,7 @@ that is one long repetition costs no more than n log(n) of them.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .windows import mix, prefix_hash, span_hash
 LEAST = 12
 #: Steps of a match that are taken word by word.
 STEPS = 6
+#: Pairs of a middle and a distance that are looked at in one go.
+PAIRS = 1 << 20
 #: Bytes of texts that are searched at once; a longer text is alone.
 BLOCK = 1 << 20
 
@@ -66,16 +69,20 @@ class Matches:
         return out
 
 
-def _distances(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i the distances 1..count[i]: (i, distance)."""
-    which = np.repeat(np.arange(len(count)), count)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + 1
+def _distances(count: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each i the distances 1..count[i]: arrays (i, distance) of ``most`` elements at most."""
+    end = np.cumsum(count)
+    for first in range(0, int(end[-1]), most):
+        at = np.arange(first, min(first + most, int(end[-1])))
+        which = np.searchsorted(end, at, "right")
+        yield which, at - (end - count)[which] + 1
 
 
-def periodic_runs(ids: np.ndarray, first: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def periodic_runs(ids: np.ndarray, first: np.ndarray, least: int = LEAST, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, period) of all maximal runs within the documents that begin at ``first`` (one more at the end).
 
-    A run has ``least`` symbols at least and twice its smallest period; sorted by start.
+    A run has ``least`` symbols at least and twice its smallest period; sorted by start.  ``most`` pairs of a middle and a
+    distance are looked at in one go, so the memory beside the symbols doesn't grow with the text.
     """
     match = Matches(ids)
     left, right = first[:-1].astype(np.int64), first[1:].astype(np.int64)
@@ -88,23 +95,23 @@ def periodic_runs(ids: np.ndarray, first: np.ndarray, least: int = LEAST) -> tup
         left, right, base, top = left[big], right[big], base[big], top[big]
         middle = (left + right) // 2
         for after in (True, False):  # the second copy of the period lies after the middle, or the first before it
-            seg, p = _distances(right - middle if after else middle - left)
-            a = middle[seg] - (0 if after else p)
-            b = a + p
-            one = (b < right[seg]) & (ids[a] == ids[np.minimum(b, len(ids) - 1)])
-            one |= (a > left[seg]) & (ids[a - 1] == ids[b - 1])
-            seg, p, a, b = seg[one], p[one], a[one], b[one]
-            ahead = match.length(a, b, right[seg] - b, 1)
-            behind = match.length(a, b, a - left[seg], -1)
-            good = ahead + behind >= p
-            seg, p, start, end = seg[good], p[good], a[good] - behind[good], b[good] + ahead[good]
-            _, one = np.unique(start * (len(ids) + 1) + end, return_index=True)  # distances ascend: the smallest stays
-            seg, p, start, end = seg[one], p[one], start[one], end[one]
-            # what ends at the segment's border may go on beyond it
-            start = start - match.length(start, start + p, start - base[seg], -1)
-            end = end + match.length(end - p, end, top[seg] - end, 1)
-            long = end - start >= least
-            found.append((start[long], end[long], p[long]))
+            for seg, p in _distances(right - middle if after else middle - left, most):
+                a = middle[seg] - (0 if after else p)
+                b = a + p
+                one = (b < right[seg]) & (ids[a] == ids[np.minimum(b, len(ids) - 1)])
+                one |= (a > left[seg]) & (ids[a - 1] == ids[b - 1])
+                seg, p, a, b = seg[one], p[one], a[one], b[one]
+                ahead = match.length(a, b, right[seg] - b, 1)
+                behind = match.length(a, b, a - left[seg], -1)
+                good = ahead + behind >= p
+                seg, p, start, end = seg[good], p[good], a[good] - behind[good], b[good] + ahead[good]
+                _, one = np.unique(start * (len(ids) + 1) + end, return_index=True)  # distances ascend: the smallest stays
+                seg, p, start, end = seg[one], p[one], start[one], end[one]
+                # what ends at the segment's border may go on beyond it
+                start = start - match.length(start, start + p, start - base[seg], -1)
+                end = end + match.length(end - p, end, top[seg] - end, 1)
+                long = end - start >= least
+                found.append((start[long], end[long], p[long]))
         left, right, base, top = np.append(left, middle), np.append(middle, right), np.append(base, base), np.append(top, top)
     start, end, period = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
     order = np.lexsort((period, end, start))

@@ -42,7 +42,7 @@ def test_all_runs(least):
                 w = [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
             docs.append(w)
         first = np.cumsum([0] + [len(d) for d in docs])
-        start, end, period = periodic_runs.periodic_runs(np.array(sum(docs, []), np.int64), first, least)
+        start, end, period = periodic_runs.periodic_runs(np.array(sum(docs, []), np.int64), first, least, rng.choice([5, 64, periodic_runs.PAIRS]))
         expected = [(s + first[i], n, q) for i, d in enumerate(docs) for s, n, q in brute(d, least)]
         assert list(zip(start, end - start, period, strict=True)) == expected
 
