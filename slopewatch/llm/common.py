@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
+#: Python workers give the memory of large arrays back when they are freed, instead of keeping it for the stages that follow.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 22), "MALLOC_TRIM_THRESHOLD_": str(1 << 24), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs on one machine."""
@@ -37,6 +40,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        for name, value in MEMORY.items():
+            spark.sparkContext.environment.setdefault(name, value)
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
         self._fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.root = self._fs.makeQualified(folder).toString()
