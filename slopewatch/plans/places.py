@@ -113,12 +113,12 @@ SELECT k AS s_suppkey, count(c_custkey) AS places FROM s LEFT JOIN h USING (k) G
 def layer_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many places lie in each shape, read from GeoJSON."""
     from ..functions.geo import multipolygon
-    from ..operators.spatial import hits
+    from ..operators.spatial import counted
 
     places, shapes = layered(spark, d)
     text = shapes.select("s_suppkey", F.lit("MultiPolygon").alias("kind"), F.to_json("shape").alias("coordinates"))
     read = text.select(F.struct("s_suppkey").alias("_f"), multipolygon(F.col("kind"), F.col("coordinates")).alias("shape"))
-    found = hits(places, read, "lon", "lat", "shape", 1.0).groupBy(F.col("_f.s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("places"))
+    found = counted(places, read, "lon", "lat", "shape", 1.0).select("_f.s_suppkey", F.col("n").alias("places"))
     return shapes.select("s_suppkey").join(found, "s_suppkey", "left").select("s_suppkey", F.coalesce("places", F.lit(0)).cast("long").alias("places"))
 
 
