@@ -144,6 +144,35 @@ def test_suffix_array_dedup_by_words(spark):
     assert got == expected
 
 
+def test_planted_passages_by_length(spark, tmp_path):
+    """Passages of over 50 words in two documents each: the query removes those of 400 bytes on, leaves shorter ones and
+    clean documents alone, and n_bytes is the input's size in either case; by words, the operator finds them all."""
+    rng = random.Random(12)
+
+    def prose(n, size):
+        return " ".join("".join(rng.choice("abcdefghé") for _ in range(size)) for _ in range(n))
+
+    rows = [(i, prose(120, 5)) for i in range(40)]
+    passages = [prose(70, 5)[:330] for _ in range(2)]
+    passages = [p + "x" * (n - len(p.encode())) for p, n in zip(passages, (399, 400), strict=True)]
+    passages += [prose(51, n) for n in (4, 5, 8, 9)]
+    for k, p in enumerate(passages):
+        for i, mark in ((2 * k, "<"), (2 * k + 1, "[")):
+            rows[i] = (i, f"{rows[i][1]} {mark}{p}{mark} {prose(20, 5)}")
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_array_dedup.op10_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    size = [len(p.encode()) for p in passages]
+    assert size[:2] == [399, 400] and max(size[2:4]) < 400 < min(size[4:])
+    for i, t in rows:
+        n = size[i // 2] if i < 2 * len(size) else 0
+        gone = n if n >= 400 else 0
+        kept = t.encode().replace(passages[i // 2].encode(), b"") if gone else t.encode()
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(t.encode()), gone, int(gone > 0))
+        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+    by_words = suffix_array_dedup.suffix_array_dedup(spark.read.parquet(f"{tmp_path}/documents.parquet"), length=49, unit="words").collect()  # a mark clings to the first and the last word
+    assert {r.doc_id for r in by_words if r.n_removed} == set(range(2 * len(size)))
+
+
 @pytest.mark.parametrize("unit", ["bytes", "words"])
 def test_hot_grams_are_grouped_anew(spark, unit):
     """Many different texts share one gram, and some share whole windows: equal to brute force, and few rows a text."""
